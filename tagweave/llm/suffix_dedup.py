@@ -259,7 +259,7 @@ def _pack(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         def flush():
             nonlocal number, block
             name = TaskContext.get().partitionId() << 32 | number
-            squeeze = zstandard.ZstdCompressor(level=3).compress
+            squeeze = zstandard.ZstdCompressor(level=5).compress
             yield _record(
                 name,
                 -1,
@@ -311,15 +311,18 @@ def _repeated(part: pa.Table) -> pa.Table:
     )
 
 
-SENT = "bucket int, block long, of binary, doc binary, start binary, size binary, sub binary, raw binary"
+SENT = "bucket int, block long, n int, packed binary"
+#: What is sent of each segment besides its bytes: its text in the block, smallest document, start, size, part of the bucket.
+_HEAD = (("of", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("sub", "u1"))
 
 
 def _send(told: DataFrame, buckets: int, out: int, length: int) -> DataFrame:
     """Segments whose minimum occurs in several texts, packed by bucket."""
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for block, docs, sizes, texts, lists in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, docs, sizes, texts, _, lists in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, of, raw = _unpack(docs, sizes, texts)
                 least = np.full(len(raw), LAST, np.int64)
                 np.minimum.at(least, of, ids)
@@ -338,12 +341,12 @@ def _send(told: DataFrame, buckets: int, out: int, length: int) -> DataFrame:
                 for k, o in _by_bucket((x % np.uint64(out)).astype(np.int64)):
                     s = keep[o]
                     cuts = zip(text[s].tolist(), start[s].tolist(), (start[s] + size[s] + length - 1).tolist())
-                    cols = [
-                        text[s].astype("<u4"), least[text[s]], start[s].astype("<u4"), (size[s] + length - 1).astype("<u4"),
-                        ((x[o] >> np.uint64(40)) % np.uint64(SUBS)).astype(np.uint8),
-                    ]
+                    head = {
+                        "of": text[s], "doc": least[text[s]], "start": start[s], "size": size[s] + length - 1, "sub": (x[o] >> np.uint64(40)) % np.uint64(SUBS),
+                    }
+                    packed = b"".join([*(head[c].astype(t).tobytes() for c, t in _HEAD), *(raw[t][a:z] for t, a, z in cuts)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([block], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), pa.array([b"".join([raw[t][a:z] for t, a, z in cuts])], pa.binary())],
+                        [pa.array([k], pa.int32()), pa.array([block], pa.int64()), pa.array([len(s)], pa.int32()), pa.array([squeeze(packed)], pa.binary())],
                         [c.split()[0] for c in SENT.split(", ")],
                     )
 
@@ -353,13 +356,18 @@ def _send(told: DataFrame, buckets: int, out: int, length: int) -> DataFrame:
 def _sorted_out(length: int):
     def run(part: pa.Table) -> pa.Table:
         """Sort a bucket's segments, a bounded part at a time, and tell the covered places by block."""
-        n = [len(b) for b in part.column("sub").to_pylist()]
-        block = np.repeat(part.column("block").to_numpy(), n)
-        of, doc, start, size, sub = (
-            np.frombuffer(b"".join(part.column(c).to_pylist()), t)
-            for c, t in (("of", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("sub", np.uint8))
-        )
-        raw = b"".join(part.column("raw").to_pylist())
+        counts = part.column("n").to_pylist()
+        block = np.repeat(part.column("block").to_numpy(), counts)
+        heads, raw = [], []
+        for n, packed in zip(counts, part.column("packed").to_pylist()):
+            packed, at, head = zstandard.ZstdDecompressor().decompress(packed), 0, []
+            for _, t in _HEAD:
+                head.append(np.frombuffer(packed, t, n, at))
+                at += n * head[-1].itemsize
+            heads.append(head)
+            raw.append(packed[at:])
+        of, doc, start, size, sub = (np.concatenate(x) for x in zip(*heads))
+        raw = b"".join(raw)
         ends = np.cumsum(size.astype(np.int64))
         begin = ends - size
         found = []
@@ -397,7 +405,7 @@ def _cut_out(rows: DataFrame, schema: T.StructType, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for docs, sizes, texts, carry, covers in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, docs, sizes, texts, carry, covers in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, of, raw = _unpack(docs, sizes, texts)
                 least = np.full(len(raw), LAST, np.int64)
                 np.minimum.at(least, of, ids)
@@ -470,9 +478,10 @@ def repeated_passages(
     told = prints.groupBy("bucket").applyInArrow(_repeated, "block long, prints binary")
     told = told.groupBy("block").agg(F.collect_list("prints").alias("lists"))
     small_batches(spark, 1)
-    with_told = texts.select("block", "docs", "sizes", "texts").join(told, "block", "left")
-    sent = _send(with_told, buckets, out, length)
+    # both joins read the texts through one exchange: it has the same columns for both, so Spark reuses it
+    whole = texts.select("block", "docs", "sizes", "texts", "carry")
+    sent = _send(whole.join(told, "block", "left"), buckets, out, length)
     cover = sent.groupBy("bucket").applyInArrow(_sorted_out(length), "block long, cover binary")
-    cover = cut(cover.groupBy("block").agg(F.collect_list("cover").alias("covers")), "cover")
-    final = texts.join(cover, "block", "left").select("docs", "sizes", "texts", "carry", "covers")
+    cover = cover.groupBy("block").agg(F.collect_list("cover").alias("covers"))
+    final = whole.join(cover, "block", "left")
     return _cut_out(final, schema, length)
