@@ -1,0 +1 @@
+"""Tag statistics, concept graphs and ranking metrics on PySpark."""

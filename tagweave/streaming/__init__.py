@@ -1 +1,28 @@
+"""Counts that grow while documents arrive: the associative merge of shard counts as a streaming aggregation."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagweave import functions as fn
+
+
+def streaming_bigrams(docs: DataFrame, tags: str = "tags") -> DataFrame:
+    """(w1, w2, freq) of a stream of documents with their tags; run it in update or complete mode."""
+    pairs = docs.select(F.explode(fn.pairs_of(tags)).alias("p"))
+    return pairs.groupBy("p.w1", "p.w2").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def streaming_windows(events: DataFrame, ts: str, key: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
+    """(start, key, n): counts by tumbling window; rows later than the watermark are left out."""
+    w = events.withWatermark(ts, late).groupBy(F.window(ts, window), key).agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.col("window.start").alias("start"), key, "n")
+
+
+def run_available(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None):
+    """Process what is there into an in-memory table and stop."""
+    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
