@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-#: Rows per Arrow batch; documents can be long, so batches are kept small.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch; documents can be long, so batches are kept small.
+BATCH_BYTES = 8 << 20
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -26,9 +26,11 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return raw.translate(WORD_BYTES).split()
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of documents can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes that one Arrow batch holds; the session keeps the limit, which no other query minds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

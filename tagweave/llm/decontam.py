@@ -239,7 +239,6 @@ def _by_doc(items, base, found) -> dict[int, list[str]]:
 
 def search(index: DataFrame, items: Items, slop: int = 3, near_share: float = 0.8) -> DataFrame:
     spark = index.sparkSession
-    small_batches(spark, 1)
     shared = spark.sparkContext.broadcast(items)
     kinds = ("<i8", np.uint8, "<u4", None, "<i4", "<u4", "<u4")
 

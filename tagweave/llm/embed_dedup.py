@@ -185,7 +185,7 @@ def near_vectors(
     those without a label, link with nothing. A row that repeats another one
     counts as a vector of its own. A vector without an id has component null.
     """
-    small_batches(vectors.sparkSession, 4096)
+    small_batches(vectors.sparkSession)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.col(vector_col).cast("array<double>").alias("vector"),

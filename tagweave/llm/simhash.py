@@ -32,6 +32,8 @@ GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SEED = 42
 #: Bytes of replicated fingerprints that one bucket of anchors should hold.
 BUCKET_BYTES = 12 << 20
+#: Fingerprints whose replicas are made and packed at once.
+SPREAD_ROWS = 20_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # byte -> bits, most significant first
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
@@ -183,12 +185,22 @@ def near_fingerprints(reps: DataFrame, threshold: int = 2) -> DataFrame:
     """
     n = reps.count()
     buckets = max(4, -(-n * 61 * 20 // BUCKET_BYTES))
-    small_batches(reps.sparkSession, 20000)
+    small_batches(reps.sparkSession)
 
-    def spread(batches):
+    def parts(batches):
+        held = []
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            rep = batch.column(1).to_numpy()
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= SPREAD_ROWS:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    def spread(batches):
+        for held in parts(batches):
+            fp = np.concatenate([b.column(0).to_numpy() for b in held]).view(np.uint64)
+            rep = np.concatenate([b.column(1).to_numpy() for b in held])
             at, key, own = anchors(fp, threshold)
             bucket = (key.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")

@@ -477,7 +477,6 @@ def repeated_passages(
     prints = packed.where("bucket >= 0").select("block", "bucket", "prints")
     told = prints.groupBy("bucket").applyInArrow(_repeated, "block long, prints binary")
     told = told.groupBy("block").agg(F.collect_list("prints").alias("lists"))
-    small_batches(spark, 1)
     # both joins read the texts through one exchange: it has the same columns for both, so Spark reuses it
     whole = texts.select("block", "docs", "sizes", "texts", "carry")
     sent = _send(whole.join(told, "block", "left"), buckets, out, length)
