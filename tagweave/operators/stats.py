@@ -202,3 +202,10 @@ def regression_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
         "pearson", "neg_mse",
         (F.coalesce("num", F.lit(0.0)) / F.nullif(F.sqrt((pairs - F.col(f"tie_{truth}")) * (pairs - F.col(f"tie_{score}"))), F.lit(0.0))).alias("kendall"),
     )
+
+
+def paired_t(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """(by, t): the t statistic of paired differences; 0 where they don't vary."""
+    d = F.col(a) - F.col(b)
+    g = df.groupBy(*by).agg(F.avg(d).alias("_m"), F.stddev_samp(d).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return g.select(*by, F.when(F.col("_s") > 0, F.col("_m") / (F.col("_s") / F.sqrt("_n"))).otherwise(0.0).alias("t"))

@@ -220,3 +220,19 @@ def _(t):
 def _(t):
     m = ev.precision_at_k(_order_lists(t), "score", "label", "id", 5, ["concept"])
     return m.select("concept", F.round("p_at_k", 6).alias("p_at_k"), F.round("prior", 6).alias("prior"))
+
+
+@query(
+    "n09_auc_by_concept",
+    f"""WITH {_BY}, pts AS (SELECT concept, k, (k - tp) / (n - npos) AS fp, tp / npos AS re FROM r WHERE label = 1 OR k = 1 OR k = n),
+ lg AS (SELECT concept, fp, re, lag(fp) OVER (PARTITION BY concept ORDER BY k) AS fp0, lag(re) OVER (PARTITION BY concept ORDER BY k) AS re0 FROM pts)
+ SELECT concept, round(sum((fp - fp0) * (re + re0) / 2), 6) AS auc FROM lg GROUP BY concept""",
+)
+def _(t):
+    return ev.rank_metrics(_order_lists(t), "score", "label", "id", ["concept"]).select("concept", F.round("auc", 6).alias("auc"))
+
+
+@query("n25_paired_t", "SELECT o_orderpriority AS config, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM (SELECT o_orderpriority, o_totalprice / 1000 - o_custkey AS d FROM orders) GROUP BY ALL")
+def _(t):
+    d = t.orders.select(F.col("o_orderpriority").alias("config"), (F.col("o_totalprice") / 1000).alias("a"), F.col("o_custkey").cast("double").alias("b"))
+    return stats.paired_t(d, "a", "b", ["config"]).withColumn("t", F.round("t", 6))

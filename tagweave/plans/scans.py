@@ -224,7 +224,12 @@ def _(t):
     return src.job_status(t.orders.select((F.col("o_orderstatus") == "O").cast("int").alias("working"), (F.col("o_orderstatus") == "F").cast("int").alias("done")))
 
 
-@query("s21_pack_jobs")
+@query(
+    "s21_pack_jobs",
+    """WITH RECURSIVE o AS (SELECT wnid AS dir, n_images AS n, row_number() OVER (ORDER BY wnid) AS rn FROM fx_sizes),
+ r(rn, job, total) AS (SELECT rn, CAST(0 AS BIGINT), n FROM o WHERE rn = 1 UNION ALL SELECT o.rn, CASE WHEN total + n > 1500 THEN job + 1 ELSE job END, CASE WHEN total + n > 1500 THEN n ELSE total + n END FROM r JOIN o ON o.rn = r.rn + 1)
+ SELECT dir, n, job FROM r JOIN o USING (rn)""",
+)
 def _(t):
     return src.pack_jobs(t.sizes.select(F.col("wnid").alias("dir"), F.col("n_images").alias("n")), 1500)
 
