@@ -83,7 +83,7 @@ def _(t):
     return cooc.ngram_totals(t.ngram, 1998)
 
 
-_FR = """f AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS frame_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) = 4))) AS w FROM conversations WHERE turn < 2),
+_FR = """f AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS frame_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) = 4))) AS w FROM conversations),
  fw AS (SELECT frame_id, unnest(w) AS x FROM f),
  pr AS (SELECT a.frame_id, a.x AS w1, b.x AS w2 FROM fw a JOIN fw b ON a.frame_id = b.frame_id AND a.x < b.x),
  bag AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS frame_id, role AS feat FROM conversations UNION ALL SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), 't' || CAST(turn AS VARCHAR) FROM conversations WHERE turn > 0)"""
@@ -92,7 +92,7 @@ _FR = """f AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) A
 def _frame_inputs(t):
     c = t.conversations.withColumn("frame_id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     w = F.filter(fn.words("text"), lambda x: F.length(x) == 4)
-    pairs = c.where("turn < 2").select("frame_id", F.explode(fn.pairs_of(w)).alias("p")).select("frame_id", "p.w1", "p.w2")
+    pairs = c.select("frame_id", F.explode(fn.pairs_of(w)).alias("p")).select("frame_id", "p.w1", "p.w2")
     bags = c.select("frame_id", F.col("role").alias("feat")).union(c.where("turn > 0").select("frame_id", F.concat(F.lit("t"), F.col("turn").cast("string"))))
     return pairs, bags
 
@@ -151,9 +151,9 @@ def _(t):
     return features.pool_detections(t.detect).withColumn("pooled", F.round("pooled", 6))
 
 
-@query("a17_detection_grid", f"WITH {_POOL} SELECT i.img_id, o.obj, round(coalesce(pooled, -1), 6) AS value FROM (SELECT DISTINCT img_id FROM fx_detect WHERE img_id % 50 = 0) i CROSS JOIN (SELECT DISTINCT obj FROM fx_detect) o LEFT JOIN pl ON pl.img_id = i.img_id AND pl.obj = o.obj")
+@query("a17_detection_grid", f"WITH {_POOL} SELECT i.img_id, o.obj, round(coalesce(pooled, -1), 6) AS value FROM (SELECT DISTINCT img_id FROM fx_detect) i CROSS JOIN (SELECT DISTINCT obj FROM fx_detect) o LEFT JOIN pl ON pl.img_id = i.img_id AND pl.obj = o.obj")
 def _(t):
-    g = features.fill_grid(features.pool_detections(t.detect), t.detect.where("img_id % 50 = 0"), t.detect)
+    g = features.fill_grid(features.pool_detections(t.detect), t.detect, t.detect)
     return g.withColumn("value", F.round("value", 6))
 
 

@@ -162,12 +162,13 @@ def _(t):
 
 @query(
     "x24_box_normalize",
-    """WITH b AS (SELECT o_orderstatus AS dim, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL)
- SELECT o_orderkey, round((o_totalprice - lo) / CASE WHEN hi - lo < 1e-12 THEN 1 ELSE hi - lo END, 6) AS boxed FROM orders JOIN b ON o_orderstatus = dim WHERE o_orderkey % 2 = 1""",
+    """WITH b AS (SELECT o_orderstatus AS dim, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY ALL)
+ SELECT o_orderkey, round((o_totalprice - lo) / CASE WHEN hi - lo < 1e-12 THEN 1 ELSE hi - lo END, 6) AS boxed FROM orders JOIN b ON o_orderstatus = dim WHERE o_orderdate >= TIMESTAMP '1998-01-01'""",
 )
 def _(t):
-    o = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("dim"), F.col("o_totalprice").alias("value"))
-    got = nz.box_normalize(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "dim", "value")
+    o = t.orders.select("o_orderkey", "o_orderdate", F.col("o_orderstatus").alias("dim"), F.col("o_totalprice").alias("value"))
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    got = nz.box_normalize(o.where(early), o.where(~early), "dim", "value")
     return got.select("o_orderkey", F.round("boxed", 6).alias("boxed"))
 
 
@@ -249,14 +250,14 @@ def _(t):
 
 @query(
     "t08_word_pairs",
-    """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM conversations WHERE turn = 0),
+    """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM conversations),
  k AS (SELECT * FROM w WHERE length(x) = 3)
  SELECT least(a.x, b.x) AS w1, greatest(a.x, b.x) AS w2, count(*) AS n FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.i < a.i WHERE a.x <> b.x GROUP BY ALL""",
 )
 def _(t):
     w = F.filter(fn.words("text"), lambda x: F.length(x) == 3)
     pairs = F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, 1 << 20), lambda b: F.struct(F.least(a, b).alias("w1"), F.greatest(a, b).alias("w2")))))
-    d = t.conversations.where("turn = 0").select(F.explode(pairs).alias("p")).where("p.w1 <> p.w2")
+    d = t.conversations.select(F.explode(pairs).alias("p")).where("p.w1 <> p.w2")
     return d.groupBy("p.w1", "p.w2").agg(F.count(F.lit(1)).alias("n"))
 
 
