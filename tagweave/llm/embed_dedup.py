@@ -69,18 +69,23 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
     return c
 
 
-def visits(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, at home): each row's nearest cell, and those it comes within ``reach`` of."""
-    sim = x @ c.T
-    home = sim.argmax(1)
-    gap = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2)[home] if len(c) <= 64 else np.stack(
-        [np.linalg.norm(c - c[h], axis=1) for h in range(len(c))]
-    )[home]
-    margin = sim[np.arange(len(x)), home][:, None] - sim
-    go = margin <= (reach + 1e-9) * gap + 1e-12
-    go[np.arange(len(x)), home] = True
-    row, cell = np.nonzero(go)
-    return row, cell, cell == home[row]
+def gaps(c: np.ndarray) -> np.ndarray:
+    """Distances between unit centroids."""
+    return np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+
+
+def visits(x: np.ndarray, c: np.ndarray, reach: float, gap: np.ndarray | None = None, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, at home): each row's nearest cell, and those it comes within ``reach`` of; rows are taken ``step`` at a time."""
+    gap, out = gaps(c) if gap is None else gap, []
+    for at in range(0, len(x), step):
+        sim = x[at : at + step] @ c.T
+        own = np.arange(len(sim))
+        home = sim.argmax(1)
+        go = sim[own, home][:, None] - sim <= (reach + 1e-9) * gap[home] + 1e-12
+        go[own, home] = True
+        row, cell = np.nonzero(go)
+        out.append((row + at, cell, cell == home[row]))
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
 
 
 def fit_cells(reps: DataFrame, total: int, threshold: float) -> dict[str, np.ndarray]:
@@ -116,6 +121,7 @@ def _assign(reps: DataFrame, cells: dict[str, np.ndarray], threshold: float) ->
     reach = float(np.sqrt(2 - 2 * threshold))
 
     def run(batches):
+        apart = {p: gaps(c) for p, c in shared.value.items()}
         for batch in batches:
             part = np.array(batch.column(0).to_pylist(), object)
             cell, row, home = [], [], []
@@ -128,7 +134,7 @@ def _assign(reps: DataFrame, cells: dict[str, np.ndarray], threshold: float) ->
                     cell += [f"{p}|"] * len(at)
                     home.append(np.ones(len(at), bool))
                 else:
-                    r, k, h = visits(np.array([np.frombuffer(units[i], "<f8") for i in at]), c, reach)
+                    r, k, h = visits(np.array([np.frombuffer(units[i], "<f8") for i in at]), c, reach, apart[p])
                     row.append(at[r])
                     cell += [f"{p}|{x}" for x in k.tolist()]
                     home.append(h)
