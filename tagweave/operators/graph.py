@@ -232,7 +232,7 @@ def ppr_exact(edges: DataFrame, restarts: DataFrame, alpha: float = 0.5, max_nod
     return restarts.select("restart").distinct().mapInPandas(solve, f"restart {kind}, node {kind}, p double")
 
 
-def renormalized_ppr(edges: DataFrame, alpha: float = 0.5, renorm: str = "logistic", row_normalize: bool = True, max_iter: int = 50) -> DataFrame:
+def renormalized_ppr(edges: DataFrame, alpha: float = 0.5, renorm: str = "logistic", row_normalize: bool = True, max_iter: int = 50, tol: float | None = 1.19e-7) -> DataFrame:
     """(restart, node, p) for every node as restart, on weights saturated by ``logistic``, ``log10`` or not at all (``none``)."""
     from tagweave import functions as fn
 
@@ -240,7 +240,7 @@ def renormalized_ppr(edges: DataFrame, alpha: float = 0.5, renorm: str = "logist
     e = edges.select("src", "dst", w.alias("w"))
     restarts = edges.select(F.col("src").alias("restart")).union(edges.select("dst")).distinct()
     if row_normalize:
-        return ppr(e, restarts, alpha, max_iter, 1.19e-7)
+        return ppr(e, restarts, alpha, max_iter, tol)
     return _eigen_ppr(e, restarts, alpha)
 
 

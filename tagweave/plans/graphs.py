@@ -202,12 +202,12 @@ def _(t):
     return graph.ppr(t.graph, t.graph.select(F.col("src").alias("restart"))).withColumn("p", F.round("p", 6))
 
 
-@query("d09_pagerank_dangling", _ppr_sql(4, "5e-1", "SELECT src, dst, w FROM fx_graph WHERE src % 5 <> 0 AND dst > 2", "SELECT DISTINCT src AS restart FROM fx_graph WHERE src IN (1, 2, 7)"))
+@query("d09_pagerank_dangling", _ppr_sql(4, "5e-1", "SELECT src, dst, w FROM fx_graph WHERE src % 5 <> 0 AND dst > 2", "SELECT unnest([1, 2, 7]) AS restart"))
 def _(t):
     return graph.ppr(t.graph.where("src % 5 <> 0 and dst > 2"), t.spark.createDataFrame([(1,), (2,), (7,)], "restart int"), max_iter=4).withColumn("p", F.round("p", 6))
 
 
-@query("d10_pagerank_exact", _ppr_sql(30, "5e-1", "SELECT src, dst, w FROM fx_graph", "SELECT DISTINCT src AS restart FROM fx_graph WHERE src < 4"))
+@query("d10_pagerank_exact", _ppr_sql(30, "5e-1", "SELECT src, dst, w FROM fx_graph", "SELECT node AS restart FROM nd WHERE node < 4"))
 def _(t):
     return graph.ppr_exact(t.graph, t.spark.createDataFrame([(i,) for i in range(4)], "restart int")).withColumn("p", F.round("p", 6))
 
@@ -216,7 +216,7 @@ def _(t):
 def _(t):
     from tagweave.operators.graph import renormalized_ppr
 
-    return renormalized_ppr(t.graph.withColumn("w", F.col("w") / 40)).withColumn("p", F.round("p", 6))
+    return renormalized_ppr(t.graph.withColumn("w", F.col("w") / 40), max_iter=25, tol=None).withColumn("p", F.round("p", 6))
 
 
 @query("d11_pagerank_eigenvector")

@@ -102,7 +102,7 @@ def _(t):
 
 @query(
     "n07_rank_metrics",
-    f"""WITH {_METRICS} SELECT round(sum(tp / k) FILTER (label = 1) / any_value(npos), 6) AS ap, round(max(tp / k) FILTER (k = 100), 6) AS p_at_d, round(max(tp / k) FILTER (k = npos), 6) AS epr,
+    f"""WITH {_METRICS} SELECT round(sum(tp / k) FILTER (label = 1) / any_value(npos), 6) AS ap, round(max(tp / k) FILTER (k = least(100, n)), 6) AS p_at_d, round(max(tp / k) FILTER (k = npos), 6) AS epr,
  round(any_value(npos) / any_value(n), 6) AS prior, round(max(2 * (tp / k) * (tp / npos) / (tp / k + tp / npos)) FILTER (tp > 0), 6) AS f1, CAST(any_value(npos) AS BIGINT) AS npos, any_value(n) AS n,
  max(score) FILTER (tp / npos >= 5e-1) AS score_thresh, round((SELECT auc FROM au), 6) AS auc FROM r""",
 )
