@@ -77,4 +77,4 @@ def test_scores_read_the_text_alone(spark, column):
 
     other = docs.withColumn(column, F.lit(None).cast(dict(docs.dtypes)[column]))
     a, b = (sorted(r.quality_score for r in q.score_quality(d, m).collect()) for d in (docs, other))
-    assert a == b
+    assert a == pytest.approx(b, abs=1e-5)  # rows share batches with others, so the last digits may differ
