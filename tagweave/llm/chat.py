@@ -5,8 +5,9 @@ and a turn of role ``tool`` holds one result, ``{"tool_call_id", "content"}``.
 Calls and results are hash-joined by conversation and identifier. Messages are
 put in topological order: results follow the message of their call, and a call
 whose arguments name another call's result ("$ref:ID") follows that one.
-Arguments are checked against JSON schemas, and each message becomes canonical
-JSON (sorted keys, no blanks).
+Arguments are checked against the JSON schemas that the conversation's system
+turns declare, ``<tools>{"name", "parameters"} ...</tools>``, or the caller
+gives, and each message becomes canonical JSON (sorted keys, no blanks).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import cut, small_batches
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
+_TOOLS = re.compile(r"<tools>(.*?)</tools>", re.S)
 _REF = re.compile(r"^\$ref:(.+)$", re.S)
 #: Rounds of following references between calls; longer chains and cycles are reported.
 ROUNDS = 32
@@ -81,10 +83,48 @@ def _refs(value) -> list[str]:
     return sorted(set(out))
 
 
+def check_call(name: str, arguments, schema: dict) -> list[str]:
+    try:
+        return [f"{name} {e}" for e in violations(arguments, schema)]
+    except (re.error, TypeError, ValueError, AttributeError, OverflowError, RecursionError):
+        return [f"{name}: schema not usable"]
+
+
+def declared_tools(text: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """[(name, JSON schema)] of the ``<tools>`` blocks of a system turn, and errors.
+
+    A block holds a list of tools or one after another; each is {"name",
+    "parameters"} or that within {"type": "function", "function"}. Without
+    parameters any arguments do.
+    """
+    read, out, errors = json.JSONDecoder(), [], []
+    for k, m in enumerate(_TOOLS.finditer(text)):
+        body, at = m[1].strip(), 0
+        try:
+            while at < len(body):
+                value, at = read.raw_decode(body, at)
+                for tool in value if isinstance(value, list) else [value]:
+                    tool = tool.get("function", tool)
+                    schema = tool.get("parameters") or {}
+                    if not isinstance(schema, dict):
+                        raise TypeError("no schema")
+                    out.append((str(tool["name"]), canonical(schema)))
+                while at < len(body) and body[at] in " \t\r\n,":
+                    at += 1
+        except (ValueError, TypeError, KeyError, AttributeError, RecursionError):
+            errors.append(f"tools {k}: not readable")
+    return out, errors
+
+
 def parse_turn(role: str | None, text: str | None, schemas: dict) -> tuple:
-    """(canonical JSON, [(id, refs)], result id, errors) of one turn."""
+    """(canonical JSON, [(id, refs)], result id, errors, declared tools, calls to check) of one turn.
+
+    Calls to check, (name, arguments as JSON), are those of tools that aren't in ``schemas``.
+    """
     role, text = role or "", text or ""
-    message, calls, result, errors = {"role": role}, [], None, []
+    message, calls, result, errors, tools, unchecked = {"role": role}, [], None, [], [], []
+    if role == "system":
+        tools, errors = declared_tools(text)
     if role == "tool":
         try:
             body = json.loads(text)
@@ -105,21 +145,47 @@ def parse_turn(role: str | None, text: str | None, schemas: dict) -> tuple:
             listed.append({"id": ident, "name": name, "arguments": arguments})
             calls.append((ident, _refs(arguments)))
             if name in schemas:
-                errors += [f"{name} {e}" for e in violations(arguments, schemas[name])]
-            elif schemas:
-                errors.append(f"{name}: unknown tool")
+                errors += check_call(name, arguments, schemas[name])
+            else:
+                unchecked.append((name, canonical(arguments)))
         message["content"] = _CALL.sub("", text) if listed else text
         if listed:
             message["tool_calls"] = listed
-    return canonical(message), calls, result, errors
+    return canonical(message), calls, result, errors, tools, unchecked
 
 
 PARSED = (
     "conv_id long, turn long, row_id long, json string, calls array<struct<id: string, refs: array<string>>>, "
-    "result_of string, errors array<string>"
+    "result_of string, errors array<string>, tools array<struct<name: string, schema: string>>, "
+    "unchecked array<struct<name: string, arguments: string>>"
 )
 
 
+def _checked(parsed: DataFrame, key) -> DataFrame:
+    """(row_id, found): what breaks the schemas that the conversation declares, of each turn with calls to check.
+
+    A tool declared twice is the one declared first.
+    """
+    told = parsed.select(key, "turn", F.posexplode("tools").alias("k", "tool")).groupBy("conv", F.col("tool.name").alias("name"))
+    told = told.agg(F.min(F.struct("turn", "k", "tool.schema")).alias("t")).select("conv", "name", "t.schema")
+    asked = parsed.select(key, "row_id", F.posexplode("unchecked").alias("k", "call")).select("conv", "row_id", "k", "call.*")
+
+    def run(batches):
+        for batch in batches:
+            found = [
+                check_call(n, json.loads(a), json.loads(s)) if s is not None else [f"{n}: unknown tool"]
+                for n, a, s in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["row_id", "k", "found"]
+            )
+
+    found = asked.join(told, ["conv", "name"], "left").select("row_id", "k", "name", "arguments", "schema")
+    found = found.mapInArrow(run, "row_id long, k int, found array<string>").where("size(found) > 0")
+    listed = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("k", "found"))).alias("f"))
+    return listed.select("row_id", F.flatten("f.found").alias("found"))
+
+
 def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """(conv_id, position, turn, message, n_calls, n_answered, result_of, linked, errors), one row per turn.
 
@@ -127,13 +193,17 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     without a call keeps its turn's place with ``linked`` false. If an
     identifier is used twice, results belong to its first call. Null
     identifiers of conversations form one conversation, null turns come first;
-    null roles and texts are empty.
+    null roles and texts are empty. Every call is checked: against ``schemas``
+    (by tool) or, if its tool isn't there, against what the system turns of its
+    conversation declare; a tool in neither is reported as unknown.
     """
     schemas = schemas or {}
     small_batches(turns.sparkSession)
 
     def run(batches):
         call = pa.list_(pa.struct([("id", pa.string()), ("refs", pa.list_(pa.string()))]))
+        tool = pa.list_(pa.struct([("name", pa.string()), ("schema", pa.string())]))
+        asked = pa.list_(pa.struct([("name", pa.string()), ("arguments", pa.string())]))
         for batch in batches:
             got = [parse_turn(r, t, schemas) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -143,8 +213,10 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
                     pa.array([[{"id": i, "refs": r} for i, r in g[1]] for g in got], call),
                     pa.array([g[2] for g in got], pa.string()),
                     pa.array([g[3] for g in got], pa.list_(pa.string())),
+                    pa.array([[{"name": n, "schema": s} for n, s in g[4]] for g in got], tool),
+                    pa.array([[{"name": n, "arguments": a} for n, a in g[5]] for g in got], asked),
                 ],
-                ["conv_id", "turn", "row_id", "json", "calls", "result_of", "errors"],
+                ["conv_id", "turn", "row_id", "json", "calls", "result_of", "errors", "tools", "unchecked"],
             )
 
     rows = turns.select(
@@ -156,6 +228,13 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     )
     parsed = cut(rows.mapInArrow(run, PARSED), "turns")
     key = F.coalesce("conv_id", F.lit(-(1 << 62))).alias("conv")
+    if parsed.where("size(unchecked) > 0").take(1):
+        parsed = parsed.join(_checked(parsed, key), "row_id", "left").withColumn(
+            "errors", F.concat("errors", F.coalesce("found", F.array().cast("array<string>")))
+        )
+        parsed = cut(parsed.drop("tools", "unchecked", "found"), "turns")
+    else:
+        parsed = parsed.drop("tools", "unchecked")
     calls = parsed.select(key, "turn", "row_id", F.posexplode("calls").alias("k", "call")).select(
         "conv", "turn", "row_id", "k", "call.id", "call.refs"
     )

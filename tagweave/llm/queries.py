@@ -67,16 +67,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-#: Tools that registered conversations may call; none of them is checked against more than this.
-TOOL_SCHEMAS: dict = {}
-
-
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from tagweave.llm.chat import format_chats
 
-    out = format_chats(table(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
+    out = format_chats(table(spark, sf_dir, "conversations"))
     return out.select(
         "conv_id", "position", "turn", "message", "n_calls", "n_answered", "linked", F.array_join("errors", "; ").alias("errors")
     )

@@ -94,3 +94,37 @@ def test_plain_conversations(spark, sf):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert format_chats(df, SCHEMAS).collect() == []
+
+
+def test_registered_query_checks_calls(spark, tmp_path):
+    """Tools come from the system turns of a call's own conversation."""
+    from tagweave.llm.queries import op9_chat_formatting
+
+    add = {"type": "function", "function": {"name": "add", "parameters": SCHEMAS["add"]}}
+    rows = [
+        (1, 0, "system", f"Use <tools>{json.dumps(add)}\n{json.dumps({'name': 'free'})}</tools> well."),
+        (1, 1, "assistant", call("a", a=1, b=2)),
+        (1, 2, "assistant", call("b", a="1") + "<tool_call>no</tool_call>" + call("c", a=1, b=2, z=3)),
+        (1, 3, "assistant", call("d", name="other") + call("e", name="free", q=1)),
+        (2, 0, "assistant", call("a", a=1, b=2)),
+        (3, 0, "system", "<tools>[{</tools>"),
+        (3, 1, "system", f"<tools>{json.dumps([{'name': 'add', 'parameters': {'pattern': '('}}])}</tools>"),
+        (3, 2, "assistant", '<tool_call>{"id": 1, "name": "add", "arguments": "x"}</tool_call>'),
+        (None, 0, "system", f"<tools>{json.dumps([add])}</tools>"),
+        (None, None, "assistant", call("a", a=1)),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): r.errors for r in op9_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, 0): "",
+        (1, 1): "",
+        (1, 2): "call 1: not readable; add $.b: missing; add $.a: not of type number; add $.z: unknown",
+        (1, 3): "other: unknown tool",
+        (2, 0): "add: unknown tool",
+        (3, 0): "tools 0: not readable",
+        (3, 1): "",
+        (3, 2): "add: schema not usable",
+        (None, 0): "",
+        (None, -1): "add $.b: missing",
+    }
