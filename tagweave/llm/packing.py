@@ -230,14 +230,17 @@ def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
             if not n:
                 break
             for fill in list(open_[room]):
-                take = min(n, open_[room][fill])
-                if take:
+                # a sequence that took one piece is the fullest now, so it takes as many as fit
+                while n and open_[room].get(fill):
+                    per = min(room // length, n)
+                    take = min(n // per, open_[room][fill])
                     open_[room][fill] -= take
                     if not open_[room][fill]:
                         del open_[room][fill]
-                    new = open_.setdefault(room - length, {})
-                    new[(*fill, length)] = new.get((*fill, length), 0) + take
-                    n -= take
+                    new = open_.setdefault(room - per * length, {})
+                    more = fill + (length,) * per
+                    new[more] = new.get(more, 0) + take
+                    n -= take * per
                 if not n:
                     break
             if not open_[room]:

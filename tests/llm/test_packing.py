@@ -44,6 +44,39 @@ def test_plan_is_close_to_the_bound(seed):
     assert bound <= p["n"] <= 1.004 * bound + 2
 
 
+def one_by_one(histogram, size):
+    """Sequences that best fit by single pieces opens."""
+    rooms = []
+    for length in range(size, 0, -1):
+        for _ in range(histogram[length]):
+            fits = [r for r in rooms if r >= length]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else size) - length)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("heavy, n", [({700: 1000, 100: 3000}, 500), ({1500: 400, 1: 50000}, 400), ({1100: 90, 300: 270, 7: 40}, 90)])
+def test_few_heavy_lengths(heavy, n):
+    h = np.zeros(2049, np.int64)
+    h[list(heavy)] = list(heavy.values())
+    p = packing.plan(h)
+    assert p["n"] == n
+    assert sum(k for _, k in packing.best_fit(h, 2048)) == n
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_equals_piece_by_piece(seed):
+    r = np.random.default_rng(seed)
+    h = np.zeros(65, np.int64)
+    h[r.choice(np.arange(1, 65), 6, replace=False)] = r.integers(1, 60, 6)
+    fills = packing.best_fit(h, 64)
+    assert sum(k for _, k in fills) == one_by_one(h, 64)
+    assert all(sum(fill) <= 64 for fill, _ in fills)
+    used = np.bincount([x for fill, k in fills for x in fill * k], minlength=65)
+    assert (used == h).all()
+
+
 def check(rows, docs, size):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for d, piece, start, length, crc, seq, offset in rows:
