@@ -4,7 +4,8 @@ A turn's text may hold calls, ``<tool_call>{"id", "name", "arguments"}</tool_cal
 and a turn of role ``tool`` holds one result, ``{"tool_call_id", "content"}``.
 Calls and results are hash-joined by conversation and identifier. Messages are
 put in topological order: results follow the message of their call, and a call
-whose arguments name another call's result ("$ref:ID") follows that one.
+whose arguments name another call's result ("$ref:ID") follows that one. Only
+calls that wait for each other, or for such calls, are left out and reported.
 Arguments are checked against the JSON schemas that the conversation's system
 turns declare, ``<tools>{"name", "parameters"} ...</tools>``, or the caller
 gives, and each message becomes canonical JSON (sorted keys, no blanks).
@@ -14,8 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from tagweave.llm.common import cut, small_batches
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _TOOLS = re.compile(r"<tools>(.*?)</tools>", re.S)
 _REF = re.compile(r"^\$ref:(.+)$", re.S)
-#: Rounds of following references between calls; longer chains and cycles are reported.
+#: Not read any more: references are followed to their end, whatever the chain's length.
 ROUNDS = 32
 #: Turns ranked in one cell.
 CELL_TURNS = 1000
@@ -186,6 +187,56 @@ def _checked(parsed: DataFrame, key) -> DataFrame:
     return listed.select("row_id", F.flatten("f.found").alias("found"))
 
 
+def _settle(edges: pa.Table) -> pa.Table:
+    """(row_id, k, at, depth, waits): places of one conversation's calls that use results or whose results are used.
+
+    A message can be placed when all calls of other messages that its own calls
+    use are placed; a call when its message and the calls that it uses are.
+    What can't be placed ``waits``. ``at`` is the message's turn, or more if
+    it must follow messages that come later; ``depth`` counts calls before it
+    in its own message.
+    """
+    turn, row, k, need_turn, need_row, need_k = (edges[c].to_numpy() for c in edges.column_names[1:])
+    rows, of = np.unique(np.concatenate([row, need_row]), return_inverse=True)
+    at = np.zeros(len(rows), np.int64)
+    at[of] = np.concatenate([turn, need_turn])
+    keys, node = np.unique(np.stack([of, np.concatenate([k, need_k])]), axis=1, return_inverse=True)
+    node = node.ravel()
+    user, need = node[: len(row)], node[len(row):]
+    n = len(rows)  # nodes: messages, then calls
+    inner = keys[0][user] == keys[0][need]
+    # a message waits for calls of others, a call for its message and for calls of the same message
+    source = np.concatenate([n + need, keys[0]])
+    target = np.concatenate([np.where(inner, n + user, keys[0][user]), n + np.arange(keys.shape[1])])
+    by = np.argsort(source, kind="stable")
+    target = target[by]
+    total = n + keys.shape[1]
+    start = np.searchsorted(source[by], np.arange(total + 1)).tolist()
+    missing = np.bincount(target, minlength=total).tolist()
+    target, home = target.tolist(), keys[0].tolist()
+    later, depth = at.tolist(), [0] * keys.shape[1]
+    ready = [i for i in range(total) if not missing[i]]
+    while ready:
+        i = ready.pop()
+        for j in target[start[i] : start[i + 1]]:
+            if i >= n and j < n:
+                later[j] = max(later[j], later[home[i - n]] + 1)
+            elif i >= n:
+                depth[j - n] = max(depth[j - n], depth[i - n] + 1)
+            missing[j] -= 1
+            if not missing[j]:
+                ready.append(j)
+    return pa.table(
+        {
+            "row_id": pa.array(rows[keys[0]]),
+            "k": pa.array(keys[1], pa.int32()),
+            "at": pa.array(np.array(later)[keys[0]]),
+            "depth": pa.array(depth, pa.int32()),
+            "waits": pa.array([m > 0 for m in missing[n:]]),
+        }
+    )
+
+
 def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """(conv_id, position, turn, message, n_calls, n_answered, result_of, linked, errors), one row per turn.
 
@@ -239,48 +290,37 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
         "conv", "turn", "row_id", "k", "call.id", "call.refs"
     )
     first = calls.groupBy("conv", "id").agg(F.min(F.struct("turn", "row_id", "k", "refs")).alias("c"))
-    first = cut(first.select("conv", "id", "c.*"), "calls").withColumn("at", F.col("turn"))
-    # a call comes no earlier than the calls whose results it uses
-    refs = first.select("conv", F.col("id").alias("user"), F.explode("refs").alias("id"))
-    waiting = []
-    if refs.take(1):
-        for r in range(ROUNDS):
-            need = refs.join(first.select("conv", "id", "at"), ["conv", "id"]).groupBy("conv", "user").agg(F.max("at").alias("need"))
-            late = first.join(need.withColumnRenamed("user", "id"), ["conv", "id"], "left").where("need >= at and id is not null")
-            late = cut(late.select("conv", "id", "need"), "late")
-            if not late.take(1):
-                waiting = []
-                break
-            # a cycle moves its calls in turn: those still moved in the later half of the rounds never settle
-            waiting += [late.select("conv", "id")] if r >= ROUNDS // 2 else []
-            first = cut(
-                first.join(late, ["conv", "id"], "left").withColumn("at", F.when(F.col("need").isNotNull(), F.col("need") + 1).otherwise(F.col("at"))).drop("need"),
-                "calls",
-            )
+    first = cut(first.select("conv", "id", "c.turn", "c.row_id", "c.k"), "calls").withColumn("at", F.col("turn"))
+    # references within each conversation; those to nothing order nothing
+    refs = calls.select("conv", "turn", "row_id", "k", F.explode("refs").alias("id"))
+    if not refs.take(1):
+        first = first.withColumn("depth", F.lit(0))
+        places = parsed.select("row_id", F.lit(None).cast("long").alias("new_at"), F.lit(False).alias("cycle")).limit(0)
+    else:
+        needed = first.select("conv", "id", F.col("turn").alias("need_turn"), F.col("row_id").alias("need_row"), F.col("k").alias("need_k"))
+        edges = refs.join(needed, ["conv", "id"]).select("conv", "turn", "row_id", "k", "need_turn", "need_row", "need_k")
+        settled = cut(edges.groupBy("conv").applyInArrow(_settle, "row_id long, k int, at long, depth int, waits boolean"), "settled")
+        places = settled.groupBy("row_id").agg(F.max("at").alias("new_at"), F.max("waits").alias("cycle"))
+        first = first.join(places.select("row_id", "new_at"), "row_id", "left").join(settled.select("row_id", "k", "depth"), ["row_id", "k"], "left")
+        first = first.withColumn("at", F.coalesce("new_at", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0))).drop("new_at")
     answers = parsed.where("result_of is not null").select(key, F.col("result_of").alias("id"), F.col("row_id").alias("result_row"))
     linked = answers.join(first, ["conv", "id"])
-    place = linked.select(F.col("result_row").alias("row_id"), F.col("at"), F.lit(1).alias("after"), "k")
-    asked = first.groupBy("row_id").agg(F.max("at").alias("call_at"))
+    place = linked.select(F.col("result_row").alias("row_id"), F.col("at"), F.lit(1).alias("after"), "depth", "k")
     answered = linked.select("row_id", "id").distinct().groupBy("row_id").agg(F.count(F.lit(1)).alias("n_answered"))
     out = (
         parsed.select("*", key)
         .join(place, "row_id", "left")
-        .join(asked, "row_id", "left")
+        .join(places.withColumnRenamed("new_at", "call_at"), "row_id", "left")
         .join(answered, "row_id", "left")
         .withColumn("anchor", F.coalesce("at", "call_at", "turn"))
         .withColumn("cell", F.floor(F.col("anchor") / CELL_TURNS))
     )
-    order = ["anchor", F.coalesce("after", F.lit(0)), F.coalesce("k", F.lit(0)), "turn", "json", "row_id"]
+    order = ["anchor", F.coalesce("after", F.lit(0)), F.coalesce("depth", F.lit(0)), F.coalesce("k", F.lit(0)), "turn", "json", "row_id"]
     cells = out.groupBy("conv", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("conv", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("conv", "cell").orderBy(*order)) - 1
-    errors = F.col("errors")
-    if waiting:
-        late = reduce(DataFrame.union, waiting).distinct()
-        bad = late.join(first.select("conv", "id", "row_id"), ["conv", "id"]).select("row_id").distinct().withColumn("cycle", F.lit(True))
-        out = out.join(bad, "row_id", "left")
-        errors = F.when(F.col("cycle"), F.array_append("errors", F.lit("calls wait for each other"))).otherwise(F.col("errors"))
+    errors = F.when(F.col("cycle"), F.array_append("errors", F.lit("calls wait for each other"))).otherwise(F.col("errors"))
     return (
         out.withColumn("rank", rank)
         .join(cells, ["conv", "cell"])

@@ -128,3 +128,30 @@ def test_registered_query_checks_calls(spark, tmp_path):
         (None, 0): "",
         (None, -1): "add $.b: missing",
     }
+
+
+def test_long_chains_and_cycles(spark):
+    """Chains of any length are put in order; only calls that can't be placed are reported, by conversation."""
+    n = 60
+    rows = [(1, i, "assistant", call(f"c{i}", a=f"$ref:c{i + 1}" if i + 1 < n else 1)) for i in range(n)]
+    rows += [(1, n + i, "tool", result(f"c{i}", i)) for i in range(n)]
+    rows += [(2, 0, "assistant", "".join(call(f"c{i}", a=f"$ref:c{i - 1}" if i else 1) for i in range(n)))]
+    rows += [(2, 1 + i, "tool", result(f"c{i}", i)) for i in range(n)] + [(2, n + 1, "user", "thanks")]
+    rows += [(3, i, "assistant", call(f"c{i}", a=f"$ref:c{i + 1}" if i < 25 else 1)) for i in range(26)]
+    # a cycle, a call behind it, one within a message, one before it
+    rows += [(4, 0, "assistant", call("m", a="$ref:n")), (4, 1, "assistant", call("n", a="$ref:m", b="$ref:ok"))]
+    rows += [(4, 2, "assistant", call("behind", a="$ref:n")), (4, 3, "assistant", call("p", a="$ref:q") + call("q", a="$ref:p"))]
+    rows += [(4, 4, "assistant", call("ok")), (4, 5, "assistant", call("own", a="$ref:own")), (4, 6, "assistant", call("fine", a="$ref:ok"))]
+    # a message moved behind the call that it uses takes the results of its other calls along
+    rows += [(5, 0, "assistant", call("x") + call("y", a="$ref:z")), (5, 1, "tool", result("x", 1)), (5, 2, "tool", result("y", 1))]
+    rows += [(5, 3, "assistant", call("z")), (5, 4, "tool", result("z", 1))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for r in sorted(format_chats(df, {"add": {}}).collect(), key=lambda r: (r.conv_id, r.position)):
+        got.setdefault(r.conv_id, []).append(r)
+    assert [r.turn for r in got[1]] == [t for i in reversed(range(n)) for t in (i, n + i)]
+    assert [r.turn for r in got[2]] == list(range(n + 2))
+    assert [r.turn for r in got[3]] == list(reversed(range(26)))
+    assert not any(r.errors for c in (1, 2, 3, 5) for r in got[c])
+    assert {r.turn for r in got[4] if r.errors == ["calls wait for each other"]} == {0, 1, 2, 3, 5}
+    assert [r.turn for r in got[5]] == [3, 4, 0, 1, 2]
