@@ -110,7 +110,7 @@ def _(t):
 
 def _bilinear_inputs(t):
     e = t.embeddings.where("label is not null")
-    x = e.select(F.col("vec_id").alias("img_id"), F.slice(F.col("embedding"), 1, 16).alias("vec"))
+    x = e.select(F.col("vec_id").alias("img_id"), F.col("embedding").alias("vec"))
     tags = e.select(F.col("label").cast("string").alias("tag"), F.col("label").alias("j")).distinct()
     y = tags.select("tag", F.array(*[(F.col("j") == k).cast("double") for k in range(10)]).alias("vec"))
     r = e.select(F.col("vec_id").alias("img_id"), "label").crossJoin(F.broadcast(tags)).select("img_id", "tag", F.when(F.col("label") == F.col("j"), 0.5).otherwise(-0.5).alias("r"))  # ten labels
@@ -120,21 +120,21 @@ def _bilinear_inputs(t):
 @query("l01_bilinear_squared_loss")
 def _(t):
     r, x, y = _bilinear_inputs(t)
-    m = bilinear.fit_bilinear(r, x, y, k=4, alpha=1.0, max_iter=3, inner=4)
+    m = bilinear.fit_bilinear(r, x, y, k=4, alpha=1.0)
     return bilinear.predict_bilinear(m, x, y).withColumn("score", F.round("score", 4))
 
 
 @query("l02_bilinear_hinge_loss")
 def _(t):
     r, x, y = _bilinear_inputs(t)
-    m = bilinear.fit_bilinear(r.withColumn("r", F.col("r") * 2), x, y, k=4, alpha=1.0, loss="hinge", max_iter=2, inner=4)
+    m = bilinear.fit_bilinear(r.withColumn("r", F.col("r") * 2), x, y, k=4, alpha=1.0, loss="hinge")
     return bilinear.predict_bilinear(m, x, y).withColumn("score", F.round("score", 4))
 
 
 @query("l07_kernel_grid_search")
 def _(t):
     d = t.embeddings.where("label is not null").select(F.col("vec_id").alias("id"), "embedding", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"))
-    return svm.grid_search(d.withColumnRenamed("embedding", "vec"), cs=(1.0,), gammas=(1.0,), max_rows=300)
+    return svm.grid_search(d.withColumnRenamed("embedding", "vec"))
 
 
 @query("l08_linear_machine")

@@ -208,8 +208,8 @@ def _(t):
 @query("s18_sparse_vectors", "SELECT CAST(label AS DOUBLE) AS label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label")
 def _(t):
     path = _folder(t)
-    sinks.write_sparse_vectors(t.embeddings.where("label is not null").select("label", F.transform(F.slice("embedding", 1, 8), lambda v: F.round(v.cast("double"), 3)).alias("vec")), path)
-    return src.sparse_vectors(t.spark, path, 8).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_sparse_vectors(t.embeddings.where("label is not null").select("label", F.transform("embedding", lambda v: F.round(v.cast("double"), 3)).alias("vec")), path)
+    return src.sparse_vectors(t.spark, path, 64).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s19_relation_list", "SELECT DISTINCT p_type AS rel FROM part WHERE p_type > 'L'")

@@ -301,3 +301,38 @@ def test_samples_and_small_helpers(spark):
 def test_linear_renormalisers(spark):
     r = spark.createDataFrame([(0.0,), (2.0,)], "x double").select(fn.logistic_renorm("x"), fn.log10_renorm("x"), fn.smooth_hinge("x"), fn.smooth_hinge("x")).collect()
     assert r[0][0] == 0 and r[1][0] == pytest.approx(0.5 * math.tanh(1)) and r[1][1] == pytest.approx(math.log10(3))
+
+
+@pytest.mark.parametrize("name", ["l01_bilinear_squared_loss", "l02_bilinear_hinge_loss"])
+def test_registered_bilinear_models_are_whole(spark, sf, monkeypatch, name):
+    """Every component is fitted, with the default rounds; scores are the plain product."""
+    from tagweave.plans import QUERIES
+
+    fit, seen = bilinear.fit_bilinear, []
+
+    def spy(*args, **named):
+        assert not {"max_iter", "inner"} & set(named)
+        seen.append(fit(*args, **(named | {"max_iter": 1, "inner": 2})))  # the shape is what counts here
+        return seen[-1]
+
+    monkeypatch.setattr(bilinear, "fit_bilinear", spy)
+    got = {(r.img_id, r.tag): r.score for r in QUERIES[name](spark, sf).collect()}
+    x = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("label is not null").collect()}
+    assert seen[0].u.shape[1] == 64 and len(got) >= len(x)
+    assert all(abs(s - (x[i] @ seen[0].matrix)[int(tag)]) < 1e-3 for (i, tag), s in got.items())
+
+
+def test_registered_grid_is_whole(spark, sf):
+    from tagweave.plans import QUERIES
+
+    rows = QUERIES["l07_kernel_grid_search"](spark, sf).select("kind", "c", "gamma").collect()
+    assert sorted(map(tuple, rows)) == sorted([("rbf", c, g) for c in (0.1, 1.0, 10.0) for g in (0.5, 1.0, 2.0)] + [("linear", c, 1.0) for c in (0.1, 1.0, 10.0)])
+
+
+def test_registered_sparse_vectors_are_whole(spark, sf, monkeypatch):
+    from tagweave.plans import QUERIES
+    from tagweave.sources import sinks
+
+    write, sizes = sinks.write_sparse_vectors, []
+    monkeypatch.setattr(sinks, "write_sparse_vectors", lambda df, path: (sizes.extend(len(r.vec) for r in df.collect()), write(df, path)))
+    assert QUERIES["s18_sparse_vectors"](spark, sf).collect() and set(sizes) == {64}
