@@ -18,18 +18,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import cut, small_batches
+from tagweave.llm.common import components, cut, drop, numbered_in, small_batches
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _TOOLS = re.compile(r"<tools>(.*?)</tools>", re.S)
 _REF = re.compile(r"^\$ref:(.+)$", re.S)
-#: Not read any more: references are followed to their end, whatever the chain's length.
-ROUNDS = 32
-#: Turns ranked in one cell.
-CELL_TURNS = 1000
+#: Turns ranked in one task, references that one task puts in order, and of the largest connected set that still goes to a task.
+CELL_TURNS, TASK_REFS, SET_REFS = 10_000, 50_000, 50_000
 
 
 def canonical(value) -> str:
@@ -187,8 +185,13 @@ def _checked(parsed: DataFrame, key) -> DataFrame:
     return listed.select("row_id", F.flatten("f.found").alias("found"))
 
 
+#: A reference: the using call's turn, row and number in its row, then those of the call that it names.
+EDGE = ("turn", "row_id", "k", "need_turn", "need_row", "need_k")
+SETTLED = "row_id long, k int, at long, depth int, waits boolean"
+
+
 def _settle(edges: pa.Table) -> pa.Table:
-    """(row_id, k, at, depth, waits): places of one conversation's calls that use results or whose results are used.
+    """(row_id, k, at, depth, waits): places of calls that use results or whose results are used, of whole connected sets.
 
     A message can be placed when all calls of other messages that its own calls
     use are placed; a call when its message and the calls that it uses are.
@@ -196,7 +199,7 @@ def _settle(edges: pa.Table) -> pa.Table:
     it must follow messages that come later; ``depth`` counts calls before it
     in its own message.
     """
-    turn, row, k, need_turn, need_row, need_k = (edges[c].to_numpy() for c in edges.column_names[1:])
+    turn, row, k, need_turn, need_row, need_k = (edges[c].to_numpy() for c in EDGE)
     rows, of = np.unique(np.concatenate([row, need_row]), return_inverse=True)
     at = np.zeros(len(rows), np.int64)
     at[of] = np.concatenate([turn, need_turn])
@@ -237,6 +240,69 @@ def _settle(edges: pa.Table) -> pa.Table:
     )
 
 
+def _settle_rounds(edges: DataFrame) -> DataFrame:
+    """What ``_settle`` gives, by rounds of joins: for connected sets too large for one task.
+
+    Each round places all nodes that wait for nothing any more, until none is
+    left that can be placed; there is no bound on the rounds. A message is the
+    node ``k`` = -1 of its row.
+    """
+    none = F.lit(-1)
+    inner = F.col("row_id") == F.col("need_row")
+    calls = edges.select("turn", "row_id", "k").union(edges.select("need_turn", "need_row", "need_k")).distinct()
+    used = edges.select("row_id", F.when(inner, F.col("k")).otherwise(none).alias("k"), "need_row", "need_k")
+    deps = cut(used.union(calls.select("row_id", "k", "row_id", none)), "needs")  # a reference named twice counts twice
+    missing = deps.groupBy("row_id", "k").agg(F.count(F.lit(1)).alias("missing"))
+    nodes = calls.union(calls.select("turn", "row_id", none)).distinct().join(missing, ["row_id", "k"], "left")
+    # ``at`` of a call is its message's, once that is placed; ``depth`` counts calls before it in its message
+    state = nodes.select("row_id", "k", F.coalesce("missing", F.lit(0)).alias("missing"), F.col("turn").alias("at"), F.lit(0).alias("depth"))
+    state, done = cut(state, "state"), []
+    while True:
+        ready = state.where("missing = 0")
+        if not ready.take(1):
+            break
+        done.append(cut(ready, "placed"))
+        told = deps.join(done[-1].select(F.col("row_id").alias("need_row"), F.col("k").alias("need_k"), "at", "depth"), ["need_row", "need_k"])
+        same = F.col("row_id") == F.col("need_row")
+        news = told.groupBy("row_id", "k").agg(
+            F.count(F.lit(1)).alias("fewer"),
+            F.max(F.col("at") + F.when(same, 0).otherwise(1)).alias("new_at"),
+            F.max(F.when(same & (F.col("need_k") >= 0), F.col("depth") + 1).otherwise(0)).alias("new_depth"),
+        )
+        left = state.where("missing > 0").join(news, ["row_id", "k"], "left").select(
+            "row_id",
+            "k",
+            (F.col("missing") - F.coalesce("fewer", F.lit(0))).alias("missing"),
+            F.greatest("at", "new_at").alias("at"),
+            F.greatest("depth", "new_depth").alias("depth"),
+        )
+        left = cut(left, "state")
+        drop(state)
+        state = left
+    out = state.withColumn("waits", F.lit(True))
+    if done:  # one scan over the tables of all rounds
+        placed = edges.sparkSession.read.schema(state.schema).parquet(*(d._tagweave_path for d in done))
+        out = out.union(placed.withColumn("waits", F.lit(False)))
+    # a call is shown at its message's place, even if the message has one and the call has none
+    message = out.where("k = -1").select("row_id", F.col("at").alias("own"))
+    return out.where("k >= 0").join(message, "row_id").select("row_id", "k", F.col("own").alias("at"), F.col("depth").cast("int").alias("depth"), "waits")
+
+
+def settled_calls(edges: DataFrame, task_refs: int, set_refs: int) -> DataFrame:
+    """SETTLED of all calls in ``edges``: connected sets are dealt to tasks, larger ones than ``set_refs`` go by rounds of joins."""
+    total = edges.count()
+    if total <= min(task_refs, set_refs):
+        return edges.select(*EDGE, F.lit(0).alias("bucket")).groupBy("bucket").applyInArrow(_settle, SETTLED)
+    roots = components(edges.select(F.col("row_id").alias("a"), F.col("need_row").alias("b")))
+    rooted = edges.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+    sizes = rooted.groupBy("root").agg((F.count(F.lit(1)) > set_refs).alias("large"))
+    rooted = cut(rooted.join(sizes, "root").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(-(-total // task_refs)))), "refs")
+    out = rooted.where("not large").select(*EDGE, "bucket").groupBy("bucket").applyInArrow(_settle, SETTLED)
+    if rooted.where("large").take(1):
+        out = out.union(_settle_rounds(rooted.where("large").select(*EDGE)))
+    return out
+
+
 def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """(conv_id, position, turn, message, n_calls, n_answered, result_of, linked, errors), one row per turn.
 
@@ -246,7 +312,9 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     identifiers of conversations form one conversation, null turns come first;
     null roles and texts are empty. Every call is checked: against ``schemas``
     (by tool) or, if its tool isn't there, against what the system turns of its
-    conversation declare; a tool in neither is reported as unknown.
+    conversation declare; a tool in neither is reported as unknown. Turns that
+    tie are ordered by a digest of their message; repeated rows stay repeated,
+    further columns are left aside, and an empty table gives an empty one.
     """
     schemas = schemas or {}
     small_batches(turns.sparkSession)
@@ -298,8 +366,8 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
         places = parsed.select("row_id", F.lit(None).cast("long").alias("new_at"), F.lit(False).alias("cycle")).limit(0)
     else:
         needed = first.select("conv", "id", F.col("turn").alias("need_turn"), F.col("row_id").alias("need_row"), F.col("k").alias("need_k"))
-        edges = refs.join(needed, ["conv", "id"]).select("conv", "turn", "row_id", "k", "need_turn", "need_row", "need_k")
-        settled = cut(edges.groupBy("conv").applyInArrow(_settle, "row_id long, k int, at long, depth int, waits boolean"), "settled")
+        edges = refs.join(needed, ["conv", "id"])
+        settled = cut(settled_calls(cut(edges.select(*EDGE), "refs"), TASK_REFS, SET_REFS), "settled")
         places = settled.groupBy("row_id").agg(F.max("at").alias("new_at"), F.max("waits").alias("cycle"))
         first = first.join(places.select("row_id", "new_at"), "row_id", "left").join(settled.select("row_id", "k", "depth"), ["row_id", "k"], "left")
         first = first.withColumn("at", F.coalesce("new_at", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0))).drop("new_at")
@@ -312,27 +380,27 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
         .join(place, "row_id", "left")
         .join(places.withColumnRenamed("new_at", "call_at"), "row_id", "left")
         .join(answered, "row_id", "left")
-        .withColumn("anchor", F.coalesce("at", "call_at", "turn"))
-        .withColumn("cell", F.floor(F.col("anchor") / CELL_TURNS))
     )
-    order = ["anchor", F.coalesce("after", F.lit(0)), F.coalesce("depth", F.lit(0)), F.coalesce("k", F.lit(0)), "turn", "json", "row_id"]
-    cells = out.groupBy("conv", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("conv", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("conv", "cell").orderBy(*order)) - 1
+    out = cut(out, "linked")
+    zero = F.lit(0)
+    keys = out.select(
+        "conv",
+        F.coalesce("at", "call_at", "turn").alias("anchor"),
+        *(F.coalesce(c, zero).alias(c) for c in ("after", "depth", "k")),
+        "turn",
+        F.md5("json").alias("print"),
+        "row_id",
+    )
+    ranks = numbered_in(keys, "conv", CELL_TURNS).select("row_id", "rank")
     errors = F.when(F.col("cycle"), F.array_append("errors", F.lit("calls wait for each other"))).otherwise(F.col("errors"))
-    return (
-        out.withColumn("rank", rank)
-        .join(cells, ["conv", "cell"])
-        .select(
-            "conv_id",
-            (F.col("before") + F.col("rank")).cast("long").alias("position"),
-            "turn",
-            F.col("json").alias("message"),
-            F.size("calls").cast("long").alias("n_calls"),
-            F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"),
-            "result_of",
-            F.when(F.col("result_of").isNotNull(), F.col("at").isNotNull()).alias("linked"),
-            errors.alias("errors"),
-        )
+    return out.join(ranks, "row_id").select(
+        "conv_id",
+        F.col("rank").alias("position"),
+        "turn",
+        F.col("json").alias("message"),
+        F.size("calls").cast("long").alias("n_calls"),
+        F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"),
+        "result_of",
+        F.when(F.col("result_of").isNotNull(), F.col("at").isNotNull()).alias("linked"),
+        errors.alias("errors"),
     )

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Every byte that is not part of a word becomes a blank, A-Z become a-z.
@@ -34,9 +34,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tagweave-")
         spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return where.rstrip("/")
@@ -69,6 +71,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered_in(keys: DataFrame, group: str, cell_rows: int) -> DataFrame:
+    """``keys`` with ``rank`` from 0 within each ``group``, by all columns in their order (the group comes first).
+
+    Rows are range-partitioned by all columns, so neither a group that holds
+    most rows nor equal values meet in one task; ranks are the rows of a group
+    in the ranges before and a row number within the range.
+    """
+    total = keys.count()
+    parts = max(1, -(-total // cell_rows))
+    ranged = cut(keys.repartitionByRange(parts, *keys.columns).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(group, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy(group, "range").orderBy(*keys.columns)
+    return ranged.withColumn("rn", F.row_number().over(own)).join(counts, [group, "range"]).select(
+        *keys.columns, (F.col("before") + F.col("rn") - 1).cast("long").alias("rank")
+    )
+
+
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node of its component) with the same components as the edges (a, b)."""
     if not len(a):

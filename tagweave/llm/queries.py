@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagweave.llm.common import table
 
@@ -67,12 +68,62 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+#: What the caller knows of tools; system turns declare others.
+TOOL_SCHEMAS = {
+    "lookup": {
+        "type": "object",
+        "properties": {"limit": {"type": "integer", "minimum": 0, "maximum": 40}, "query": {"type": "string"}},
+        "required": ["query"],
+    }
+}
+_MERGE = '<tools>[{"name":"merge","parameters":{"type":"object","properties":{"of":{"type":"array"}},"required":["of"],"additionalProperties":false}}]</tools>'
+
+
+def with_tool_traffic(turns: DataFrame) -> DataFrame:
+    """All turns, and tool calls and results derived from them, since the tables hold none.
+
+    Every assistant turn t without calls gets two, ``c<t>a`` of tool lookup and
+    ``c<t>b`` of merge (or of the unknown tool guess), and results for most of
+    them, some before their call, some for no call at all. The text's length n
+    decides about references (to the same turn, to later and earlier ones, so
+    that there are chains and cycles) and about arguments that break a schema.
+    System turns without a declaration declare merge.
+    """
+    n = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    plain = ~F.coalesce(F.col("text").contains("<tool_call>"), F.lit(False))
+    t = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
+    rows = turns.select("conv_id", t.alias("t"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), n.alias("n"), plain.alias("plain"))
+    lookup = F.expr(
+        """CASE WHEN n % 7 = 0 THEN concat('{"limit":"many","query":"q', n, '"}') WHEN n % 11 = 0 THEN concat('{"limit":', n % 50, '}')
+        WHEN n % 5 = 0 THEN concat('{"after":"$ref:c', t - 2, 'b","limit":', n % 50, ',"query":"q', n, '"}')
+        ELSE concat('{"limit":', n % 50, ',"query":"q', n, '"}') END"""
+    )
+    merge = F.expr("""concat('{"of":["$ref:c', IF(n % 3 = 0, t + 2, t), 'a"]', IF(n % 23 = 0, ',"rest":1', ''), '}')""")
+    calls = F.concat(
+        F.lit('<tool_call>{"arguments":'), lookup, F.expr("""concat(',"id":"c', t, 'a","name":"lookup"}</tool_call><tool_call>{"arguments":')"""), merge,
+        F.expr("""concat(',"id":"c', t, 'b","name":"', IF(n % 4 = 1, 'guess', 'merge'), '"}</tool_call>')"""),
+    )
+    asks = F.expr("coalesce(role = 'assistant', false) AND plain")
+    text = (
+        F.when(asks, F.concat("text", calls))
+        .when(F.expr("role = 'system' AND NOT contains(text, '<tools>')"), F.concat("text", F.lit(_MERGE)))
+        .otherwise(F.col("text"))
+    )
+    own = F.struct(F.col("t").alias("turn"), F.col("role").alias("role"), text.alias("text"))
+    answers = F.expr(
+        """filter(array(
+        IF(n % 17 <> 0, named_struct('turn', t + 1, 'role', 'tool', 'text', concat('{"content":{"n":', n, '},"tool_call_id":"c', t, 'a"}')), NULL),
+        IF(n % 2 = 0, named_struct('turn', t - 1, 'role', 'tool', 'text', concat('{"content":"ok","tool_call_id":"c', t, 'b"}')), NULL),
+        IF(n % 19 = 0, named_struct('turn', t, 'role', 'tool', 'text', concat('{"content":null,"tool_call_id":"x', t, '"}')), NULL)), r -> r IS NOT NULL)"""
+    )
+    every = F.concat(F.array(own), F.when(asks, answers).otherwise(F.expr("array()").cast("array<struct<turn: bigint, role: string, text: string>>")))
+    return rows.select("conv_id", F.explode(every).alias("r")).select("conv_id", "r.turn", "r.role", "r.text")
+
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagweave.llm.chat import format_chats
 
-    out = format_chats(table(spark, sf_dir, "conversations"))
+    out = format_chats(with_tool_traffic(table(spark, sf_dir, "conversations")), TOOL_SCHEMAS)
     return out.select(
         "conv_id", "position", "turn", "message", "n_calls", "n_answered", "linked", F.array_join("errors", "; ").alias("errors")
     )
@@ -103,6 +154,58 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op9_chat_formatting": f"""
+WITH RECURSIVE src AS (SELECT conv_id AS c, coalesce(turn, -1)::BIGINT AS t, coalesce(role, '') AS role, coalesce(text, '') AS text,
+      length(coalesce(text, '')) AS n FROM conversations),
+declared AS (SELECT DISTINCT c FROM src WHERE role = 'system'),
+ask AS (SELECT * FROM src WHERE role = 'assistant'),
+-- calls: place k in their message, and the call that each names
+ref AS (SELECT a.c, a.t, 1 AS k, 'c' || CASE WHEN n % 3 = 0 THEN t + 2 ELSE t END || 'a' AS need FROM ask a
+        UNION ALL SELECT a.c, a.t, 0, 'c' || (t - 2) || 'b' FROM ask a WHERE n % 5 = 0 AND n % 7 <> 0 AND n % 11 <> 0),
+call AS (SELECT c, t, 0 AS k, 'c' || t || 'a' AS id FROM ask UNION ALL SELECT c, t, 1, 'c' || t || 'b' FROM ask),
+edge AS (SELECT ref.c, ref.t, ref.k, call.t AS t2, call.k AS k2 FROM ref JOIN call ON ref.c = call.c AND ref.need = call.id),
+-- nodes are messages (k = -1) and calls; what each waits for
+wait AS (SELECT c, t, CASE WHEN t = t2 THEN k ELSE -1 END AS k, t2, k2 FROM edge UNION SELECT c, t, k, t, -1 FROM call),
+reach AS (SELECT * FROM wait UNION SELECT r.c, r.t, r.k, w.t2, w.k2 FROM reach r JOIN wait w ON r.c = w.c AND r.t2 = w.t AND r.k2 = w.k),
+cyclic AS (SELECT DISTINCT c, t, k FROM reach WHERE t = t2 AND k = k2),
+stuck AS (SELECT * FROM cyclic UNION SELECT r.c, r.t, r.k FROM reach r JOIN cyclic y ON r.c = y.c AND r.t2 = y.t AND r.k2 = y.k),
+linked AS (SELECT c, t, k FROM edge UNION SELECT c, t2, k2 FROM edge),
+waits AS (SELECT DISTINCT c, t FROM stuck SEMI JOIN linked USING (c, t, k)),
+-- a message comes after those whose calls it uses: the longest way to each, over calls that can be placed
+free AS (SELECT c, t, t2 FROM edge WHERE t <> t2 AND (c, t2, k2) NOT IN (SELECT (c, t, k) FROM stuck)),
+way AS (SELECT c, t AS m, t AS spot FROM ask UNION SELECT f.c, f.t, way.spot + 1 FROM way JOIN free f ON f.c = way.c AND f.t2 = way.m),
+place AS (SELECT c, m AS t, max(spot) AS spot FROM way GROUP BY ALL),
+deep AS (SELECT call.*, CASE WHEN (call.c, call.t, call.k) IN (SELECT (c, t, k) FROM edge WHERE t = t2 AND (c, t2, k2) NOT IN (SELECT (c, t, k) FROM stuck)) THEN 1 ELSE 0 END AS depth
+         FROM call),
+args AS (SELECT *, CASE WHEN n % 7 = 0 THEN '{{"limit":"many","query":"q' || n || '"}}' WHEN n % 11 = 0 THEN '{{"limit":' || (n % 50) || '}}'
+           WHEN n % 5 = 0 THEN '{{"after":"$ref:c' || (t - 2) || 'b","limit":' || (n % 50) || ',"query":"q' || n || '"}}'
+           ELSE '{{"limit":' || (n % 50) || ',"query":"q' || n || '"}}' END AS one,
+         '{{"of":["$ref:c' || (CASE WHEN n % 3 = 0 THEN t + 2 ELSE t END) || 'a"]' || (CASE WHEN n % 23 = 0 THEN ',"rest":1' ELSE '' END) || '}}' AS two,
+         CASE WHEN n % 4 = 1 THEN 'guess' ELSE 'merge' END AS tool FROM ask),
+result AS (SELECT c, t + 1 AS turn, 'c' || t || 'a' AS id, '{{"content":{{"n":' || n || '}},"role":"tool","tool_call_id":"c' || t || 'a"}}' AS message FROM ask WHERE n % 17 <> 0
+  UNION ALL SELECT c, t - 1, 'c' || t || 'b', '{{"content":"ok","role":"tool","tool_call_id":"c' || t || 'b"}}' FROM ask WHERE n % 2 = 0
+  UNION ALL SELECT c, t, 'x' || t, '{{"content":null,"role":"tool","tool_call_id":"x' || t || '"}}' FROM ask WHERE n % 19 = 0),
+told AS (SELECT c, turn, r.id, message, d.t AS of_turn, d.k, d.depth, p.spot FROM result r LEFT JOIN deep d USING (c, id) LEFT JOIN place p ON p.c = r.c AND p.t = d.t),
+msg AS (
+  SELECT c, turn, coalesce(spot, turn) AS anchor, CASE WHEN spot IS NULL THEN 0 ELSE 1 END AS after, coalesce(depth, 0) AS depth, coalesce(k, 0) AS k, message,
+         0 AS n_calls, 0 AS n_answered, spot IS NOT NULL AS linked, '' AS errors FROM told
+  UNION ALL
+  SELECT a.c, a.t, p.spot, 0, 0, 0, '{{"content":' || to_json(a.text) || ',"role":"assistant","tool_calls":[{{"arguments":' || one || ',"id":"c' || a.t || 'a","name":"lookup"}},'
+         || '{{"arguments":' || two || ',"id":"c' || a.t || 'b","name":"' || tool || '"}}]}}', 2,
+         CASE WHEN n % 17 <> 0 THEN 1 ELSE 0 END + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END, NULL,
+         array_to_string(list_filter([
+           CASE WHEN n % 7 = 0 THEN 'lookup $.limit: not of type integer' END,
+           CASE WHEN n % 7 <> 0 AND n % 11 = 0 THEN 'lookup $.query: missing' END,
+           CASE WHEN n % 7 <> 0 AND n % 50 > 40 THEN 'lookup $.limit: out of bounds' END,
+           CASE WHEN tool = 'guess' OR a.c NOT IN (SELECT c FROM declared) THEN tool || ': unknown tool'
+                WHEN n % 23 = 0 THEN 'merge $.rest: unknown' END,
+           CASE WHEN (a.c, a.t) IN (SELECT (c, t) FROM waits) THEN 'calls wait for each other' END], lambda x: x IS NOT NULL), '; ')
+  FROM args a JOIN place p USING (c, t)
+  UNION ALL
+  SELECT c, t, t, 0, 0, 0, '{{"content":' || to_json(text || CASE WHEN role = 'system' THEN '{_MERGE}' ELSE '' END) || ',"role":"' || role || '"}}', 0, 0, NULL, ''
+  FROM src WHERE role <> 'assistant')
+SELECT c AS conv_id, row_number() OVER (PARTITION BY c ORDER BY anchor, after, depth, k, turn, md5(message)) - 1 AS position, turn, message,
+       n_calls::BIGINT AS n_calls, n_answered::BIGINT AS n_answered, linked, errors FROM msg""",
     "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v

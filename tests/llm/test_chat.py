@@ -1,4 +1,5 @@
 import json
+import random
 
 from tagweave.llm import chat
 from tagweave.llm.chat import canonical, format_chats, violations
@@ -42,8 +43,7 @@ def answer(spark):
     return {k: sorted(v, key=lambda r: r.position) for k, v in out.items()}
 
 
-def test_linking_and_order(spark, monkeypatch):
-    monkeypatch.setattr(chat, "ROUNDS", 6)
+def test_linking_and_order(spark):
     got = answer(spark)
     assert [r.turn for r in got[1]] == [0, 1, 4, 3, 2, 5, 6]
     assert [r.position for r in got[1]] == list(range(7))
@@ -60,8 +60,7 @@ def test_linking_and_order(spark, monkeypatch):
     assert json.loads(got[None][0].message) == {"role": "", "content": ""}
 
 
-def test_messages_are_canonical(spark, monkeypatch):
-    monkeypatch.setattr(chat, "ROUNDS", 6)
+def test_messages_are_canonical(spark):
     for rows in answer(spark).values():
         for r in rows:
             assert canonical(json.loads(r.message)) == r.message
@@ -132,7 +131,7 @@ def test_registered_query_checks_calls(spark, tmp_path):
 
 def test_long_chains_and_cycles(spark):
     """Chains of any length are put in order; only calls that can't be placed are reported, by conversation."""
-    n = 60
+    n = 200
     rows = [(1, i, "assistant", call(f"c{i}", a=f"$ref:c{i + 1}" if i + 1 < n else 1)) for i in range(n)]
     rows += [(1, n + i, "tool", result(f"c{i}", i)) for i in range(n)]
     rows += [(2, 0, "assistant", "".join(call(f"c{i}", a=f"$ref:c{i - 1}" if i else 1) for i in range(n)))]
@@ -155,3 +154,105 @@ def test_long_chains_and_cycles(spark):
     assert not any(r.errors for c in (1, 2, 3, 5) for r in got[c])
     assert {r.turn for r in got[4] if r.errors == ["calls wait for each other"]} == {0, 1, 2, 3, 5}
     assert [r.turn for r in got[5]] == [3, 4, 0, 1, 2]
+
+
+def plain_order(rows):
+    """Positions of one conversation's turns, placing one message or call at a time until nothing moves."""
+    parsed = []
+    for i, (turn, role, text) in enumerate(rows):
+        message, calls, result, *_ = chat.parse_turn(role, text, {})
+        parsed.append({"turn": -1 if turn is None else turn, "row": i, "json": message, "calls": calls, "result": result})
+    first = {}
+    for p in sorted(parsed, key=lambda p: (p["turn"], p["row"])):
+        for k, (ident, _) in enumerate(p["calls"]):
+            first.setdefault(ident, (p["row"], k))
+    needs = {(p["row"], k): [first[r] for r in refs if r in first] for p in parsed for k, (_, refs) in enumerate(p["calls"])}
+    at = {p["row"]: p["turn"] for p in parsed}
+    depth, messages, calls = dict.fromkeys(needs, 0), set(), set()
+    linked = set(c for c in needs if needs[c]) | {n for v in needs.values() for n in v}
+    moved = True
+    while moved:
+        moved = False
+        for p in parsed:
+            r = p["row"]
+            outer = [n for k in range(len(p["calls"])) for n in needs[r, k] if n[0] != r]
+            if r not in messages and all(n in calls for n in outer):
+                messages.add(r)
+                moved = True
+            for n in outer:
+                if n in calls:
+                    at[r] = max(at[r], at[n[0]] + 1)
+            for k in range(len(p["calls"])):
+                inner = [n for n in needs[r, k] if n[0] == r]
+                for n in inner:
+                    if n in calls:
+                        depth[r, k] = max(depth[r, k], depth[n] + 1)
+                if (r, k) not in calls and r in messages and all(n in calls for n in inner):
+                    calls.add((r, k))
+                    moved = True
+    import hashlib
+
+    keys = []
+    for p in parsed:
+        own = first.get(p["result"]) if p["result"] is not None else None
+        head = (at[own[0]], 1, depth[own], own[1]) if own else (at[p["row"]], 0, 0, 0)
+        keys.append((*head, p["turn"], hashlib.md5(p["json"].encode()).hexdigest(), p["row"]))
+    stuck = {r for r, k in linked if (r, k) not in calls}
+    return [(rows[key[-1]][0], parsed[key[-1]]["json"], key[-1] in stuck) for key in sorted(keys)]
+
+
+def random_conversation(r):
+    rows, names = [], [f"n{i}" for i in range(r.randint(1, 9))]
+    for t in range(r.randint(1, 8)):
+        text = "".join(
+            call(r.choice(names), a=r.choice([1, *(f"$ref:{x}" for x in names)]), b=[f"$ref:{r.choice(names)}"] if r.random() < 0.3 else 2) for _ in range(r.randint(0, 4))
+        )
+        rows.append((r.choice([t, t, t, 0, None]), "assistant", f"{t}" + text))
+        if r.random() < 0.7:
+            rows.append((r.randint(-2, 9), "tool", result(r.choice([*names, "lost"]), t)))
+    return rows
+
+
+def check_plain(spark, chats, **how):
+    df = spark.createDataFrame([(c, *row) for c, rows in chats.items() for row in rows], "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {}
+    for x in sorted(format_chats(df, {"add": {}}, **how).collect(), key=lambda x: (x.conv_id, x.position)):
+        got.setdefault(x.conv_id, []).append((x.turn, x.message, "calls wait for each other" in x.errors))
+    for c, rows in chats.items():
+        assert [(-1 if t is None else t, m, s) for t, m, s in plain_order(rows)] == got[c], c
+
+
+def test_against_plain_order(spark):
+    r = random.Random(8)
+    check_plain(spark, {c: random_conversation(r) for c in range(150)})
+
+
+def test_large_connected_sets_go_by_rounds(spark, monkeypatch):
+    """The same places when sets are dealt to several tasks, and when none fits into a task."""
+    r = random.Random(9)
+    chats = {c: random_conversation(r) for c in range(40)}
+    monkeypatch.setattr(chat, "TASK_REFS", 20)
+    monkeypatch.setattr(chat, "SET_REFS", 6)
+    check_plain(spark, chats)
+
+
+def test_hot_conversation_is_ranked_in_ranges(spark, monkeypatch):
+    """Null and equal turns, equal texts and one conversation that holds most turns: every position once."""
+    monkeypatch.setattr(chat, "CELL_TURNS", 50)
+    rows = [(7, None, "user", f"t{i % 30}") for i in range(600)] + [(None, 3, "user", "same")] * 20 + [(8, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = format_chats(df).collect()
+    for conv, n in ((7, 600), (None, 20), (8, 1)):
+        assert sorted(r.position for r in got if r.conv_id == conv) == list(range(n))
+
+
+def test_registered_query_adds_traffic(spark, sf):
+    from tagweave.llm.queries import op9_chat_formatting, with_tool_traffic
+
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = op9_chat_formatting(spark, sf).collect()
+    assert len(got) == with_tool_traffic(turns).count() > turns.count()
+    assert sum(r.n_calls for r in got) == 2 * turns.where("role = 'assistant'").count()
+    text = " ".join(r.errors for r in got)
+    assert all(e in text for e in ("unknown tool", "missing", "not of type integer", "out of bounds", "wait for each other"))
+    assert any(r.linked for r in got) and any(r.linked is False for r in got)
