@@ -8,16 +8,23 @@ sorted together and all others never need to be:
    one minimum form a segment, and each block lists its minima.
 2. Minima that occur in two places are told to their blocks (packed, by bucket
    of minima; a block lists a minimum once, however many copies it holds).
-3. Blocks send the segments of those minima, packed, to buckets of minima. A
-   bucket keeps equal segments once and sorts their suffixes in two stages:
-   only suffixes smaller than their successor are sorted directly, the rest are
-   induced by one scan over the buckets of first bytes. Common prefixes of
-   neighbours then give the strings that repeat and the smallest document each
-   starts in.
-4. Places that are covered go back to their blocks, which cut them out.
-
-No text is compared with another as a whole, nothing is capped, and the
-packed rows keep a hot passage to one entry for each block.
+3. Blocks send the segments of those minima, packed, to buckets of minima: each
+   distinct segment once a block, with the smallest and largest document that
+   has it there. A bucket sorts the suffixes of its distinct segments in two
+   stages: only suffixes smaller than their successor are sorted directly, the
+   rest are induced by one scan over the buckets of first bytes. Common prefixes
+   of neighbours then give the strings that repeat and the smallest document
+   each starts in.
+4. Runs of strings and their smallest documents go back to the blocks, which cut
+   out what their own documents may not keep.
+
+A minimum whose *distinct* segments would be too much for one sort (the edges of
+a line that half of all documents have, each in its own surroundings) is split:
+its strings are dealt one by one, by a digest of their own bytes, each distinct
+one once a block, reduced in stages (a part of the blocks, then all), and the
+answer goes back the same way. So no group holds more than a bucket, whatever
+repeats how often. No text is compared with another as a whole, nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +46,12 @@ LENGTH, GRAM = 50, 16
 #: Bytes of text in one block, of segments sorted at once, and of minima or segments in one bucket.
 BLOCK_BYTES, SORT_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20, 12 << 20
 SUBS = 64
+#: Bytes of a usual segment: up to 35 strings share a minimum that lies in all of them.
+SEGMENT_BYTES = 84
+#: Bytes of distinct segments with one minimum beyond which its strings are dealt one by one; blocks whose strings are reduced at once.
+HOT_BYTES, HOT_BLOCKS = 1 << 20, 2000
+#: Bytes of text whose minima are held at once.
+CHUNK_BYTES = 1 << 20
 LAST = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -162,35 +176,42 @@ def _first_holders(segments: list[bytes], least: np.ndarray, length: int) -> tup
     return holder, first
 
 
-def covered(raw: list[bytes], doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (segment, first start, last start) of strings that a smaller document holds too, of segments of one bucket."""
+def covered(raw: list[bytes], least: np.ndarray, most: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (segment, first start, last start, holder) of strings whose smallest document, ``holder``, lies below ``most``.
+
+    ``least`` and ``most`` are the smallest and largest documents that a block
+    has a segment in; ``raw`` are the segments of one bucket.
+    """
     seen: dict[bytes, int] = {}
     which = np.fromiter((seen.setdefault(s, len(seen)) for s in raw), np.int64, len(raw))
-    least = np.full(len(seen), LAST, np.int64)
-    np.minimum.at(least, which, doc)
-    holder, first = _first_holders(list(seen), least, length)
+    lowest = np.full(len(seen), LAST, np.int64)
+    np.minimum.at(lowest, which, least)
+    holder, first = _first_holders(list(seen), lowest, length)
     high = np.maximum.reduceat(holder, first)
     low = np.minimum.reduceat(holder, first)
     size = np.diff(np.concatenate([first, [len(holder)]]))
-    all_of = np.flatnonzero(doc > high[which])
-    out = [(all_of, np.zeros(len(all_of), np.int64), size[which[all_of]] - 1)]
-    some = np.flatnonzero((doc <= high[which]) & (doc > low[which]))
+    one = high[which] == low[which]
+    all_of = np.flatnonzero(one & (most > low[which]))
+    out = [(all_of, np.zeros(len(all_of), np.int64), size[which[all_of]] - 1, low[which[all_of]])]
+    some = np.flatnonzero(~one & (most > low[which]))
     if len(some):
         n = size[which[some]]
         at = np.repeat(np.arange(len(some)), n)
         k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        hit = holder[first[which[some]][at] + k] < doc[some][at]
-        edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-        # runs end at the borders of segments too
-        begin = hit & ((edge[:-1] == 1) | (k == 0))
-        end = hit & ((edge[1:] == -1) | (k == n[at] - 1))
-        out.append((some[at[begin]], k[begin], k[end]))
+        own = holder[first[which[some]][at] + k]
+        # a run ends where the segment or the holder changes
+        begin = (k == 0) | np.concatenate([[True], own[1:] != own[:-1]])
+        new = np.flatnonzero(begin)
+        last = np.concatenate([new[1:], [len(at)]]) - 1
+        hit = own[new] < most[some][at[new]]
+        new, last = new[hit], last[hit]
+        out.append((some[at[new]], k[new], k[last], own[new]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 # ---- blocks -------------------------------------------------------------------------------------------------------
 
-TABLE = "block long, bucket int, docs binary, sizes binary, texts binary, carry binary, prints binary"
+TABLE = "block long, bucket int, docs binary, sizes binary, texts binary, carry binary, prints binary, marks binary, wide binary"
 
 
 class _Block:
@@ -214,28 +235,116 @@ def _segments(texts: list[bytes], length: int):
     """(minimum, text, first start, string starts) of all segments."""
     value, text, start, size = [], [], [], []
     for t, raw in enumerate(texts):
-        v = minima(raw, length)
-        if len(v):
-            at = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1])
-            value.append(v[at])
-            text.append(np.full(len(at), t, np.int64))
-            start.append(at)
-            size.append(np.diff(np.concatenate([at, [len(v)]])))
+        n = len(raw) - length + 1
+        if n <= 0:
+            continue
+        values, starts = [], []
+        for at in range(0, n, CHUNK_BYTES):
+            v = minima(raw[at : at + CHUNK_BYTES + length - 1], length)
+            new = np.flatnonzero(v[1:] != v[:-1]) + 1
+            if not values or v[0] != values[-1][-1]:  # else the run goes on from the chunk before
+                new = np.concatenate([[0], new])
+            if len(new):
+                values.append(v[new])
+                starts.append(new + at)
+        at = np.concatenate(starts)
+        value.append(np.concatenate(values))
+        text.append(np.full(len(at), t, np.int64))
+        start.append(at)
+        size.append(np.diff(np.concatenate([at, [n]])))
     if not value:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
     return tuple(map(np.concatenate, (value, text, start, size)))
 
 
+def _same(raw: list[bytes], prints, text, start, size, length: int) -> np.ndarray:
+    """For each segment the number of the first one with the same bytes."""
+    first = np.arange(len(prints))
+    order = np.argsort(prints, kind="stable")
+    p = prints[order]
+    twin = np.zeros(len(p), bool)
+    twin[1:] = p[1:] == p[:-1]
+    twin[:-1] |= twin[1:]
+    some = np.sort(order[twin])
+    seen: dict[bytes, int] = {}
+    spans = zip(some.tolist(), text[some].tolist(), start[some].tolist(), (start[some] + size[some] + length - 1).tolist())
+    first[some] = np.fromiter((seen.setdefault(raw[t][a:z], i) for i, t, a, z in spans), np.int64, len(some))
+    return first
+
+
+class _Inventory:
+    """What one block may have to send; the same each time it is made.
+
+    ``seg`` are the distinct segments (by their number in the block) of minima
+    that occur elsewhere, ``place`` all segments and ``of`` the position in
+    ``seg`` of each. Strings of ``hot`` minima are listed by digest instead:
+    ``strings`` the distinct ones, ``at`` (text, start) of all, ``string`` the
+    position in ``strings`` of each.
+    """
+
+    def __init__(self, ids, of_text, raw: list[bytes], lists, buckets: int, length: int, hot_bytes: int):
+        self.least = np.full(len(raw), LAST, np.int64)
+        np.minimum.at(self.least, of_text, ids)
+        value, text, start, size = _segments(raw, length)
+        prints = _prints(value, buckets)
+        told = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in lists])) if lists else np.zeros(0, np.uint64)
+        hot = told[told >> np.uint64(63) == 1] & np.uint64((1 << 63) - 1)
+        # minima that several texts of this block have
+        order = np.lexsort((text, prints))
+        p, t = prints[order], text[order]
+        own = np.unique(p[1:][(p[1:] == p[:-1]) & (t[1:] != t[:-1])])
+        known = np.unique(np.concatenate([own, told & np.uint64((1 << 63) - 1)]))
+        keep = np.flatnonzero(_within(prints, known))
+        text, start, size, prints = text[keep], start[keep], size[keep], prints[keep]
+        first = _same(raw, prints, text, start, size, length)
+        single = np.flatnonzero(first == np.arange(len(first)))
+        # a minimum that only this block has may be hot here
+        heavy, at = np.unique(prints[single], return_inverse=True)
+        heavy = heavy[np.bincount(at, size[single] + length - 1, len(heavy)) > hot_bytes]
+        is_hot = _within(prints, np.unique(np.concatenate([hot, heavy])))
+        self.seg = single[~is_hot[single]]
+        self.place = np.flatnonzero(~is_hot)
+        self.of = np.searchsorted(self.seg, first[self.place])
+        self.text, self.start, self.size, self.prints = text, start, size, prints
+        self.low, self.high = self._bounds(self.of, text[self.place], len(self.seg))
+        seen: dict[bytes, int] = {}
+        rows, doc = [], self.least
+        by_seg: dict[int, list[int]] = {}
+        for i in np.flatnonzero(is_hot).tolist():
+            by_seg.setdefault(int(first[i]), []).append(i)
+        for i, places in by_seg.items():
+            t, a, n = int(text[i]), int(start[i]), int(size[i])
+            own = np.fromiter((seen.setdefault(raw[t][k : k + length], len(seen)) for k in range(a, a + n)), np.int64, n)
+            for q in places:
+                rows.append((np.full(n, text[q], np.int64), start[q] + np.arange(n), own))
+        self.strings = list(seen)
+        self.at_text, self.at_start, self.string = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+        self.string_low, self.string_high = self._bounds(self.string, self.at_text, len(seen))
+
+    def _bounds(self, of, text, n):
+        low, high = np.full(n, LAST, np.int64), np.full(n, -LAST, np.int64)
+        np.minimum.at(low, of, self.least[text])
+        np.maximum.at(high, of, self.least[text])
+        return low, high
+
+
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _prints(value: np.ndarray, buckets: int) -> np.ndarray:
-    """bucket << 32 | print of minima."""
+    """bucket << 32 | print of minima; the highest bit is free."""
     x = _mixed(value)
     return ((x >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (x & np.uint64(0xFFFFFFFF))
 
 
-def _record(block, bucket, docs=None, sizes=None, texts=None, carry=None, prints=None) -> pa.RecordBatch:
+def _record(block, bucket, docs=None, sizes=None, texts=None, carry=None, prints=None, marks=None, wide=None) -> pa.RecordBatch:
+    parts = (docs, sizes, texts, carry, prints, marks, wide)
     return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (docs, sizes, texts, carry, prints))],
+        [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)],
         [c.split()[0] for c in TABLE.split(", ")],
     )
 
@@ -268,9 +377,20 @@ def _pack(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 squeeze(b"".join(block.texts)),
                 squeeze(json.dumps(block.carry).encode()),
             )
-            prints = np.unique(_prints(_segments(block.texts, length)[0], buckets))
+            value, text, start, size = _segments(block.texts, length)
+            every = _prints(value, buckets)
+            single = np.flatnonzero(_same(block.texts, every, text, start, size, length) == np.arange(len(every)))
+            prints, at = np.unique(every[single], return_index=True)
+            # one byte of the first segment's digest, and the bytes that all distinct segments with the minimum have beyond a usual one
+            some = single[at]
+            spans = zip(text[some].tolist(), start[some].tolist(), (start[some] + size[some] + length - 1).tolist())
+            marks = np.fromiter((xxhash.xxh32_intdigest(block.texts[t][a:z]) & 255 for t, a, z in spans), np.uint8, len(some))
+            total = np.bincount(np.searchsorted(prints, every[single]), size[single] + length - 1, len(prints))
+            more = (total - np.minimum(size[some] + length - 1, SEGMENT_BYTES)).astype("<u4")
             for k, o in _by_bucket((prints >> np.uint64(32)).astype(np.int64)):
-                yield _record(name, k, prints=prints[o].astype("<u4").tobytes())
+                wide = o[more[o] > 0]
+                packed = prints[wide].astype("<u4").tobytes() + more[wide].tobytes()
+                yield _record(name, k, prints=prints[o].astype("<u4").tobytes(), marks=marks[o].tobytes(), wide=packed)
             number, block = number + 1, _Block()
 
         for batch in batches:
@@ -291,139 +411,264 @@ def _unpack(docs: bytes, sizes: bytes, texts: bytes):
     return ids, of, [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-def _repeated(part: pa.Table) -> pa.Table:
-    """Minima of a bucket that several blocks have, by block."""
+TOLD = "block long, prints binary, hot long"
+
+
+def _repeated(part: pa.Table, hot_bytes: int) -> pa.Table:
+    """Minima of a bucket that several blocks have, by block; the highest bit marks hot ones, whose bytes ``hot`` counts (once)."""
     lists = [np.frombuffer(b, "<u4") for b in part.column("prints").to_pylist()]
     block = part.column("block").to_numpy()
     bucket = part.column("bucket")[0].as_py()
+    none = {"block": pa.array([], pa.int64()), "prints": pa.array([], pa.binary()), "hot": pa.array([], pa.int64())}
     if len(lists) < 2:
-        return pa.table({"block": pa.array([], pa.int64()), "prints": pa.array([], pa.binary())})
-    both = np.sort(np.concatenate(lists))
-    twice = np.unique(both[1:][both[1:] == both[:-1]])
+        return pa.table(none)
+    every = np.concatenate(lists)
+    order = np.argsort(every, kind="stable")
+    values, first, count = np.unique(every[order], return_index=True, return_counts=True)
+    marks = np.concatenate([np.frombuffer(b, np.uint8) for b in part.column("marks").to_pylist()])[order]
+    weight = np.zeros(len(values))
+    wide = [np.frombuffer(b, "<u4").reshape(2, -1) for b in part.column("wide").to_pylist()]
+    wide = np.concatenate(wide, 1)
+    np.add.at(weight, np.searchsorted(values, wide[0]), wide[1])
+    often = np.flatnonzero(count * SEGMENT_BYTES + weight > hot_bytes)
+    # many listings are many distinct segments only if their digests differ; equal ones are told apart from them by a byte
+    differ = np.array([len(np.unique(marks[first[i] : first[i] + count[i]])) for i in often])
+    size = np.where(differ * 3 > 256, count[often] * SEGMENT_BYTES, differ * SEGMENT_BYTES) + weight[often] if len(often) else np.zeros(0)
+    hot = np.zeros(len(values), bool)
+    hot[often[size > hot_bytes]] = True
+    twice = count > 1
+    mark = (hot.astype(np.uint64) << np.uint64(63)) | np.uint64(bucket << 32)
     rows = []
     for b, p in zip(block.tolist(), lists):
-        i = np.minimum(np.searchsorted(twice, p), max(len(twice) - 1, 0))
-        hit = p[twice[i] == p] if len(twice) else p[:0]
-        if len(hit):
-            rows.append((b, (hit.astype(np.uint64) | np.uint64(bucket << 32)).astype("<u8").tobytes()))
+        i = np.searchsorted(values, p)
+        i = i[twice[i]]
+        if len(i):
+            rows.append((b, (values[i].astype(np.uint64) | mark[i]).astype("<u8").tobytes()))
+    if not rows:
+        return pa.table(none)
+    held = int(size[size > hot_bytes].sum())
     return pa.table(
-        {"block": pa.array([r[0] for r in rows], pa.int64()), "prints": pa.array([r[1] for r in rows], pa.binary())}
+        {
+            "block": pa.array([r[0] for r in rows], pa.int64()),
+            "prints": pa.array([r[1] for r in rows], pa.binary()),
+            "hot": pa.array([held if i == 0 else 0 for i in range(len(rows))], pa.int64()),
+        }
     )
 
 
 SENT = "bucket int, block long, n int, packed binary"
-#: What is sent of each segment besides its bytes: its text in the block, smallest document, start, size, part of the bucket.
-_HEAD = (("of", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("sub", "u1"))
+#: What is sent of each segment besides its bytes: its number in the block, smallest and largest document, size, part of the bucket.
+_HEAD = (("seg", "<u4"), ("low", "<i8"), ("over", "<i8"), ("size", "<u4"), ("sub", "u1"))
+#: What is sent of each string of a hot minimum: number, smallest and largest document; its digest follows.
+_HOT_HEAD = (("seg", "<u4"), ("low", "<i8"), ("over", "<i8"))
+
+
+def _row(bucket: int, block: int, n: int, packed: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([n], pa.int32()), pa.array([packed], pa.binary())],
+        [c.split()[0] for c in SENT.split(", ")],
+    )
 
 
-def _send(told: DataFrame, buckets: int, out: int, length: int) -> DataFrame:
-    """Segments whose minimum occurs in several texts, packed by bucket."""
+def _read(part: pa.Table, head) -> tuple[np.ndarray, list[np.ndarray], list[bytes]]:
+    """(block of each entry, columns of ``head``, what follows in each row) of rows of SENT."""
+    counts = part.column("n").to_pylist()
+    heads, raw = [], []
+    for n, packed in zip(counts, part.column("packed").to_pylist()):
+        packed, at, own = zstandard.ZstdDecompressor().decompress(packed), 0, []
+        for _, t in head:
+            own.append(np.frombuffer(packed, t, n, at))
+            at += n * own[-1].itemsize
+        heads.append(own)
+        raw.append(packed[at:])
+    return np.repeat(part.column("block").to_numpy(), counts), [np.concatenate(x) for x in zip(*heads)], raw
+
+
+def _send(told: DataFrame, buckets: int, out: int, hot_out: int, length: int, hot_bytes: int) -> DataFrame:
+    """Distinct segments whose minimum occurs in several texts, packed by bucket; strings of hot minima in buckets from ``out`` on."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for block, docs, sizes, texts, _, lists in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, of, raw = _unpack(docs, sizes, texts)
-                least = np.full(len(raw), LAST, np.int64)
-                np.minimum.at(least, of, ids)
-                value, text, start, size = _segments(raw, length)
-                prints = _prints(value, buckets)
-                # several texts of this block with one minimum
-                order = np.lexsort((text, prints))
-                p, t = prints[order], text[order]
-                own = np.unique(p[1:][(p[1:] == p[:-1]) & (t[1:] != t[:-1])])
-                known = np.unique(np.concatenate([own, *(np.frombuffer(x, "<u8") for x in lists or [])]))
-                if not len(known):
-                    continue
-                i = np.minimum(np.searchsorted(known, prints), len(known) - 1)
-                keep = np.flatnonzero(known[i] == prints)
-                x = _mixed(prints[keep])
+                inv = _Inventory(ids, of, raw, lists, buckets, length, hot_bytes)
+                x = _mixed(inv.prints[inv.seg])
                 for k, o in _by_bucket((x % np.uint64(out)).astype(np.int64)):
-                    s = keep[o]
-                    cuts = zip(text[s].tolist(), start[s].tolist(), (start[s] + size[s] + length - 1).tolist())
-                    head = {
-                        "of": text[s], "doc": least[text[s]], "start": start[s], "size": size[s] + length - 1, "sub": (x[o] >> np.uint64(40)) % np.uint64(SUBS),
-                    }
+                    s = inv.seg[o]
+                    size = inv.size[s] + length - 1
+                    cuts = zip(inv.text[s].tolist(), inv.start[s].tolist(), (inv.start[s] + size).tolist())
+                    head = {"seg": o, "low": inv.low[o], "over": inv.high[o] - inv.low[o], "size": size, "sub": (x[o] >> np.uint64(40)) % np.uint64(SUBS)}
                     packed = b"".join([*(head[c].astype(t).tobytes() for c, t in _HEAD), *(raw[t][a:z] for t, a, z in cuts)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([block], pa.int64()), pa.array([len(s)], pa.int32()), pa.array([squeeze(packed)], pa.binary())],
-                        [c.split()[0] for c in SENT.split(", ")],
-                    )
+                    yield _row(k, block, len(o), squeeze(packed))
+                digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, inv.strings)), ">u8").astype(np.uint64).reshape(-1, 2)
+                for k, o in _by_bucket((digests[:, 0] % np.uint64(hot_out)).astype(np.int64)):
+                    head = {"seg": o, "low": inv.string_low[o], "over": inv.string_high[o] - inv.string_low[o]}
+                    packed = b"".join([*(head[c].astype(t).tobytes() for c, t in _HOT_HEAD), digests[o].astype("<u8").tobytes()])
+                    yield _row(out + k, block, len(o), squeeze(packed))
 
     return told.mapInArrow(run, SENT)
 
 
-def _sorted_out(length: int):
+COVER = "block long, hot boolean, cover binary"
+
+
+def _covers(block, hot: bool, *columns) -> pa.Table:
+    """COVER rows of entries (block, columns of whole numbers), packed by block."""
+    keys, packed = [], []
+    for k, i in _by_bucket(block):
+        keys.append(k)
+        packed.append(zstandard.ZstdCompressor(level=1).compress(np.stack([c[i] for c in columns]).astype("<i8").tobytes()))
+    return pa.table({"block": pa.array(keys, pa.int64()), "hot": pa.array([hot] * len(keys), pa.bool_()), "cover": pa.array(packed, pa.binary())})
+
+
+def _least_of(digest: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct digests, least document of each, position of each entry's digest)."""
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    d = digest[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]).any(1)])
+    which = np.empty(len(d), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return d[first], np.minimum.reduceat(low[order], first), which
+
+
+def _strings_of(part: pa.Table):
+    block, (seg, low, over), raw = _read(part, _HOT_HEAD)
+    return block, seg, low, over, np.concatenate([np.frombuffer(r, "<u8").reshape(-1, 2) for r in raw])
+
+
+def _told_strings(block, seg, low, over, holder) -> pa.Table:
+    hit = np.flatnonzero(holder < low + over)
+    return _covers(block[hit], True, seg[hit].astype(np.int64), holder[hit])
+
+
+def _sorted_out(length: int, out: int):
     def run(part: pa.Table) -> pa.Table:
-        """Sort a bucket's segments, a bounded part at a time, and tell the covered places by block."""
-        counts = part.column("n").to_pylist()
-        block = np.repeat(part.column("block").to_numpy(), counts)
-        heads, raw = [], []
-        for n, packed in zip(counts, part.column("packed").to_pylist()):
-            packed, at, head = zstandard.ZstdDecompressor().decompress(packed), 0, []
-            for _, t in _HEAD:
-                head.append(np.frombuffer(packed, t, n, at))
-                at += n * head[-1].itemsize
-            heads.append(head)
-            raw.append(packed[at:])
-        of, doc, start, size, sub = (np.concatenate(x) for x in zip(*heads))
+        """Sort a bucket's segments, a bounded part at a time, and tell runs of strings and their holders by block."""
+        if part.column("bucket")[0].as_py() >= out:
+            block, seg, low, over, digest = _strings_of(part)
+            _, least, which = _least_of(digest, low)
+            return _told_strings(block, seg, low, over, least[which])
+        block, (seg, low, over, size, sub), raw = _read(part, _HEAD)
         raw = b"".join(raw)
         ends = np.cumsum(size.astype(np.int64))
         begin = ends - size
         found = []
         order = np.argsort(sub, kind="stable")
         cuts = np.searchsorted(sub[order], np.arange(SUBS + 1))
-        todo = []
+        todo, held = [], 0
         for k in range(SUBS):
             todo.append(order[cuts[k] : cuts[k + 1]])
-            if k == SUBS - 1 or size[np.concatenate(todo)].sum() + size[order[cuts[k + 1] : cuts[k + 2] if k + 2 <= SUBS else None]].sum() > SORT_BYTES:
-                s, todo = np.concatenate(todo), []
+            held += int(size[todo[-1]].sum())
+            after = int(size[order[cuts[k + 1] : cuts[k + 2]]].sum()) if k + 1 < SUBS else 0
+            if k == SUBS - 1 or held + after > SORT_BYTES:
+                s, todo, held = np.concatenate(todo), [], 0
                 if len(s):
-                    seg, a, z = covered([raw[x:y] for x, y in zip(begin[s].tolist(), ends[s].tolist())], doc[s], length)
-                    seg = s[seg]
-                    found.append((block[seg], of[seg], start[seg] + a, start[seg] + z + length))
-        if not found or not sum(len(f[0]) for f in found):
-            return pa.table({"block": pa.array([], pa.int64()), "cover": pa.array([], pa.binary())})
-        b, o, a, z = (np.concatenate(x) for x in zip(*found))
-        keys, packed = [], []
-        for k, i in _by_bucket(b):
-            # runs that touch become one
-            i = i[np.lexsort((a[i], o[i]))]
-            key_a, key_z = o[i].astype(np.int64) << 32 | a[i], o[i].astype(np.int64) << 32 | z[i]
-            reach = np.maximum.accumulate(key_z)
-            new = np.flatnonzero(np.concatenate([[True], key_a[1:] > reach[:-1]]))
-            last = np.concatenate([new[1:], [len(i)]]) - 1
-            keys.append(k)
-            packed.append(np.concatenate([key_a[new], reach[last]]).astype("<i8").tobytes())
-        return pa.table({"block": pa.array(keys, pa.int64()), "cover": pa.array(packed, pa.binary())})
+                    i, a, z, holder = covered([raw[x:y] for x, y in zip(begin[s].tolist(), ends[s].tolist())], low[s], (low + over)[s], length)
+                    found.append((block[s[i]], seg[s[i]].astype(np.int64), a, z, holder))
+        b, o, a, z, holder = (np.concatenate(x) for x in zip(*found))
+        return _covers(b, False, o, a, z, holder)
 
     return run
 
 
-def _cut_out(rows: DataFrame, schema: T.StructType, length: int) -> DataFrame:
+PARTIAL = "bucket int, salt int, packed binary"
+
+
+def _partial(part: pa.Table) -> pa.Table:
+    """Distinct strings of some blocks, with their least documents."""
+    digest, least, _ = _least_of(*_strings_of(part)[4:1:-2])
+    packed = digest.astype("<u8").tobytes() + least.astype("<i8").tobytes()
+    return pa.table(
+        {
+            "bucket": part.column("bucket").slice(0, 1),
+            "salt": part.column("salt").slice(0, 1),
+            "packed": pa.array([zstandard.ZstdCompressor(level=3).compress(packed)], pa.binary()),
+        }
+    )
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u8")
+    n = len(raw) // 3
+    return raw[: 2 * n].reshape(-1, 2), raw[2 * n :].astype(np.int64)
+
+
+def _merged(part: pa.Table) -> pa.Table:
+    """The partial rows of a bucket again, with least documents over all of them."""
+    parts = [_unpacked(p) for p in part.column("packed").to_pylist()]
+    _, least, which = _least_of(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    out, at = [], 0
+    for digest, _ in parts:
+        packed = digest.astype("<u8").tobytes() + least[which[at : at + len(digest)]].astype("<i8").tobytes()
+        out.append(zstandard.ZstdCompressor(level=3).compress(packed))
+        at += len(digest)
+    return pa.table({"bucket": part.column("bucket"), "salt": part.column("salt"), "packed": pa.array(out, pa.binary())})
+
+
+def _answered(sent: pa.Table, told: pa.Table) -> pa.Table:
+    """Strings of some blocks with the least documents of all blocks."""
+    block, seg, low, over, digest = _strings_of(sent)
+    _, _, which = _least_of(digest, low)  # the order of ``_partial``
+    return _told_strings(block, seg, low, over, _unpacked(told.column("packed")[0].as_py())[1][which])
+
+
+def _reduced_in_stages(hot: DataFrame, salts: int) -> DataFrame:
+    """COVER of strings of hot minima: by part of the blocks, then of all, and back."""
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    partial = hot.groupBy("bucket", "salt").applyInArrow(_partial, PARTIAL)
+    merged = partial.groupBy("bucket").applyInArrow(_merged, PARTIAL)
+    return hot.groupBy("bucket", "salt").cogroup(merged.groupBy("bucket", "salt")).applyInArrow(_answered, COVER)
+
+
+def _cut_out(rows: DataFrame, schema: T.StructType, buckets: int, length: int, hot_bytes: int) -> DataFrame:
     kinds = [f.dataType for f in schema.fields[6:]]
 
+    def places(ids, of, raw, lists, covers):
+        """Runs (text, first byte, end byte) that go, and the least document of each text."""
+        if not covers:
+            least = np.full(len(raw), LAST, np.int64)
+            np.minimum.at(least, of, ids)
+            return (np.zeros(0, np.int64),) * 3 + (least,)
+        inv, out = _Inventory(ids, of, raw, lists, buckets, length, hot_bytes), []
+        for hot in (False, True):
+            got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(c["cover"]), "<i8").reshape(2 if hot else 4, -1) for c in covers if c["hot"] == hot]
+            if not got:
+                continue
+            got = np.concatenate(got, 1)
+            entry, holder = got[0], got[-1]
+            a, z = (got[1], got[2]) if not hot else (np.zeros(len(entry), np.int64),) * 2
+            # each entry's places in the block
+            own, text, start = (inv.string, inv.at_text, inv.at_start) if hot else (inv.of, inv.text[inv.place], inv.start[inv.place])
+            order = np.argsort(own, kind="stable")
+            n = np.bincount(own, minlength=int(entry.max()) + 1)
+            begin = np.cumsum(n) - n
+            e = np.repeat(np.arange(len(entry)), n[entry])
+            q = order[begin[entry[e]] + np.arange(len(e)) - np.repeat(np.cumsum(n[entry]) - n[entry], n[entry])]
+            go = holder[e] < inv.least[text[q]]
+            e, q = e[go], q[go]
+            out.append((text[q], start[q] + a[e], start[q] + z[e] + length))
+        return *(np.concatenate(x) for x in zip(*out)), inv.least
+
     def run(batches):
         for batch in batches:
-            for _, docs, sizes, texts, carry, covers in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, docs, sizes, texts, carry, lists, covers in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, of, raw = _unpack(docs, sizes, texts)
-                least = np.full(len(raw), LAST, np.int64)
-                np.minimum.at(least, of, ids)
-                a, z = (np.concatenate([np.frombuffer(c, "<i8").reshape(2, -1)[k] for c in covers]) if covers else np.zeros(0, np.int64) for k in (0, 1))
-                order = np.argsort(a, kind="stable")
-                a, z = a[order], z[order]
-                cuts = np.searchsorted(a >> 32, np.arange(len(raw) + 1))
+                text, a, z, least = places(ids, of, raw, lists, covers)
+                order = np.lexsort((a, text))
+                text, a, z = text[order], a[order], z[order]
+                cuts = np.searchsorted(text, np.arange(len(raw) + 1))
                 results = []
-                for t, text in enumerate(raw):
-                    x, y = a[cuts[t] : cuts[t + 1]] & 0xFFFFFFFF, z[cuts[t] : cuts[t + 1]] & 0xFFFFFFFF
-                    kept, spans, at = [], 0, 0
-                    for p, q in zip(x.tolist(), y.tolist()):
-                        if p > at or not spans:
-                            kept.append(text[at:p])
-                            spans += 1
-                        at = max(at, q)
-                    kept = b"".join([*kept, text[at:]])
-                    results.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                for t, own in enumerate(raw):
+                    x, y = a[cuts[t] : cuts[t + 1]], np.maximum.accumulate(z[cuts[t] : cuts[t + 1]])
+                    new = np.flatnonzero(np.concatenate([[True], x[1:] > y[:-1]])) if len(x) else np.zeros(0, np.int64)
+                    kept, at = [], 0
+                    for p, q in zip(x[new].tolist(), y[np.concatenate([new[1:] - 1, [len(y) - 1]])].tolist() if len(x) else ()):
+                        kept.append(own[at:p])
+                        at = q
+                    kept = b"".join([*kept, own[at:]])
+                    results.append((len(own), len(own) - len(kept), len(new), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
                 whole = [(r[0], r[0], 1, hashlib.sha256(b"").hexdigest(), "") if r[0] >= length else r for r in results]
                 own = json.loads(zstandard.ZstdDecompressor().decompress(carry))
                 got = [(whole if d > least[t] else results)[t] for d, t in zip(ids.tolist(), of.tolist())]
@@ -443,6 +688,8 @@ def repeated_passages(
     text_col: str = "text",
     length: int = LENGTH,
     carry: tuple[str, ...] = (),
+    hot_bytes: int = HOT_BYTES,
+    hot_blocks: int = HOT_BLOCKS,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, ...carry), one row per input row.
 
@@ -451,7 +698,10 @@ def repeated_passages(
     as text (a character that lost some of its bytes is left out there; the
     digest is over the bytes). ``carry`` names further columns, strings or
     whole numbers, to be passed on. Null texts are empty. Rows without an id
-    come after all others, and rows with one id don't cut each other.
+    come after all others, and rows with one id don't cut each other. Repeated
+    rows stay repeated; other columns, whatever their names, are left aside. An
+    empty table gives an empty one. Results don't depend on ``hot_bytes`` and
+    ``hot_blocks``, which bound what one task takes.
     """
     if length <= GRAM:
         raise ValueError(f"length has to be above {GRAM}")
@@ -474,13 +724,21 @@ def repeated_passages(
     small_batches(spark)
     packed = cut(_pack(rows, buckets, length), "blocks")
     texts = packed.where("bucket = -1")
-    prints = packed.where("bucket >= 0").select("block", "bucket", "prints")
-    told = prints.groupBy("bucket").applyInArrow(_repeated, "block long, prints binary")
-    told = told.groupBy("block").agg(F.collect_list("prints").alias("lists"))
+    prints = packed.where("bucket >= 0").select("block", "bucket", "prints", "marks", "wide")
+    told = cut(prints.groupBy("bucket").applyInArrow(lambda part: _repeated(part, hot_bytes), TOLD), "told")
+    blocks = texts.count()
+    hot_total = told.agg(F.coalesce(F.sum("hot"), F.lit(0))).first()[0]
+    # about 34 strings in a usual segment, 36 bytes each
+    hot_out, salts = max(4, -(-hot_total * 34 * 36 // SEGMENT_BYTES // BUCKET_BYTES)), -(-blocks // hot_blocks)
+    lists = told.groupBy("block").agg(F.collect_list("prints").alias("lists"))
     # both joins read the texts through one exchange: it has the same columns for both, so Spark reuses it
-    whole = texts.select("block", "docs", "sizes", "texts", "carry")
-    sent = _send(whole.join(told, "block", "left"), buckets, out, length)
-    cover = sent.groupBy("bucket").applyInArrow(_sorted_out(length), "block long, cover binary")
-    cover = cover.groupBy("block").agg(F.collect_list("cover").alias("covers"))
-    final = whole.join(cover, "block", "left")
-    return _cut_out(final, schema, length)
+    whole = texts.select("block", "docs", "sizes", "texts", "carry").join(lists, "block", "left")
+    sent = _send(whole, buckets, out, hot_out, length, hot_bytes)
+    if salts > 1 and hot_total:
+        sent = cut(sent, "sent")
+        cover = sent.where(F.col("bucket") < out).groupBy("bucket").applyInArrow(_sorted_out(length, out), COVER)
+        cover = cover.union(_reduced_in_stages(sent.where(F.col("bucket") >= out), salts))
+    else:
+        cover = sent.groupBy("bucket").applyInArrow(_sorted_out(length, out), COVER)
+    cover = cover.groupBy("block").agg(F.collect_list(F.struct("hot", "cover")).alias("covers"))
+    return _cut_out(whole.join(cover, "block", "left"), schema, buckets, length, hot_bytes)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -79,3 +80,42 @@ def test_whole_table(spark, sf):
 
 def test_empty(spark):
     assert sd.repeated_passages(fixtures.empty(spark)).collect() == []
+
+
+def boilerplate(n, seed=4):
+    """Texts with one common line, each in its own surroundings; some runs of one byte, some copies."""
+    r = random.Random(seed)
+    line = "".join(r.choice("abcdefghij klmnop") for _ in range(200))
+    own = lambda k: "".join(r.choice("qrstuvwxyz 0123456789") for _ in range(k))
+    rows = [(i, own(r.randint(0, 90)) + line + own(r.randint(0, 90))) for i in range(n)]
+    rows += [(n + 1, "a" * 700), (n + 2, "b" + "a" * 300), (n + 3, rows[3][1]), (n + 4, rows[5][1] + "tail"), (n + 5, (own(60) + "xyz") * 9), (None, rows[7][1])]
+    return rows
+
+
+@pytest.mark.parametrize("hot_bytes, hot_blocks, block", [(300, 2000, 700), (300, 3, 700), (300, 2000, 1 << 20), (5000, 3, 2500)])
+def test_hot_minima_match_brute_force(spark, monkeypatch, hot_bytes, hot_blocks, block):
+    """Strings of hot minima are dealt one by one, reduced at once or in stages; results are the same."""
+    monkeypatch.setattr(sd, "BLOCK_BYTES", block)
+    rows = boilerplate(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sd.repeated_passages(docs, hot_bytes=hot_bytes, hot_blocks=hot_blocks)
+    assert sorted([tuple(r)[:5] for r in got.collect()], key=str) == slow(rows)
+
+
+def test_what_is_sent_does_not_grow_with_copies():
+    """A block sends a hot line's inner segments once and its edges' distinct strings, however many texts hold it."""
+    def sent(n):
+        raw = [t.encode() for _, t in boilerplate(n)[:n]]
+        return sd._Inventory(np.arange(n), np.arange(n), raw, [], 8, 50, 20_000)
+
+    few, many = sent(400), sent(1600)
+    assert len(many.seg) <= len(few.seg) + 20
+    assert len(few.strings) and len(many.strings) < 1600 * 2 * 34
+
+
+def test_minima_of_long_texts_in_chunks(monkeypatch):
+    raw = [("".join(t or "" for t in fixtures.texts())).encode(), b"a" * 5000, b"short"]
+    want = sd._segments(raw, 50)
+    monkeypatch.setattr(sd, "CHUNK_BYTES", 137)
+    for a, b in zip(sd._segments(raw, 50), want):
+        assert (a == b).all()
