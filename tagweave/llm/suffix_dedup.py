@@ -89,6 +89,24 @@ def _mixed(v: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _directly(text: bytes, places: np.ndarray, depth: int) -> np.ndarray:
+    """``places`` ordered by the ``depth`` bytes from each on: by eight bytes at a time, only ties going on."""
+    words = np.concatenate([_words8(text), np.zeros(depth + 8, "<u8")]).byteswap()
+    places = places[np.argsort(words[places])]
+    key = words[places]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    for k in range(8, depth, 8):
+        tied = np.flatnonzero(~new | ~np.concatenate([new[1:], [True]]))
+        if not len(tied):
+            break
+        own, group = places[tied], np.cumsum(new)[tied]
+        key = words[own + k]
+        order = np.lexsort((key, group))
+        key, places[tied] = key[order], own[order]
+        new[tied[1:]] |= key[1:] != key[:-1]
+    return places
+
+
 def two_stage_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """All suffixes of ``text`` (bytes), ordered by their first ``depth`` bytes at least.
 
@@ -106,10 +124,7 @@ def two_stage_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     known = np.where(step != 0, np.arange(n), n)
     known = np.minimum.accumulate(known[::-1])[::-1]
     small = np.flatnonzero(step[known] > 0)
-    padded = np.concatenate([text, np.zeros(depth, np.uint8)])
-    keys = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))[small])
-    small = small[np.argsort(keys.view(f"S{depth}").ravel(), kind="stable")]
-    del keys
+    small = _directly(text.tobytes(), small, depth)
     # sorted by first byte already: the part of each bucket
     part = np.searchsorted(text[small], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -166,7 +181,7 @@ def _first_holders(segments: list[bytes], least: np.ndarray, length: int) -> tup
     starts = sizes - length + 1
     first = np.cumsum(starts) - starts
     order = two_stage_order(np.frombuffer(text, np.uint8), length)
-    seg = np.searchsorted(ends, order, "right")
+    seg = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
     whole = ends[seg] - order >= length
     order, seg = order[whole], seg[whole]
     new = np.flatnonzero(adjacent_prefixes(text, order, length) < length)
@@ -232,34 +247,58 @@ class _Block:
 
 
 def _segments(texts: list[bytes], length: int):
-    """(minimum, text, first start, string starts) of all segments."""
-    value, text, start, size = [], [], [], []
-    for t, raw in enumerate(texts):
-        n = len(raw) - length + 1
-        if n <= 0:
-            continue
-        values, starts = [], []
-        for at in range(0, n, CHUNK_BYTES):
-            v = minima(raw[at : at + CHUNK_BYTES + length - 1], length)
-            new = np.flatnonzero(v[1:] != v[:-1]) + 1
-            if not values or v[0] != values[-1][-1]:  # else the run goes on from the chunk before
-                new = np.concatenate([[0], new])
-            if len(new):
-                values.append(v[new])
-                starts.append(new + at)
-        at = np.concatenate(starts)
-        value.append(np.concatenate(values))
-        text.append(np.full(len(at), t, np.int64))
-        start.append(at)
-        size.append(np.diff(np.concatenate([at, [n]])))
-    if not value:
+    """(minimum, text, first start, string starts) of all segments; texts are taken joined, a chunk at a time."""
+    flat = b"".join(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    values, starts, last = [], [], None
+    for at in range(0, len(flat) - length + 1, CHUNK_BYTES):
+        v = minima(flat[at : at + CHUNK_BYTES + length - 1], length)
+        # strings that would cross the end of their text don't count
+        a, z = np.searchsorted(ends, [at, at + len(v)], "right")
+        upto = np.minimum(ends[a : z + 1], at + len(v)) - at
+        own = np.repeat(ends[a : z + 1], np.diff(upto, prepend=0))
+        whole = np.arange(at + length, at + length + len(v)) <= own
+        before = np.concatenate([[last is None or not last[1] or v[0] != last[0]], (v[1:] != v[:-1]) | ~whole[:-1]])
+        new = np.flatnonzero(whole & before)
+        values.append(v[new])
+        starts.append(new + at)
+        last = v[-1], whole[-1]
+    if not values:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
-    return tuple(map(np.concatenate, (value, text, start, size)))
+    start = np.concatenate(starts)
+    text = np.searchsorted(ends, start, "right")
+    size = np.minimum(np.concatenate([start[1:], [len(flat)]]), ends[text] - length + 1) - start
+    return np.concatenate(values), text, start - (ends - sizes)[text], size
+
+
+def _gathered(raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes from each place of ``raw`` on as rows of little-endian numbers; ``raw`` must go on for them."""
+    out = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
+    for k in range(width):
+        out[:, k] = raw[at + k]
+    return out.view("<u8")
+
 
+def _digest(words: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit number for each row of numbers."""
+    h = np.full(len(words), seed, np.uint64)
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k]) * _MIX
+        h ^= h >> np.uint64(29)
+        h *= _MIX2
+        h ^= h >> np.uint64(32)
+    return h
 
-def _same(raw: list[bytes], prints, text, start, size, length: int) -> np.ndarray:
-    """For each segment the number of the first one with the same bytes."""
+
+def _ends(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit number for segments from their first and last eight bytes and size: different numbers, different segments."""
+    return _digest(np.concatenate([_gathered(flat, at, 8), _gathered(flat, at + n - 8, 8), n[:, None].astype(np.uint64)], 1), 1)
+
+
+def _same(flat: np.ndarray, prints, at, n) -> np.ndarray:
+    """For each segment, ``n`` bytes of ``flat`` from ``at`` on, the number of the first one with the same minimum and bytes."""
     first = np.arange(len(prints))
     order = np.argsort(prints, kind="stable")
     p = prints[order]
@@ -267,20 +306,27 @@ def _same(raw: list[bytes], prints, text, start, size, length: int) -> np.ndarra
     twin[1:] = p[1:] == p[:-1]
     twin[:-1] |= twin[1:]
     some = np.sort(order[twin])
-    seen: dict[bytes, int] = {}
-    spans = zip(some.tolist(), text[some].tolist(), start[some].tolist(), (start[some] + size[some] + length - 1).tolist())
-    first[some] = np.fromiter((seen.setdefault(raw[t][a:z], i) for i, t, a, z in spans), np.int64, len(some))
+    ends = _ends(flat, at[some], n[some])
+    order = np.argsort(ends, kind="stable")
+    twin = np.zeros(len(some), bool)
+    twin[1:] = ends[order[1:]] == ends[order[:-1]]
+    twin[:-1] |= twin[1:]
+    some = np.sort(some[order[twin]])
+    raw, seen = flat.tobytes(), {}
+    spans = zip(some.tolist(), at[some].tolist(), (at[some] + n[some]).tolist())
+    first[some] = np.fromiter((seen.setdefault(raw[a:z], i) for i, a, z in spans), np.int64, len(some))
     return first
 
 
 class _Inventory:
     """What one block may have to send; the same each time it is made.
 
-    ``seg`` are the distinct segments (by their number in the block) of minima
-    that occur elsewhere, ``place`` all segments and ``of`` the position in
-    ``seg`` of each. Strings of ``hot`` minima are listed by digest instead:
-    ``strings`` the distinct ones, ``at`` (text, start) of all, ``string`` the
-    position in ``strings`` of each.
+    Distinct segments of minima that occur elsewhere come first to last as in
+    the block: ``flat[at : at + size]`` with documents from ``low`` to ``high``.
+    ``text``, ``start`` and ``of`` are the places of all segments and the number
+    of each one's distinct segment. ``hot`` numbers the segments of hot minima;
+    ``strings`` are the digests of their distinct strings, ``string`` those of
+    the segments in ``hot`` one after another.
     """
 
     def __init__(self, ids, of_text, raw: list[bytes], lists, buckets: int, length: int, hot_bytes: int):
@@ -296,37 +342,57 @@ class _Inventory:
         own = np.unique(p[1:][(p[1:] == p[:-1]) & (t[1:] != t[:-1])])
         known = np.unique(np.concatenate([own, told & np.uint64((1 << 63) - 1)]))
         keep = np.flatnonzero(_within(prints, known))
-        text, start, size, prints = text[keep], start[keep], size[keep], prints[keep]
-        first = _same(raw, prints, text, start, size, length)
+        self.text, self.start, prints = text[keep], start[keep], prints[keep]
+        n = size[keep] + length - 1
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        base = np.cumsum([0, *map(len, raw)])
+        at = base[self.text] + self.start
+        first = _same(self.flat, prints, at, n)
         single = np.flatnonzero(first == np.arange(len(first)))
+        self.of = np.searchsorted(single, first)
+        self.at, self.size, self.prints = at[single], n[single], prints[single]
+        self.low, self.high = np.full(len(single), LAST, np.int64), np.full(len(single), -LAST, np.int64)
+        np.minimum.at(self.low, self.of, self.least[self.text])
+        np.maximum.at(self.high, self.of, self.least[self.text])
         # a minimum that only this block has may be hot here
-        heavy, at = np.unique(prints[single], return_inverse=True)
-        heavy = heavy[np.bincount(at, size[single] + length - 1, len(heavy)) > hot_bytes]
-        is_hot = _within(prints, np.unique(np.concatenate([hot, heavy])))
-        self.seg = single[~is_hot[single]]
-        self.place = np.flatnonzero(~is_hot)
-        self.of = np.searchsorted(self.seg, first[self.place])
-        self.text, self.start, self.size, self.prints = text, start, size, prints
-        self.low, self.high = self._bounds(self.of, text[self.place], len(self.seg))
-        seen: dict[bytes, int] = {}
-        rows, doc = [], self.least
-        by_seg: dict[int, list[int]] = {}
-        for i in np.flatnonzero(is_hot).tolist():
-            by_seg.setdefault(int(first[i]), []).append(i)
-        for i, places in by_seg.items():
-            t, a, n = int(text[i]), int(start[i]), int(size[i])
-            own = np.fromiter((seen.setdefault(raw[t][k : k + length], len(seen)) for k in range(a, a + n)), np.int64, n)
-            for q in places:
-                rows.append((np.full(n, text[q], np.int64), start[q] + np.arange(n), own))
-        self.strings = list(seen)
-        self.at_text, self.at_start, self.string = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-        self.string_low, self.string_high = self._bounds(self.string, self.at_text, len(seen))
-
-    def _bounds(self, of, text, n):
-        low, high = np.full(n, LAST, np.int64), np.full(n, -LAST, np.int64)
-        np.minimum.at(low, of, self.least[text])
-        np.maximum.at(high, of, self.least[text])
-        return low, high
+        heavy, which = np.unique(self.prints, return_inverse=True)
+        heavy = heavy[np.bincount(which, self.size, len(heavy)) > hot_bytes]
+        self.is_hot = _within(self.prints, np.unique(np.concatenate([hot, heavy])))
+        self.hot = np.flatnonzero(self.is_hot)
+        self.strings_of = self.size[self.hot] - length + 1
+        which = np.repeat(np.arange(len(self.hot)), self.strings_of)
+        places = self.at[self.hot][which] + np.arange(len(which)) - np.repeat(np.cumsum(self.strings_of) - self.strings_of, self.strings_of)
+        digest = np.empty((len(places), 2), np.uint64)
+        for k in range(0, len(places), 1 << 17):
+            words = _gathered(self.flat, places[k : k + (1 << 17)], length)
+            digest[k : k + (1 << 17)] = np.stack([_digest(words, 3), _digest(words, 5)], 1)
+        self.strings, self.string_low, self.string = _least_of(digest, self.low[self.hot][which])
+        self.string_high = np.full(len(self.strings), -LAST, np.int64)
+        np.maximum.at(self.string_high, self.string, self.high[self.hot][which])
+
+    def runs(self, holder: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(segment, first start, last start, holder) of the segments in ``hot``, given the holder of each string (LAST: none)."""
+        own = holder[self.string]
+        n = self.strings_of
+        seg = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+        new = np.flatnonzero((k == 0) | np.concatenate([[True], own[1:] != own[:-1]]))
+        last = np.concatenate([new[1:], [len(own)]]) - 1
+        hit = own[new] < LAST
+        new, last = new[hit], last[hit]
+        return self.hot[seg[new]], k[new], k[last], own[new]
+
+
+def _least_of(digest: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct digests, least document of each, position of each entry's digest)."""
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    d = digest[order]
+    new = (d[1:] != d[:-1]).any(1)
+    new = np.concatenate([[True], new]) if len(d) else new
+    which = np.empty(len(d), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return d[first], np.minimum.reduceat(low[order], first) if len(first) else low[:0], which
 
 
 def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -378,15 +444,18 @@ def _pack(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 squeeze(json.dumps(block.carry).encode()),
             )
             value, text, start, size = _segments(block.texts, length)
-            every = _prints(value, buckets)
-            single = np.flatnonzero(_same(block.texts, every, text, start, size, length) == np.arange(len(every)))
-            prints, at = np.unique(every[single], return_index=True)
-            # one byte of the first segment's digest, and the bytes that all distinct segments with the minimum have beyond a usual one
-            some = single[at]
-            spans = zip(text[some].tolist(), start[some].tolist(), (start[some] + size[some] + length - 1).tolist())
-            marks = np.fromiter((xxhash.xxh32_intdigest(block.texts[t][a:z]) & 255 for t, a, z in spans), np.uint8, len(some))
-            total = np.bincount(np.searchsorted(prints, every[single]), size[single] + length - 1, len(prints))
-            more = (total - np.minimum(size[some] + length - 1, SEGMENT_BYTES)).astype("<u4")
+            every, n = _prints(value, buckets), size + length - 1
+            base = np.cumsum([0, *map(len, block.texts)])
+            mark = _ends(np.frombuffer(b"".join(block.texts), np.uint8), base[text] + start, n)
+            order = np.lexsort((mark, every))
+            every, mark, n = every[order], mark[order], n[order]
+            single = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (mark[1:] != mark[:-1])])) if len(every) else order
+            every, mark, n = every[single], mark[single], n[single]
+            prints, first = np.unique(every, return_index=True)
+            # one byte that tells the first segment from others, and the bytes that all distinct ones have beyond a usual one
+            marks = mark[first].astype(np.uint8)
+            total = np.add.reduceat(n, first) if len(first) else n
+            more = (total - np.minimum(n[first], SEGMENT_BYTES)).astype("<u4")
             for k, o in _by_bucket((prints >> np.uint64(32)).astype(np.int64)):
                 wide = o[more[o] > 0]
                 packed = prints[wide].astype("<u4").tobytes() + more[wide].tobytes()
@@ -493,18 +562,17 @@ def _send(told: DataFrame, buckets: int, out: int, hot_out: int, length: int, ho
             for block, docs, sizes, texts, _, lists in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, of, raw = _unpack(docs, sizes, texts)
                 inv = _Inventory(ids, of, raw, lists, buckets, length, hot_bytes)
-                x = _mixed(inv.prints[inv.seg])
+                seg, raw = np.flatnonzero(~inv.is_hot), inv.flat.tobytes()
+                x = _mixed(inv.prints[seg])
                 for k, o in _by_bucket((x % np.uint64(out)).astype(np.int64)):
-                    s = inv.seg[o]
-                    size = inv.size[s] + length - 1
-                    cuts = zip(inv.text[s].tolist(), inv.start[s].tolist(), (inv.start[s] + size).tolist())
-                    head = {"seg": o, "low": inv.low[o], "over": inv.high[o] - inv.low[o], "size": size, "sub": (x[o] >> np.uint64(40)) % np.uint64(SUBS)}
-                    packed = b"".join([*(head[c].astype(t).tobytes() for c, t in _HEAD), *(raw[t][a:z] for t, a, z in cuts)])
+                    i = seg[o]
+                    cuts = zip(inv.at[i].tolist(), (inv.at[i] + inv.size[i]).tolist())
+                    head = {"seg": i, "low": inv.low[i], "over": inv.high[i] - inv.low[i], "size": inv.size[i], "sub": (x[o] >> np.uint64(40)) % np.uint64(SUBS)}
+                    packed = b"".join([*(head[c].astype(t).tobytes() for c, t in _HEAD), *(raw[a:z] for a, z in cuts)])
                     yield _row(k, block, len(o), squeeze(packed))
-                digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, inv.strings)), ">u8").astype(np.uint64).reshape(-1, 2)
-                for k, o in _by_bucket((digests[:, 0] % np.uint64(hot_out)).astype(np.int64)):
+                for k, o in _by_bucket((inv.strings[:, 0] % np.uint64(hot_out)).astype(np.int64)):
                     head = {"seg": o, "low": inv.string_low[o], "over": inv.string_high[o] - inv.string_low[o]}
-                    packed = b"".join([*(head[c].astype(t).tobytes() for c, t in _HOT_HEAD), digests[o].astype("<u8").tobytes()])
+                    packed = b"".join([*(head[c].astype(t).tobytes() for c, t in _HOT_HEAD), inv.strings[o].astype("<u8").tobytes()])
                     yield _row(out + k, block, len(o), squeeze(packed))
 
     return told.mapInArrow(run, SENT)
@@ -522,17 +590,6 @@ def _covers(block, hot: bool, *columns) -> pa.Table:
     return pa.table({"block": pa.array(keys, pa.int64()), "hot": pa.array([hot] * len(keys), pa.bool_()), "cover": pa.array(packed, pa.binary())})
 
 
-def _least_of(digest: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct digests, least document of each, position of each entry's digest)."""
-    order = np.lexsort((digest[:, 1], digest[:, 0]))
-    d = digest[order]
-    new = np.concatenate([[True], (d[1:] != d[:-1]).any(1)])
-    which = np.empty(len(d), np.int64)
-    which[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return d[first], np.minimum.reduceat(low[order], first), which
-
-
 def _strings_of(part: pa.Table):
     block, (seg, low, over), raw = _read(part, _HOT_HEAD)
     return block, seg, low, over, np.concatenate([np.frombuffer(r, "<u8").reshape(-1, 2) for r in raw])
@@ -636,19 +693,20 @@ def _cut_out(rows: DataFrame, schema: T.StructType, buckets: int, length: int, h
             got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(c["cover"]), "<i8").reshape(2 if hot else 4, -1) for c in covers if c["hot"] == hot]
             if not got:
                 continue
-            got = np.concatenate(got, 1)
-            entry, holder = got[0], got[-1]
-            a, z = (got[1], got[2]) if not hot else (np.zeros(len(entry), np.int64),) * 2
+            entry, *a_z, holder = np.concatenate(got, 1)
+            if hot:
+                of_string = np.full(len(inv.strings), LAST, np.int64)
+                of_string[entry] = holder
+                entry, *a_z, holder = inv.runs(of_string)
+            a, z = a_z
             # each entry's places in the block
-            own, text, start = (inv.string, inv.at_text, inv.at_start) if hot else (inv.of, inv.text[inv.place], inv.start[inv.place])
-            order = np.argsort(own, kind="stable")
-            n = np.bincount(own, minlength=int(entry.max()) + 1)
-            begin = np.cumsum(n) - n
+            n = np.bincount(inv.of, minlength=len(inv.at))
+            order, begin = np.argsort(inv.of, kind="stable"), np.cumsum(n) - n
             e = np.repeat(np.arange(len(entry)), n[entry])
             q = order[begin[entry[e]] + np.arange(len(e)) - np.repeat(np.cumsum(n[entry]) - n[entry], n[entry])]
-            go = holder[e] < inv.least[text[q]]
+            go = holder[e] < inv.least[inv.text[q]]
             e, q = e[go], q[go]
-            out.append((text[q], start[q] + a[e], start[q] + z[e] + length))
+            out.append((inv.text[q], inv.start[q] + a[e], inv.start[q] + z[e] + length))
         return *(np.concatenate(x) for x in zip(*out)), inv.least
 
     def run(batches):
