@@ -82,3 +82,33 @@ def test_empty(spark):
     docs, items = frames(spark, [(1, "a b")], [(1, "a")])
     assert decontam.contamination(fixtures.empty(spark), items).collect() == []
     assert answer(decontam.contamination(docs, items.where("item_id < 0")))[0][2:4] == (0, 0)
+
+
+def test_one_index_serves_blocks_and_unrelated_tests(spark, tmp_path):
+    """The index knows no test set; a block without a word of the corpus isn't searched at all."""
+    rows, tests = case()
+    docs, items = frames(spark, rows, tests)
+    index = decontam.build_index(docs.select("doc_id", "text"), 60)
+    index.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    strange = decontam.Items([(i, " ".join(f"none{i}x{k}" for k in range(40))) for i in range(50)])
+    strange.choose(decontam.corpus_counts(index, strange.vocabulary), 0.8)
+    assert not len(strange.exact[1]) and not len(strange.near[1])
+    known = decontam.Items(tests)
+    counts = decontam.corpus_counts(index, known.vocabulary)
+    every = [w for _, t in rows for w in words(t)]
+    assert {w.decode(): int(counts[i]) for w, i in known.vocabulary.items()} == {w.decode(): every.count(w.decode()) for w in known.vocabulary}
+    known.choose(counts, 0.8)
+    got = decontam.search(index, known).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or 0, len(r.hits)) for r in got) == sorted((x[0] or 0, x[2]) for x in slow(rows, tests))
+
+
+def test_lost_words_do_not_hide_a_near_match(spark):
+    """Two words of each window may be missing, the rarest ones too."""
+    item = " ".join(f"common{k}" for k in range(11))
+    near = item.replace("common5", "other").replace("common2", "another")
+    filler = " ".join(f"common{k}" for k in range(11) if k not in (2, 5)) + " x "
+    docs = spark.createDataFrame([(1, near), (2, filler * 5 + " common2 y common5")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got[1].items == [] and got[1].near_items == ["7"]
