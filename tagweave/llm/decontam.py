@@ -133,7 +133,7 @@ class Items:
         as many of the rarest ones that the corpus has as at least one remains.
         """
         exact, near = [], []
-        spare = self.window + 1 - int(np.ceil(near_share * (self.window + 1))) + 1
+        spare = self.window - int(np.ceil(near_share * self.window)) + 1
         for a in range(0, len(self.words), 1 << 18):  # starts of windows, some at a time
             start = np.arange(a, min(a + (1 << 18), len(self.words)), dtype=np.int64)
             item = self.of[start]
@@ -205,7 +205,7 @@ def search_segment(items: Items | None, segment, docs, has, sizes, words, counts
             many = (start[ids[own] + 1] - start[ids[own]]).astype(np.int64)
             used = np.flatnonzero(many)
             pairs = many[used] * n[used]
-            for a, z in _slices(pairs, 1 << 21):
+            for a, z in _slices(pairs, 1 << (20 if exact else 18)):
                 w, k = used[a:z], pairs[a:z]
                 i = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
                 wide = np.repeat(n[w], k)
@@ -218,8 +218,7 @@ def search_segment(items: Items | None, segment, docs, has, sizes, words, counts
                     hits.append((q[ok] - left[ok], q[ok] + right[ok]))
                     found.append((item[ok], q[ok]))
                 else:
-                    got, all_ = _nearby(items, post, p, q, item, slop)
-                    ok = got >= np.ceil(near_share * all_)
+                    ok = _nearby(items, post, p, q, item, slop, near_share)
                     near.append((item[ok], q[ok]))
     mark = np.zeros(total + 1, np.int32)
     for a, z in hits:
@@ -271,18 +270,25 @@ def _extent(items, post, p, place, item):
     return out
 
 
-def _nearby(items, post, p, place, item, slop):
-    """Words of the item up to half a window away from the rarest one that lie within ``slop`` of their place."""
-    got, all_ = np.ones(len(p), np.int64), np.ones(len(p), np.int64)
-    for k in [*range(-(items.window // 2), 0), *range(1, items.window // 2 + 1)]:
+def _nearby(items, post, p, place, item, slop, near_share) -> np.ndarray:
+    """Whether some window with the pivot has ``near_share`` of its words within ``slop`` of their places."""
+    w = items.window
+    have = np.zeros((len(p), 2 * w), np.int32)  # running sums from w - 1 words before the pivot on
+    for j, k in enumerate(range(1 - w, w)):
         q, at = p + k, place + k
         ok = (q >= items.begin[item]) & (q < items.end[item])
-        all_ += ok
         key = items.words[q[ok]].astype(np.int64) << 40
         low = key | np.maximum(at[ok] - slop, 0)
         i = np.minimum(np.searchsorted(post, low), len(post) - 1)
-        got[ok] += (post[i] >= low) & (post[i] <= (key | np.maximum(at[ok] + slop, 0)))
-    return got, all_
+        ok[ok] = (post[i] >= low) & (post[i] <= (key | np.maximum(at[ok] + slop, 0)))
+        have[:, j + 1] = have[:, j] + ok
+    out, need, row = np.zeros(len(p), bool), items.need[item].astype(np.int64), np.arange(len(p))
+    for j in range(w):  # the window starts j words before the pivot
+        start = p - j
+        ok = (j < need) & (start >= items.begin[item]) & (start + need <= items.end[item])
+        first = w - 1 - j
+        out |= ok & (have[row, first + need] - have[:, first] >= np.ceil(near_share * need))
+    return out
 
 
 def _by_doc(items, base, found) -> dict[int, list[str]]:
@@ -335,7 +341,8 @@ def contamination(
     words. Rows that repeat are answered each, items with one id count once, and
     a null one is named "null". Long texts are whole in one segment. Other
     columns are left aside; without documents there are no rows, without items
-    no matches. ``near_items`` are items with a proximity match but no exact one.
+    no matches. ``near_items`` are items without an exact match of which a window
+    has ``near_share`` of its words within ``slop`` of their places, seen from one of its rarest words.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tests = tests.select("item_id", F.col("text").cast("string").alias("text"))
