@@ -56,17 +56,18 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones.ravel() * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp, carry): the fingerprint as a signed long, one row per input row; ``carry`` names a string column."""
     small_batches(docs.sparkSession)
+    more = [] if carry is None else [carry]
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in more)]))
 
 
 def _syndromes() -> np.ndarray:
@@ -229,6 +230,13 @@ def near_fingerprints(reps: DataFrame, threshold: int = 2) -> DataFrame:
     return components(edges)
 
 
+def _classes(fps: DataFrame, threshold: int) -> DataFrame:
+    """(fp, root): the group of each distinct fingerprint, named by its least fingerprint."""
+    distinct = cut(fps.select("fp").distinct(), "reps")
+    roots = near_fingerprints(distinct.withColumn("rep", F.col("fp")), threshold)
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, width: int = 3
 ) -> DataFrame:
@@ -238,15 +246,32 @@ def simhash_groups(
     ``threshold`` differing bits. Documents with equal fingerprints form one
     class before anything is compared, so large groups of copies cost no more
     than one. Null and empty texts have fingerprint 0 and are linked like any
-    other. Repeated rows stay repeated; rows without an id get a component only
-    from others that have one.
+    other. Repeated rows stay repeated; rows without an id link others and get
+    the component of those that have one. Whole texts count, however long, and
+    other columns, whatever their names, are left aside; an empty table gives
+    an empty one.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width), "fps")
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = near_fingerprints(reps.where("rep is not null"), threshold)
-    classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")
-    )
-    return fps.join(classes, "fp").select(
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    classes = cut(_classes(fps, threshold).join(low, "fp"), "classes")
+    names = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(classes.join(names, "root").select("fp", "component_id"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, width: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each near-duplicate group does.
+
+    That is the one with the smallest id, of several with that id the one whose
+    text has the least digest, and one without an id only if all are. Of rows
+    that agree in both, one stays: the least by its other columns.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary")))
+    fps = fingerprints(docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")), "id", "text", width, carry="key")
+    fps = cut(fps, "fps")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    kept = fps.join(_classes(fps, threshold), "fp").groupBy("root").agg(first).select(F.col("first.key").alias("_key"))
+    own = F.min(F.struct(*docs.columns)).alias("_row")
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").groupBy("_key").agg(own).select("_row.*")

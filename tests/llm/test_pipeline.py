@@ -1,4 +1,5 @@
 import importlib
+import random
 
 import pytest
 
@@ -35,7 +36,7 @@ def cut_text(rows):
 def plain(spark, sf_dir, docs):
     """run() without Spark but for the classifier's fit."""
     model = q.fit_quality(docs, table(spark, sf_dir, "labels"))
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     rows = [r for r, s in zip(rows, model.score([q.passages(t) for _, t in rows])) if s >= q.THRESHOLD]
     rows = sorted(dict(rows).items())
     comp = groups([d for d, _ in rows], [slow_fingerprint(t) for _, t in rows])
@@ -63,4 +64,19 @@ def test_stages_take_odd_rows(spark, sf, k):
         assert [t for _, t in out.dtypes] == ["bigint", "string", "string", "string", "bigint"]
     assert out.collect()
     assert stage(spark, fixtures.empty(spark), sf).collect() == []
-    assert len(slow_cut([(1, "a")])) == 1
+
+
+def test_rows_without_an_id_and_ids_of_several_texts(spark, sf):
+    """No stage but the one whose rule says so drops them."""
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    bench = table(spark, sf, "benchmark").where("length(text) > 200").first().text
+    rows = [(1, text()), (1, text()), (None, text()), (None, text()), (2, text() + " " + bench), (None, bench + " " + text())]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert key(stages["simhash near-dedup"](spark, docs, sf)) == sorted(rows, key=str)
+    cut_rows = slow_cut(rows)
+    assert sum(x[1] - x[2] for x in cut_rows) == sum(len(t.encode()) for _, t in key(stages["suffix-array dedup"](spark, docs, sf)))
+    assert key(stages["benchmark decontamination"](spark, docs, sf)) == sorted(rows[:4], key=str)
+    assert sorted({r.doc_id for r in stages["best-fit packing"](spark, docs, sf).collect()}, key=str) == [1, 2, None]

@@ -89,3 +89,20 @@ def test_chains_and_near_words(spark):
 
 def test_empty(spark):
     assert simhash.simhash_groups(fixtures.empty(spark)).collect() == []
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """a and c are three bits apart, b between them has no id; the group is still one."""
+    base = 0x0123456789ABCDEF
+    fps = spark.createDataFrame([(5, base), (None, base ^ 3), (3, base ^ 15), (None, base ^ (1 << 60 | 1 << 50 | 1 << 40))], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: fps)
+    got = [(r.doc_id, r.component_id) for r in simhash.simhash_groups(fps).collect()]
+    assert sorted(got, key=str) == sorted([(5, 3), (None, 3), (3, 3), (None, None)], key=str)
+
+
+def test_one_of_each_group(spark):
+    rows = [(4, "one two three", "x"), (2, "one two three", "y"), (2, "one two three", "a"), (None, "one two three", "z"), (7, "p q r", "x")]
+    rows += [(7, "other words here", "x"), (None, "lonely text", "x"), (None, None, "n"), (9, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted((tuple(r) for r in simhash.one_of_each_group(docs).collect()), key=str)
+    assert got == sorted([(2, "one two three", "a"), (7, "p q r", "x"), (7, "other words here", "x"), (None, "lonely text", "x"), (9, "", "n")], key=str)
