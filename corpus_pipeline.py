@@ -15,25 +15,22 @@ from tagweave.llm.decontam import contamination
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.quality import THRESHOLD, fit_quality, score_quality
 from tagweave.llm.queries import tokenizer_path
-from tagweave.llm.simhash import simhash_groups
+from tagweave.llm.simhash import one_of_each_group
 from tagweave.llm.suffix_dedup import repeated_passages
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 0 go, and so do rows without a doc_id: no later stage could name them."""
+    """Documents that the quality classifier predicts as 0 go; rows without a doc_id are judged like any other."""
     docs = docs.select(*COLUMNS)
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = score_quality(docs.where("doc_id is not null"), model)
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.where(F.col("quality_score") >= THRESHOLD).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of a repeated row one."""
-    docs = docs.select(*COLUMNS)
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near-duplicates the document with the smallest id stays; different texts with one id stay both."""
+    return one_of_each_group(docs.select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +42,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    docs = docs.select(*COLUMNS)
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold a window of a benchmark item go. Texts decide, so they are told apart by a digest, not by id."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    docs = docs.select(*COLUMNS).withColumn("digest", digest)
+    hit = contamination(docs, table(spark, sf_dir, "benchmark"), id_col="digest").where("contaminated")
+    return docs.join(hit.select(F.col("doc_id").alias("digest")).distinct(), "digest", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
