@@ -55,12 +55,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tagweave_path = path
+    _WRITTEN.append(out)
     return out
 
 
+#: Tables that ``cut`` wrote and nobody has deleted yet.
+_WRITTEN: list[DataFrame] = []
+
+
+def written() -> int:
+    """A mark for ``release``: how many tables there are."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written since a mark but ``keep``: once a result is stored, what it was made from can go."""
+    for df in _WRITTEN[since:]:
+        if df is not keep:
+            drop(df)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``cut`` wrote and nothing reads any more."""
     path = getattr(df, "_tagweave_path", None)
+    _WRITTEN[:] = [d for d in _WRITTEN if d is not df]
     if path:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -29,20 +29,49 @@ BASE = (
 # Short notices, labels and the edits (inserted, deleted or changed characters) that are allowed.
 NOTICES = (
     ("gnu general public license", "gpl", 3),
+    ("this program is free software you can redistribute it and or modify it", "gpl", 6),
+    ("spdx license identifier gpl", "gpl", 1),
     ("gnu lesser general public license", "lgpl", 3),
+    ("gnu library general public license", "lgpl", 3),
+    ("spdx license identifier lgpl", "lgpl", 1),
     ("gnu affero general public license", "agpl", 3),
-    ("this program is free software you can redistribute it and or modify it", "gpl", 6),
+    ("spdx license identifier agpl", "agpl", 1),
+    ("gnu free documentation license", "gfdl", 3),
     ("apache license version 2 0", "apache", 3),
+    ("spdx license identifier apache 2 0", "apache", 1),
     ("released under the mit license", "mit", 3),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
+    ("spdx license identifier mit", "mit", 1),
     ("redistribution and use in source and binary forms", "bsd", 4),
+    ("spdx license identifier bsd", "bsd", 1),
     ("mozilla public license", "mpl", 2),
+    ("spdx license identifier mpl", "mpl", 1),
     ("eclipse public license", "epl", 2),
+    ("eclipse distribution license", "edl", 2),
+    ("european union public licence", "eupl", 3),
+    ("common development and distribution license", "cddl", 4),
+    ("common public license", "cpl", 2),
+    ("boost software license", "bsl-1.0", 2),
+    ("business source license", "busl", 2),
+    ("server side public license", "sspl", 2),
+    ("elastic license 2 0", "elastic", 2),
+    ("polyform noncommercial license", "polyform", 3),
+    ("artistic license", "artistic", 1),
+    ("academic free license", "afl", 2),
+    ("open software license", "osl", 2),
+    ("microsoft public license", "ms-pl", 2),
+    ("python software foundation license", "psf", 3),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib", 8),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 6),
+    ("do what the fuck you want to public license", "wtfpl", 4),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 6),
+    ("the postgresql license", "postgresql", 2),
+    ("university of illinois ncsa open source license", "ncsa", 4),
+    ("sil open font license", "ofl", 2),
+    ("open database license", "odbl", 2),
     ("licensed under cc by", "cc-by", 2),
     ("creative commons attribution", "cc-by", 3),
     ("creative commons zero", "cc0", 2),
-    ("this is free and unencumbered software released into the public domain", "unlicense", 6),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc", 6),
     ("all rights reserved", "all-rights-reserved", 2),
 )
 
@@ -74,26 +103,29 @@ def _places(text: bytes, part: bytes):
 
 def fuzzy_spans(text: bytes, wanted: list[Notice]) -> list[tuple[str, int, int, int, float]]:
     """(label, first byte, end byte, edits, likeness) of matches in words joined by blanks; none overlap for one notice."""
-    out = []
+    out, seen = [], {}
     for n in wanted:
         spots = sorted({p - o for part, o in n.seeds if part in text for p in _places(text, part)})
         last_end = -1
         done_upto = -1
         for spot in spots:
-            a, z = max(0, spot - n.edits), spot + len(n.text) + n.edits
-            if z <= done_upto or spot + n.edits < last_end:
+            a, z = max(0, spot - n.edits, last_end), spot + len(n.text) + n.edits
+            if z <= done_upto or z <= a or a >= len(text):
                 continue
             while a > 0 and text[a] & 0xC0 == 0x80:  # not within a character
                 a -= 1
             piece = text[a:z].decode("utf-8", "ignore")
-            m = n.pattern.search(piece)
-            if m is None:
-                continue
-            begin = a + len(piece[: m.start()].encode())
-            end = begin + len(m.group().encode())
-            if begin < last_end:
+            # texts that repeat themselves ask for the same piece again
+            known = seen.get((n.text, piece))
+            if known is None:
+                m = n.pattern.search(piece)
+                known = (len(piece[: m.start()].encode()), len(m.group().encode()), sum(m.fuzzy_counts)) if m else ()
+                if len(seen) >= 10_000:
+                    seen.clear()
+                seen[n.text, piece] = known
+            if not known:
                 continue
-            edits = sum(m.fuzzy_counts)
+            begin, end, edits = a + known[0], a + known[0] + known[1], known[2]
             out.append((n.label, begin, end, edits, 1 - edits / len(n.text)))
             last_end = done_upto = end
     return out
@@ -106,17 +138,20 @@ def scan(text: str | None, wanted: list[Notice], base=BASE) -> tuple:
         return 0, 0, None, None, "", "", 0.0, []
     joined = b" ".join(words)
     padded = b" " + joined + b" "
+    # where each word starts, so that the word at a place is one search away
+    starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - np.fromiter(map(len, words), np.int64, len(words)) - 1
     places, found, labels = [], set(), set()
     for phrase, label in base:
-        for at in _places(padded, b" " + phrase.encode() + b" "):
-            places.append(padded.count(b" ", 0, at))
+        hits = list(_places(padded, b" " + phrase.encode() + b" "))
+        if hits:
+            places += np.searchsorted(starts, hits).tolist()
             found.add(label)
     spans, score = [], 1.0 if found else 0.0
     for label, a, z, edits, likeness in fuzzy_spans(joined, wanted):
         labels.add(label)
         score = max(score, likeness)
-        first = joined.count(b" ", 0, a + 1)
-        spans.append((label, first, first + joined.count(b" ", a + 1, z) + 1, edits, joined[a:z].decode("utf-8", "ignore")))
+        first = int(np.searchsorted(starts, a + (joined[a : a + 1] == b" "), "right")) - 1
+        spans.append((label, first, int(np.searchsorted(starts, z)), edits, joined[a:z].decode("utf-8", "ignore")))
     lists = [",".join(sorted(x)) for x in (found, found | labels)]
     return len(words), len(places), min(places, default=None), max(places, default=None), *lists, score, spans
 
@@ -131,7 +166,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """SCHEMA, one row per input row. ``spans`` are the fuzzy matches by words (end excluded) with their edits.
 
     Null and empty texts have no words, no labels and score 0. The score is 1
-    for an exact phrase, else the likeness of the best fuzzy match.
+    for an exact phrase, else the likeness of the best fuzzy match. Long texts
+    are searched whole, in time in proportion to them; matches of one notice
+    don't overlap. Rows that repeat or have no id are answered each, other
+    columns are left aside, and an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32()), ("text", pa.string())]))

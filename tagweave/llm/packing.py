@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import cut, small_batches
 
 SIZE = 2048
-#: Patterns that may be fitted at once, and distinct words whose ids a worker remembers.
-MAX_PATTERNS, MEMORY = 400_000, 400_000
+#: Distinct words whose ids a worker remembers.
+MEMORY = 400_000
 #: Steps of the fit; residual packing takes what they leave.
 STEPS = 250
 
@@ -142,11 +142,10 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 0) -> Dat
     return docs.mapInArrow(run, PIECES)
 
 
-def enumerate_patterns(lengths: np.ndarray, size: int, most: int = MAX_PATTERNS) -> np.ndarray:
+def enumerate_patterns(lengths: np.ndarray, size: int) -> np.ndarray:
     """Rows of up to three lengths (0: none), longest first, that add up to ``size``; the lengths that occur only.
 
-    If there are more triples than ``most``, those whose shortest length is
-    longest are kept: they are the harder ones to fill otherwise.
+    There are about ``size`` squared / 12 of them at most, all are fitted.
     """
     has = np.zeros(size + 1, bool)
     has[lengths] = True
@@ -156,15 +155,12 @@ def enumerate_patterns(lengths: np.ndarray, size: int, most: int = MAX_PATTERNS)
     two = lengths[(lengths * 2 >= size) & (lengths < size)]
     two = two[has[size - two]]
     out.append(np.stack([two, size - two, np.zeros_like(two)], 1))
-    triples, left = [], most
+    triples = []
     for c in lengths[::-1]:
-        if left <= 0:
-            break
         b = lengths[(lengths >= c) & (lengths * 2 <= size - c)]
         a = size - c - b
         ok = (a > 0) & has[np.maximum(a, 0)]
         triples.append(np.stack([a[ok], b[ok], np.full(int(ok.sum()), c)], 1))
-        left -= int(ok.sum())
     return np.concatenate([*out, *triples]).astype(np.int64)
 
 
@@ -285,7 +281,9 @@ def pack_documents(
 
     ``tokenizer`` is the path of a ``tokenizers`` file on every machine. Null
     texts are empty: one piece that holds the end id alone. Repeated rows are
-    packed each; rows without an id keep a null one.
+    packed each; rows without an id keep a null one. Long texts are tokenised
+    whole and cut into pieces of ``size``; pieces of one length tie, by task and
+    order of reading. Other columns are left aside; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

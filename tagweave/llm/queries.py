@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import table
@@ -14,10 +14,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagweave.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans")
     )
 
 
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 1 that SQL can express."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagweave.llm.embed_dedup import near_vectors
 
@@ -30,6 +35,15 @@ def op3_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of op 3 fixes: rows, slots and distinct slots of each shard, and the sizes of all rows."""
+    got = op3_balanced_sharding(spark, sf_dir).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"), F.sum("size").alias("bytes")
+    )
+    total = Window.partitionBy()  # one row a shard
+    return got.select("n_rows", "first_slot", "last_slot", "n_slots", F.sum("bytes").over(total).alias("bytes_of_all"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -148,12 +162,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "license_base_phrases": license_base_phrases,
+    "shard_counts": shard_counts,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_PHRASES = (("['gnu', 'general', 'public', 'license']", "gpl"), ("['apache', 'license']", "apache"), ("['cc', 'by']", "cc-by"), ("['mit', 'license']", "mit"))
+_AT = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i : i + len({p}) - 1] = {p}) AS p{k}" for k, (p, _) in enumerate(_PHRASES))
+
 SQL: dict[str, str] = {
+    "license_base_phrases": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, {_AT} FROM d),
+a AS (SELECT doc_id, n, list_concat(list_concat(p0, p1), list_concat(p2, p3)) AS spot,
+      list_sort(list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(_PHRASES))}], lambda x: x IS NOT NULL)) AS l FROM p)
+SELECT doc_id, n AS n_words, len(spot) AS n_base, list_min(spot) - 1 AS first_word, list_max(spot) - 1 AS last_word, coalesce(array_to_string(l, ','), '') AS base_labels FROM a""",
+    "shard_counts": """
+WITH d AS (SELECT count(*) AS n, sum(strlen(coalesce(text, '')) + 16) AS b FROM documents)
+SELECT n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END AS n_rows, 0 AS first_slot, n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END - 1 AS last_slot,
+       n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END AS n_slots, b::BIGINT AS bytes_of_all
+FROM d, range(40) r(s) WHERE n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END > 0""",
     "op9_chat_formatting": f"""
 WITH RECURSIVE src AS (SELECT conv_id AS c, coalesce(turn, -1)::BIGINT AS t, coalesce(role, '') AS role, coalesce(text, '') AS text,
       length(coalesce(text, '')) AS n FROM conversations),

@@ -49,7 +49,7 @@ def test_fuzzy_matches_edit_distance():
 
     r = random.Random(4)
     for n in wanted:
-        for _ in range(12):
+        for _ in range(6):
             s = list(n.text)
             for _ in range(r.randint(0, n.edits + 3)):
                 k = r.randrange(len(s))
@@ -80,3 +80,45 @@ def test_table(spark):
     got = ls.scan_licenses(docs).collect()
     assert sorted([tuple(r)[:6] for r in got], key=str) == sorted([(r[0], *slow(r[1])) for r in fixtures.rows()], key=str)
     assert ls.scan_licenses(fixtures.empty(spark)).collect() == []
+
+
+def test_places_are_found_in_proportion():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        got = ls.scan("mit license " * n, ls.notices())
+        assert got[:4] == (2 * n, n, 0, 2 * n - 2)
+        return time.process_time() - began
+
+    small, large = took(10_000), took(80_000)
+    assert large < 20 * small + 0.5
+
+
+def test_every_notice_within_its_edits_is_labelled():
+    """Labels against a search of the whole text that uses no seeds; spans name the words they cover."""
+    import random
+
+    import regex
+
+    r, wanted = random.Random(7), ls.notices()
+    for t in fixtures.texts(9, 25):
+        for n in r.sample(wanted, 4):
+            s = list(n.text)
+            for _ in range(r.randint(0, n.edits + 1)):
+                s[r.randrange(len(s))] = r.choice(["", "q", " "])
+            t = (t or "") + " " + "".join(s) + " " + r.choice(["", n.text])
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        if len(words) > 2000:
+            continue
+        joined = " ".join(words)
+        want = {n.label for n in wanted if regex.search(f"(?:{n.text}){{e<={n.edits}}}", joined)}
+        got = ls.scan(t, wanted)
+        assert set(filter(None, got[5].split(","))) == want | set(filter(None, got[4].split(",")))
+        for label, first, end, e, text in got[7]:
+            assert text.strip() in " ".join(words[first:end]) and end - first <= len(text.split()) + 1
+
+
+def test_a_match_after_another_is_kept():
+    twice = "all rights reserved" + "all rights reserved"
+    assert len([s for s in ls.scan(twice, ls.notices())[7] if s[0] == "all-rights-reserved"]) == 2
