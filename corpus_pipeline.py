@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import cut, table
+from tagweave.llm.common import cut, drop, release, table, written
 from tagweave.llm.decontam import contamination
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.quality import THRESHOLD, fit_quality, score_quality
@@ -70,5 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before, made_from = written(), docs
         docs = cut(stage(spark, docs, sf_dir), f"stage{k}")
+        release(before, keep=docs)  # what the stage wrote on its way, and what it read
+        drop(made_from)
     return docs
