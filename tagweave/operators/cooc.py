@@ -13,22 +13,28 @@ def unigrams(df: DataFrame, doc: str = "doc_id", tag: str = "tag") -> DataFrame:
     return df.select(doc, tag).distinct().groupBy(tag).agg(F.count(F.lit(1)).alias("freq"))
 
 
-def bigrams(df: DataFrame, doc: str = "doc_id", tag: str = "tag", max_tags: int | None = None) -> DataFrame:
+#: Tags of a document (or user) whose pairs are made within one row.
+MAX_TAGS = 1000
+
+
+def bigrams(df: DataFrame, doc: str = "doc_id", tag: str = "tag", max_tags: int | None = MAX_TAGS) -> DataFrame:
     """(w1, w2, freq), w1 < w2: documents of each pair of tags.
 
     Pairs are made within the row of a document's distinct tags, so the only
-    shuffles are by document and of partial counts. Documents above
-    ``max_tags`` tags go through a self-join instead, where Spark can split them.
+    shuffles are by document and of partial counts. Tags of a document above
+    ``max_tags`` are dealt to parts of that size, and each pair of parts is
+    joined by itself, so no task makes more than ``max_tags`` squared pairs of it.
     """
+    max_tags = max_tags or MAX_TAGS
     tags = df.where(F.col(tag).isNotNull()).select(doc, tag)
     lists = tags.groupBy(doc).agg(F.collect_set(tag).alias("tags"))
-    if max_tags is None:
-        pairs = lists.select(F.explode(fn.pairs_of("tags")).alias("p"))
-        return pairs.groupBy("p.w1", "p.w2").agg(F.count(F.lit(1)).alias("freq"))
     pairs = lists.where(F.size("tags") <= max_tags).select(F.explode(fn.pairs_of("tags")).alias("p")).select("p.w1", "p.w2")
-    once = tags.distinct()
-    wide = once.join(once.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_tags), doc, "left_semi")
-    more = wide.select(doc, F.col(tag).alias("w1")).join(wide.select(doc, F.col(tag).alias("w2")), doc).where("w1 < w2").select("w1", "w2")
+    last = F.floor((F.size("tags") - 1) / max_tags).cast("int").alias("last")
+    wide = lists.where(F.size("tags") > max_tags).select(doc, last, F.posexplode("tags").alias("at", "t"))
+    wide = wide.withColumn("part", F.floor(F.col("at") / max_tags).cast("int"))
+    left = wide.select(doc, F.col("t").alias("a"), F.col("part").alias("i"), F.explode(F.sequence("part", "last")).alias("j"))
+    right = wide.select(doc, F.col("t").alias("b"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    more = left.join(right, [doc, "i", "j"]).where("i < j or a < b").select(F.least("a", "b").alias("w1"), F.greatest("a", "b").alias("w2"))
     return pairs.union(more).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("freq"))
 
 

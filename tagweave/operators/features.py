@@ -106,42 +106,58 @@ def combine_features(base: DataFrame, graph: DataFrame, mode: str = "concat", ke
     return b.select(key, F.concat(F.lit("b:"), "feat").alias("feat"), "value").union(g.union(filled).select(key, name.alias("feat"), "value"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, qid: str = "q_id", bid: str = "b_id", vec: str = "vec", max_queries: int = 200_000) -> DataFrame:
-    """(q_id, b_id, dist, place): the ``k`` nearest base rows of each query by squared distance.
+def nearest(queries: DataFrame, base: DataFrame, k: int, qid: str = "q_id", bid: str = "b_id", vec: str = "vec", wave: int = 20_000, block: int = 2048) -> DataFrame:
+    """(q_id, b_id, dist, place): the ``k`` nearest base rows of each query by squared distance; equal ones by id.
 
-    Queries are sent to all (their number is checked); each task keeps its k
-    best by blocked products over its own base rows, and a window merges them.
+    About ``wave`` queries at a time are sent to all tasks; each keeps its k
+    best by products of ``block`` rows over its own base rows, and a window
+    merges them. Distances count to nine digits, here as in the merge, so ties
+    are settled by id wherever they meet.
     """
-    q = queries.select(qid, vec).limit(max_queries + 1).toPandas()
-    if len(q) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: split them")
     kinds = dict(queries.dtypes)[qid], dict(base.dtypes)[bid]
     schema = f"{qid} {kinds[0]}, {bid} {kinds[1]}, dist double"
-    if not len(q):
-        return base.sparkSession.createDataFrame([], schema + ", place int")
-    shared = base.sparkSession.sparkContext.broadcast((q[qid].tolist(), np.stack(q[vec].map(lambda v: np.asarray(v, float)))))
+    out = base.sparkSession.createDataFrame([], schema)
+    waves = -(-queries.count() // wave)
+    for n in range(waves):
+        some = queries.select(qid, vec).where(F.pmod(F.xxhash64(qid), F.lit(waves)) == n).toPandas()
+        if len(some):
+            x = np.stack(some[vec].map(lambda v: np.asarray(v, float)))
+            shared = base.sparkSession.sparkContext.broadcast((some[qid].to_numpy(), x))
+            out = out.union(base.select(bid, vec).mapInPandas(_nearest_here(shared, k, qid, bid, vec, block), schema))
+    w = Window.partitionBy(qid).orderBy("dist", bid)
+    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _nearest_here(shared, k: int, qid: str, bid: str, vec: str, block: int):
+    def best_of(row, dist, ids):
+        """The k best entries of each query, by distance and id."""
+        order = np.lexsort((ids, dist, row))
+        row, dist, ids = row[order], dist[order], ids[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < k
+        return row[keep], dist[keep], ids[keep]
 
     def local(batches):
         names, x = shared.value
-        best_d, best_i = np.full((len(x), 0), np.inf), np.empty((len(x), 0), object)
+        best = None
         for pdf in batches:
             y = np.stack(pdf[vec].map(lambda v: np.asarray(v, float)))
-            ids = pdf[bid].to_numpy(object)
-            for at in range(0, len(y), 4096):
-                part = y[at : at + 4096]
-                d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ part.T + (part * part).sum(1)[None, :], 0)
-                d = np.concatenate([best_d, d], 1)
-                i = np.concatenate([best_i, np.broadcast_to(ids[at : at + 4096], (len(x), len(part)))], 1)
-                # a few more than k, so that ties at the border are settled by id below
-                m = min(d.shape[1], 2 * k + 8)
-                o = np.argsort(d, 1, kind="stable")[:, :m]
-                best_d, best_i = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
-        if best_d.shape[1]:
-            m = best_d.shape[1]
-            yield pd.DataFrame({qid: np.repeat(np.array(names, object), m), bid: best_i.ravel(), "dist": best_d.ravel()})
-
-    w = Window.partitionBy(qid).orderBy(F.round("dist", 9), bid)
-    return base.select(bid, vec).mapInPandas(local, schema).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+            ids = pdf[bid].to_numpy()
+            ids = ids.astype(str) if ids.dtype == object else ids
+            for q in range(0, len(x), block):
+                for at in range(0, len(y), block):
+                    own, part = x[q : q + block], y[at : at + block]
+                    d = np.maximum((own * own).sum(1)[:, None] - 2 * own @ part.T + (part * part).sum(1)[None, :], 0).round(9)
+                    # all that tie with the k-th stay for now
+                    limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                    row, col = np.nonzero(d <= limit[:, None])
+                    found = best_of(row + q, d[row, col], ids[at + col])
+                    best = found if best is None else best_of(*(np.concatenate(v) for v in zip(best, found)))
+        if best is not None:
+            row, dist, ids = best
+            yield pd.DataFrame({qid: names[row], bid: ids, "dist": dist})
+
+    return local
 
 
 def knn_vote(neighbours: DataFrame, labels: DataFrame, qid: str = "q_id", bid: str = "b_id") -> DataFrame:

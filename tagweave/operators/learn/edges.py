@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,8 +62,9 @@ def fit_edges(pairs: DataFrame, known: DataFrame, alpha: float = 0.5, ridge: flo
 
     ``pairs`` has (group, w1, w2, w): co-occurrence; ``known`` has (w1, w2,
     weight) with weights up to 1. Candidates are the pairs seen together; those
-    known start at their weight, others at a small one. Groups above
-    ``max_tags`` words are left to their strongest words.
+    known start at their weight, others at a small one. In a group above
+    ``max_tags`` words the weights among its strongest words are learned; its
+    other pairs are returned with the weight that they start with.
     """
     seen = pairs.select(group, "w1", "w2", "w")
     k = known.groupBy(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")).agg(F.least(F.max("weight"), F.lit(1.0)).alias("k"))
@@ -72,17 +75,20 @@ def fit_edges(pairs: DataFrame, known: DataFrame, alpha: float = 0.5, ridge: flo
         power = pd.concat([pdf.groupby("w1").w.sum(), pdf.groupby("w2").w.sum()]).groupby(level=0).sum()
         words = sorted(power.sort_values(ascending=False, kind="stable").index[:max_tags])
         at = {x: i for i, x in enumerate(words)}
-        pdf = pdf[pdf.w1.isin(at) & pdf.w2.isin(at)].sort_values(["w1", "w2"])
+        pdf = pdf.sort_values(["w1", "w2"])
+        first = np.maximum(pdf.k.fillna(0.0), [noise * (0.5 + 0.5 * zlib.crc32(f"{a}|{b}".encode()) / 2**32) for a, b in zip(pdf.w1, pdf.w2)])
+        inside = pdf.w1.isin(at) & pdf.w2.isin(at)
+        rest, pdf, start = pdf[~inside].assign(weight=first[~inside]), pdf[inside], first[inside].to_numpy()
         i, j = pdf.w1.map(at).to_numpy(int), pdf.w2.map(at).to_numpy(int)
         n = len(words)
         b, known_, init = (np.zeros((n, n)) for _ in range(3))
         b[i, j] = b[j, i] = pdf.w
         kk = pdf.k.fillna(0.0).to_numpy()
         known_[i, j] = known_[j, i] = kk
-        start = np.maximum(kk, noise * (0.5 + 0.5 * np.sin(np.arange(len(kk)) * 12.9898) ** 2))
         init[i, j] = init[j, i] = start
         g, got = fit_matrix(init, known_, stochastic(b), alpha, ridge, max_iter)
         g = (g + g.T) / 2
-        return pd.DataFrame({group: pdf[group].iloc[0], "w1": pdf.w1, "w2": pdf.w2, "weight": g[i, j], "start": got.history[0], "end": got.f})
+        out = pd.concat([pdf.assign(weight=g[i, j]), rest])
+        return pd.DataFrame({group: out[group], "w1": out.w1, "w2": out.w2, "weight": out.weight, "start": got.history[0], "end": got.f})
 
     return rows.select(group, "w1", "w2", "w", "k").groupBy(group).applyInPandas(fit, f"{group} {kind}, w1 string, w2 string, weight double, start double, end double")

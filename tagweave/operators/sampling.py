@@ -15,12 +15,13 @@ def spread(ident, seed: int = 0) -> Column:
 def sample_pos_neg(df: DataFrame, label: str, ident: str, ratio: int = 8, max_pos: int = 10_000, max_neg: int = 20_000, by: list[str] | None = None, seed: int = 0) -> DataFrame:
     """Positives up to ``max_pos``; negatives up to ``ratio`` for each of them and ``max_neg``."""
     by = by or []
-    w = Window.partitionBy(*by, label).orderBy(spread(ident, seed), ident)
-    r = df.withColumn("_r", F.row_number().over(w))
+    from tagweave.operators.stats import numbered_in
+
+    r = numbered_in(df, [*by, label], spread(ident, seed), ident, name="_r")
     pos = df.where(F.col(label) == 1).groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(max_pos)).alias("_p"))
-    j = r.join(F.broadcast(pos), by, "left") if by else r.crossJoin(F.broadcast(pos))
+    j = r.join(pos, by, "left") if by else r.crossJoin(F.broadcast(pos))
     most = F.when(F.col(label) == 1, F.lit(max_pos)).otherwise(F.least(ratio * F.coalesce("_p", F.lit(0)), F.lit(max_neg)))
-    return j.where(F.col("_r") <= most).select(*df.columns)
+    return j.where(F.col("_r") < most).select(*df.columns)
 
 
 def entry_folds(df: DataFrame, label: str, ident: str, ratio: int, folds: int, seed: int = 0) -> DataFrame:
@@ -39,8 +40,13 @@ def random_items(df: DataFrame, ident: str, m: int, seed: int = 0) -> DataFrame:
 
 def stratified_folds(df: DataFrame, label: str, ident: str, folds: int, seed: int = 0) -> DataFrame:
     """Each label's rows dealt evenly to exclusive folds 1 to ``folds``."""
-    w = Window.partitionBy(label).orderBy(spread(ident, seed), ident)
-    return df.withColumn("fold", F.ntile(folds).over(w))
+    from tagweave.operators.stats import numbered_in
+
+    r = numbered_in(df, [label], spread(ident, seed), ident, name="_r")
+    size, over, at = F.floor(F.col("n") / folds), F.col("n") % folds, F.col("_r")
+    # the first folds take one row more where the label's rows don't divide evenly
+    fold = F.when(at < (size + 1) * over, F.floor(at / (size + 1))).otherwise(over + F.floor((at - (size + 1) * over) / F.greatest(size, F.lit(1))))
+    return r.withColumn("fold", (fold + 1).cast("int")).select(*df.columns, "fold")
 
 
 def collaborative_split(df: DataFrame, img: str, tag_id: str, label: str, n: int, min_tags: int = 1, seed: int = 0) -> DataFrame:

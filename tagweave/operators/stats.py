@@ -35,6 +35,33 @@ def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     return dealt.withColumn(name, own).join(F.broadcast(sizes), part).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop(part, "_before")
 
 
+def numbered_in(df: DataFrame, by: list[str], *order, name: str = "pos", value=None) -> DataFrame:
+    """``df`` with its 0-based place within the groups ``by`` and the rows ``n`` of its group.
+
+    With ``value`` it is the sum of that over the group's rows before instead,
+    and over all of them. Groups are dealt by range like ``numbered``, so one
+    that holds most rows is split; nulls in ``by`` form groups of their own.
+    """
+    import uuid
+
+    from tagweave.session import stage_table
+
+    part, one = f"_part_{uuid.uuid4().hex[:6]}", F.lit(1) if value is None else F.col(value)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stage_table(df.repartitionByRange(parts, *by, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(part, *by).agg(F.sum(one).alias("_n"))
+    group = Window.partitionBy(*by)  # a row for each group and range
+    before = F.sum("_n").over(group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    sizes = sizes.select(F.col(part).alias("_p"), *keys, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("n"))
+    rows = Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col(part) == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    placed = dealt.withColumn(name, F.coalesce(F.sum(one).over(rows), F.lit(0))).join(sizes, same)
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop(part, "_p", "_before", *(f"_k{i}" for i in range(len(by))))
+
+
 def pair_mi(pairs: DataFrame, counts: DataFrame, n_users: DataFrame) -> DataFrame:
     """(w1, w2, freq, x, y, mi): mutual information of each pair over users; ``n_users`` is one row of n_users."""
     c = counts.select("tag", "freq")
@@ -186,15 +213,24 @@ def outside_share(counts: DataFrame, inside: DataFrame, top: int = 10) -> DataFr
 def regression_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(pearson, neg_mse, kendall): Kendall's tau-b over all pairs of rows, counted by value pairs.
 
-    Rows are counted by (truth, score) first, so the join is over distinct
-    value pairs, not rows.
+    Rows are counted by (truth, score) first. A row's concordant partners are
+    those with a smaller truth and a smaller score: the ranks below its own are
+    a few dyadic intervals, one for each bit, and in each of them running sums
+    by score say how many rows lie below. That is one range sort of the value
+    pairs times the bits of a rank, whatever the values.
     """
     base = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
-    flat = base.agg(F.corr(truth, score).alias("pearson"), (-F.avg((F.col(truth) - F.col(score)) ** 2)).alias("neg_mse"), F.count(F.lit(1)).alias("n"))
-    g = base.groupBy(F.col(truth).alias("t"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = g.toDF("t1", "s1", "n1"), g.toDF("t2", "s2", "n2")
-    sign = F.signum((F.col("t1") - F.col("t2")) * (F.col("s1") - F.col("s2")))
-    num = a.join(b, F.col("t1") < F.col("t2")).agg(F.sum(sign * F.col("n1") * F.col("n2")).alias("num"))
+    flat = base.agg(F.try_divide(F.covar_pop(truth, score), F.stddev_pop(truth) * F.stddev_pop(score)).alias("pearson"), (-F.avg((F.col(truth) - F.col(score)) ** 2)).alias("neg_mse"), F.count(F.lit(1)).alias("n"))
+    g = base.groupBy(F.col(truth).alias("t"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("w"))
+    g = g.join(numbered(g.select("t").distinct(), "t", name="rank").select("t", "rank"), "t")
+    bits = max(1, int(g.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]).bit_length())
+    levels = g.select("rank", "s", "w", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")).withColumn("node", F.expr("shiftright(rank, level)"))
+    # rows of an interval, and questions about the scores below and up to one's own
+    rows = levels.select("level", "node", "s", F.lit(1).alias("kind"), F.col("w").alias("here"), F.lit(0).cast("long").alias("ask"))
+    asks = levels.where("node % 2 = 1").select("level", F.expr("node - 1").alias("node"), "s", F.explode(F.array(F.lit(0), F.lit(2))).alias("kind"), F.lit(0).cast("long").alias("here"), F.col("w").alias("ask"))
+    sums = numbered_in(rows.union(asks), ["level", "node"], "s", "kind", name="below", value="here").where("ask > 0")
+    gain = F.when(F.col("kind") == 0, F.col("below")).otherwise(F.col("below") - F.col("n"))
+    num = sums.agg(F.sum(gain.cast("double") * F.col("ask")).alias("num"))
     ties = lambda c: base.groupBy(c).agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"tie_{c}"))
     j = flat.crossJoin(one_row(num)).crossJoin(one_row(ties(truth))).crossJoin(one_row(ties(score)))
     pairs = F.col("n") * (F.col("n") - 1) / 2

@@ -107,12 +107,12 @@ def _(t):
     return features.pair_features(*_frame_inputs(t))[1]
 
 
-_PF = "pf AS (SELECT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_brand AS feat, count(*) AS cnt FROM part WHERE p_size < 20 GROUP BY ALL), pf2 AS (SELECT least(a, b) AS w1, greatest(a, b) AS w2, feat, CAST(sum(cnt) AS BIGINT) AS cnt FROM pf GROUP BY ALL), tr AS (SELECT DISTINCT rel, least(w1, w2) AS w1, greatest(w1, w2) AS w2 FROM fx_known), j AS (SELECT rel, w1, w2, feat, cnt FROM tr JOIN pf2 USING (w1, w2)), nn AS (SELECT rel, count(*) AS n FROM (SELECT DISTINCT rel, w1, w2 FROM j) GROUP BY rel), prof AS (SELECT rel, feat, CAST(sum(cnt) AS BIGINT) AS cnt, sum(cnt) / any_value(n) AS share FROM j JOIN nn USING (rel) GROUP BY ALL)"
+_PF = "pf AS (SELECT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_brand AS feat, count(*) AS cnt FROM part GROUP BY ALL), pf2 AS (SELECT least(a, b) AS w1, greatest(a, b) AS w2, feat, CAST(sum(cnt) AS BIGINT) AS cnt FROM pf GROUP BY ALL), tr AS (SELECT DISTINCT rel, least(w1, w2) AS w1, greatest(w1, w2) AS w2 FROM fx_known), j AS (SELECT rel, w1, w2, feat, cnt FROM tr JOIN pf2 USING (w1, w2)), nn AS (SELECT rel, count(*) AS n FROM (SELECT DISTINCT rel, w1, w2 FROM j) GROUP BY rel), prof AS (SELECT rel, feat, CAST(sum(cnt) AS BIGINT) AS cnt, sum(cnt) / any_value(n) AS share FROM j JOIN nn USING (rel) GROUP BY ALL)"
 
 
 def _profile(t):
     p = F.split("p_name", " ")
-    f = t.part.where("p_size < 20").groupBy(F.least(p[0], p[1]).alias("w1"), F.greatest(p[0], p[1]).alias("w2"), F.col("p_brand").alias("feat")).agg(F.count(F.lit(1)).alias("cnt"))
+    f = t.part.groupBy(F.least(p[0], p[1]).alias("w1"), F.greatest(p[0], p[1]).alias("w2"), F.col("p_brand").alias("feat")).agg(F.count(F.lit(1)).alias("cnt"))
     return features.relation_profile(t.known, f)
 
 

@@ -202,9 +202,12 @@ def _(t):
     return graph.ppr(t.graph, t.graph.select(F.col("src").alias("restart"))).withColumn("p", F.round("p", 6))
 
 
-@query("d09_pagerank_dangling", _ppr_sql(4, "5e-1", "SELECT src, dst, w FROM fx_graph WHERE src % 5 <> 0 AND dst > 2", "SELECT unnest([1, 2, 7]) AS restart"))
+@query("d09_pagerank_dangling", _ppr_sql(4, "5e-1", "SELECT parent AS src, child AS dst, CAST(1 AS DOUBLE) AS w FROM fx_edges", "SELECT 'ROOT' AS restart UNION ALL SELECT r_name FROM region"))
 def _(t):
-    return graph.ppr(t.graph.where("src % 5 <> 0 and dst > 2"), t.spark.createDataFrame([(1,), (2,), (7,)], "restart int"), max_iter=4).withColumn("p", F.round("p", 6))
+    """The hierarchy: its leaves have no edges."""
+    e = t.edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(1.0).alias("w"))
+    tops = t.region.select(F.col("r_name").alias("restart")).union(t.spark.createDataFrame([("ROOT",)], "restart string"))
+    return graph.ppr(e, tops, max_iter=4).withColumn("p", F.round("p", 6))
 
 
 @query("d10_pagerank_exact", _ppr_sql(30, "5e-1", "SELECT src, dst, w FROM fx_graph", "SELECT node AS restart FROM nd WHERE node < 4"))

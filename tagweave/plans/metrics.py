@@ -131,9 +131,9 @@ def _(t):
     return ev.rank_metrics(t.scored, "score", "label", "id").select(F.round("f1", 6).alias("f1"))
 
 
-@query("n11_accuracy_curve", f"WITH {_RANK} SELECT k, round((tp + (n - npos) - (k - tp)) / n, 6) AS accuracy FROM r WHERE k % 10 = 0")
+@query("n11_accuracy_curve", f"WITH {_RANK} SELECT k, round((tp + (n - npos) - (k - tp)) / n, 6) AS accuracy FROM r")
 def _(t):
-    return ev.pr_curve(t.scored, "score", "label", "id").where("k % 10 = 0").select("k", F.round("accuracy", 6).alias("accuracy"))
+    return ev.pr_curve(t.scored, "score", "label", "id").select("k", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("n12_score_threshold", f"WITH {_RANK} SELECT max(score) FILTER (tp / npos >= 8e-1) AS score_thresh FROM r")

@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from tagweave import sources as src
 from tagweave import streaming
 from tagweave.plans.registry import query
+from tagweave.session import shared_folder
 from tagweave.sources import sinks
 
 
 def _folder(t) -> str:
-    import tempfile
-
-    where = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tagweave-")
-    return f"{where.rstrip('/')}/tagweave-files-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/tagweave-files-{uuid.uuid4().hex}"
 
 
 def _lines(t, df, compress: bool = False):
@@ -184,9 +182,9 @@ def _(t):
     return a.select(F.col("text").cast("long").alias("conv_id"), "framename", F.array_min(F.transform("labels", lambda v: v["start"])).alias("first"), F.array_max(F.transform("labels", lambda v: v["end"])).alias("last"))
 
 
-@query("s14_graph_blocks", "WITH e AS (SELECT DISTINCT rel, w1, w2 FROM fx_known WHERE w1 > 'h') SELECT rel AS graph_id, w1 AS src, w2 AS dst, CAST(1 AS DOUBLE) AS weight FROM e WHERE w2 IN (SELECT word FROM fx_words WHERE word > 'b') AND w1 IN (SELECT word FROM fx_words WHERE word > 'b')")
+@query("s14_graph_blocks", "WITH e AS (SELECT DISTINCT rel, w1, w2 FROM fx_known) SELECT rel AS graph_id, w1 AS src, w2 AS dst, CAST(1 AS DOUBLE) AS weight FROM e WHERE w2 IN (SELECT word FROM fx_words WHERE word > 'b') AND w1 IN (SELECT word FROM fx_words WHERE word > 'b')")
 def _(t):
-    e = t.known.where("w1 > 'h'").select(F.col("rel").alias("graph_id"), F.col("w1").alias("src"), F.col("w2").alias("dst"), F.lit(1.0).alias("weight"))
+    e = t.known.select(F.col("rel").alias("graph_id"), F.col("w1").alias("src"), F.col("w2").alias("dst"), F.lit(1.0).alias("weight"))
     heads = e.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size")).select("graph_id", F.lit("star").alias("gtype"), F.col("graph_id").alias("rel"), F.lit("root").alias("root"), "size")
     path = _lines(t, sinks.subgraph_blocks(e, heads))
     return src.graph_blocks(src.numbered_lines(t.spark, path), t.words.where("word > 'b'"))[0].select("graph_id", "src", "dst", "weight")
@@ -235,9 +233,11 @@ def _(t):
 
 
 # ---- sinks ----
-@query("k01_count_lines", "SELECT lpad(CAST(freq AS VARCHAR), 5, ' ') || chr(9) || tag AS value FROM fx_uni")
+@query("k01_count_lines", "SELECT format('{:>5}', freq) || chr(9) || tag AS value FROM (SELECT tag, freq FROM fx_uni UNION ALL SELECT tag || ' total', freq * 100003 FROM fx_uni)")
 def _(t):
-    return sinks.count_lines(t.uni, "freq", "tag")
+    """Counts of up to five digits, and much larger ones."""
+    large = t.uni.select(F.concat("tag", F.lit(" total")).alias("tag"), (F.col("freq") * 100003).alias("freq"))
+    return sinks.count_lines(t.uni.select("tag", "freq").union(large), "freq", "tag")
 
 
 @query("k02_upsert_counts", "SELECT tag, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT tag, freq FROM fx_uni UNION ALL SELECT tag, freq FROM fx_uni WHERE tag > 'n' UNION ALL SELECT 'brand new', 3) GROUP BY tag")
@@ -315,7 +315,7 @@ def _(t):
     g = t.doc_tags.groupBy("doc_id").agg(F.collect_set("raw_tag").alias("tags"))
     g.repartition(4).write.parquet(path)
     stream = t.spark.readStream.schema("doc_id long, tags array<string>").option("maxFilesPerTrigger", 2).parquet(path)
-    return streaming.run_available(streaming.streaming_bigrams(stream), f"bigrams_{uuid.uuid4().hex[:8]}", checkpoint=_folder(t))
+    return streaming.run_available(streaming.streaming_bigrams(stream), ["w1", "w2"], _folder(t), _folder(t))
 
 
 @query("st_streaming_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -323,4 +323,4 @@ def _(t):
     path = _folder(t)
     t.events.select("ts", "event_type").write.parquet(path)
     stream = t.spark.readStream.schema("ts timestamp, event_type string").parquet(path)
-    return streaming.run_available(streaming.streaming_windows(stream, "ts", "event_type", "1 hour"), f"windows_{uuid.uuid4().hex[:8]}", checkpoint=_folder(t))
+    return streaming.run_available(streaming.streaming_windows(stream, "ts", "event_type", "1 hour"), ["start", "event_type"], _folder(t), _folder(t))

@@ -21,13 +21,21 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
-def stage_table(df, name: str):
-    """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it again: iterations start from a short plan."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     import tempfile
+
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (where or "file://" + tempfile.mkdtemp(prefix="tagweave-")).rstrip("/")
+
+
+def stage_table(df, name: str):
+    """Write ``df`` to the shared folder and read it again: iterations start from a short plan."""
     import uuid
 
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tagweave-")
-    path = f"{where.rstrip('/')}/tagweave-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tagweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -249,22 +249,42 @@ def job_status(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.count(F.lit(1)).alias("n"), F.sum("working").cast("long").alias("working"), F.sum("done").cast("long").alias("done"))
 
 
-def pack_jobs(sizes: DataFrame, limit: int, name: str = "dir", size: str = "n") -> DataFrame:
+def pack_jobs(sizes: DataFrame, limit: int, name: str = "dir", size: str = "n", chunk: int = 100_000) -> DataFrame:
     """(name, size, job): directories in order, dealt to jobs of at most ``limit`` images where one directory allows it.
 
     Sequential by nature: a running total that starts anew when it would pass
-    the limit. The ledger has one row a directory.
+    the limit. The directories are numbered and cut into chunks; each chunk is
+    packed by a task that is told what the one before it left, so no task and no
+    driver ever holds more than a chunk. The ledger has one row a directory.
     """
-    kind = dict(sizes.dtypes)[name]
+    from tagweave.operators.stats import numbered
+    from tagweave.session import stage_table
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(name)
-        job, total, out = 0, 0, []
-        for n in pdf[size]:
+    kind = dict(sizes.dtypes)[name]
+    rows = numbered(sizes.select(name, F.col(size).cast("long").alias("_size")), name, "_size", name="_at").drop("n")
+    rows = stage_table(rows.withColumn("_chunk", F.floor(F.col("_at") / chunk)), "ledger")
+    starts = {0: (0, 0)}
+
+    def pack(pdf: pd.DataFrame) -> tuple[list[int], int]:
+        job, total = starts[int(pdf["_chunk"].iloc[0])]
+        out = []
+        for n in pdf.sort_values("_at")["_size"]:
             if total and total + n > limit:
                 job, total = job + 1, 0
             total += n
             out.append(job)
-        return pdf.assign(job=out)[[name, size, "job"]]
+        return out, total
 
-    return sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"{name} {kind}, {size} long, job long")
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        jobs, total = pack(pdf)
+        return pd.DataFrame({"job": [jobs[-1]], "total": [total]})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        return pd.DataFrame({name: pdf[name], size: pdf["_size"], "job": pack(pdf)[0]})
+
+    chunks = rows.agg(F.coalesce(F.max("_chunk"), F.lit(0))).first()[0] + 1
+    for k in range(chunks - 1):
+        left = rows.where(F.col("_chunk") == k).groupBy("_chunk").applyInPandas(last, "job long, total long").first()
+        starts[k + 1] = (left["job"], left["total"])
+    return rows.groupBy("_chunk").applyInPandas(run, f"{name} {kind}, {size} long, job long")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def count_lines(df: DataFrame, freq: str, *words: str) -> DataFrame:
-    """(value): ``count<TAB>word...`` lines, counts padded to five places, in word order."""
-    return df.orderBy(*words).select(F.concat_ws("\t", F.lpad(F.col(freq).cast("string"), 5, " "), *words).alias("value"))
+    """(value): ``count<TAB>word...`` lines, counts padded to five places at least, in word order."""
+    return df.orderBy(*words).select(F.concat_ws("\t", F.format_string("%5d", F.col(freq).cast("long")), *words).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str, compress: bool = False) -> None:

@@ -20,9 +20,19 @@ def streaming_windows(events: DataFrame, ts: str, key: str, window: str = "10 mi
     return w.select(F.col("window.start").alias("start"), key, "n")
 
 
-def run_available(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None):
-    """Process what is there into an in-memory table and stop."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+def run_available(df: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:
+    """Process what is there and stop: changed rows of each batch go to ``folder``, the latest of each key is the result.
+
+    Update mode keeps the watermark's rule (late rows are left out), and nothing
+    is gathered on the driver. A batch that is run again replaces what it wrote.
+    """
+    spark, values = df.sparkSession, [c for c in df.columns if c not in keys]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/batch=-1")
+    q = df.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(keep).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    latest = spark.read.schema(df.schema.add("batch", "long")).parquet(folder).groupBy(*keys)
+    return latest.agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")

@@ -336,3 +336,127 @@ def test_registered_sparse_vectors_are_whole(spark, sf, monkeypatch):
     write, sizes = sinks.write_sparse_vectors, []
     monkeypatch.setattr(sinks, "write_sparse_vectors", lambda df, path: (sizes.extend(len(r.vec) for r in df.collect()), write(df, path)))
     assert QUERIES["s18_sparse_vectors"](spark, sf).collect() and set(sizes) == {64}
+
+
+def test_wide_documents_are_paired_in_parts(spark):
+    """A document above the bound gives the same pairs, and a very wide one is counted."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    r = random.Random(1)
+    docs = {d: r.sample([f"t{i:02d}" for i in range(40)], r.choice([0, 1, 3, 17, 40])) for d in range(30)}
+    df = spark.createDataFrame([(d, t) for d, ts in docs.items() for t in ts] + [(1, None)], "doc_id long, tag string")
+    want = Counter(p for ts in docs.values() for p in combinations(sorted(ts), 2))
+    for most in (1, 7, 1000):
+        assert {(x.w1, x.w2): x.freq for x in cooc.bigrams(df, max_tags=most).collect()} == dict(want)
+    n = 1500
+    wide = spark.range(n).selectExpr("1 AS doc_id", "concat('w', id) AS tag")
+    assert cooc.bigrams(wide).count() == n * (n - 1) // 2
+
+
+def test_kendall_against_all_pairs(spark):
+    import random
+
+    from tagweave.operators import stats
+
+    r = random.Random(2)
+    for size, values in ((1, 3), (60, 4), (80, 1000)):
+        rows = [(float(r.randrange(values)), float(r.randrange(values))) for _ in range(size)]
+        got = stats.regression_metrics(spark.createDataFrame(rows + [(None, 1.0)], "t double, s double"), "t", "s").first().kendall
+        sign = lambda x: (x > 0) - (x < 0)
+        pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i]]
+        num = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for a, b in pairs)
+        x, y = sum(a[0] != b[0] for a, b in pairs), sum(a[1] != b[1] for a, b in pairs)
+        assert (got is None and not x * y) or got == pytest.approx(num / (x * y) ** 0.5)
+
+
+def test_places_within_groups(spark):
+    from tagweave.operators.stats import numbered_in
+
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i, i % 4) for i in range(400)]
+    got = numbered_in(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], "i").collect()
+    sums = numbered_in(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], "i", name="s", value="v").collect()
+    for g in {x[0] for x in rows}:
+        own = sorted(x for x in rows if x[0] == g)if g else sorted((x for x in rows if x[0] is None), key=lambda x: x[1])
+        assert sorted((x.i, x.pos, x.n) for x in got if x.g == g) == [(x[1], k, len(own)) for k, x in enumerate(own)]
+        assert sorted((x.i, x.s, x.n) for x in sums if x.g == g) == [(x[1], sum(y[2] for y in own[:k]), sum(y[2] for y in own)) for k, x in enumerate(own)]
+
+
+def test_nearest_settles_ties_by_id(spark):
+    """Fifty equal vectors: the smallest ids win, in any partitioning and block."""
+    from tagweave.operators import features
+
+    base = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50, 0, -1)] + [(99, [1.0, 2.5])], "b_id long, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [1.0, 9.0])], "q_id long, vec array<double>")
+    for parts, wave, block in ((1, 10, 7), (9, 1, 2048)):
+        got = features.nearest(q, base.repartition(parts), 4, wave=wave, block=block).collect()
+        assert [x.b_id for x in sorted(got, key=lambda x: (x.q_id, x.place))] == [1, 2, 3, 4, 1, 2, 3, 4, 99, 1, 2, 3]
+
+
+def test_jobs_are_packed_in_chunks(spark):
+    import random
+
+    from tagweave.sources import pack_jobs
+
+    r = random.Random(3)
+    rows = [(f"d{i:03d}", r.choice([1, 5, 40, 90, 300])) for i in range(200)]
+    df = spark.createDataFrame(rows, "dir string, n long").repartition(5)
+    want, job, total = [], 0, 0
+    for d, n in rows:
+        if total and total + n > 100:
+            job, total = job + 1, 0
+        total += n
+        want.append((d, n, job))
+    for chunk in (60, 1000):
+        assert sorted(tuple(x) for x in pack_jobs(df, 100, chunk=chunk).collect()) == want
+
+
+def test_counts_above_five_digits_are_written_whole(spark, tmp_path):
+    from tagweave.__main__ import main
+
+    rows = [("    7\tcat\tdog",), ("1234567\tcat\tcow",), ("99999999999\tant\tbee",)]
+    spark.createDataFrame(rows, "value string").write.text(f"file://{tmp_path}/in")
+    main(["reduce", f"file://{tmp_path}/in,file://{tmp_path}/in", f"file://{tmp_path}/out"], spark)
+    got = sorted(x.value for x in spark.read.text(f"file://{tmp_path}/out").collect())
+    assert got == sorted(["   14\tcat\tdog", "2469134\tcat\tcow", "199999999998\tant\tbee"])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tagweave.session import shared_folder
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Fake)
+
+
+def test_late_rows_are_left_out_of_windows(spark, tmp_path):
+    import datetime as dt
+
+    from tagweave import streaming
+
+    at = dt.datetime(2024, 1, 1, 12)
+    path = f"file://{tmp_path}/in"
+    for minutes in (0, 300, 301, 1):  # the last file is five hours late
+        spark.createDataFrame([(at + dt.timedelta(minutes=minutes), "a")], "ts timestamp, k string").coalesce(1).write.mode("append").parquet(path)
+        import time
+
+        time.sleep(1.1)
+    stream = spark.readStream.schema("ts timestamp, k string").option("maxFilesPerTrigger", 1).parquet(path)
+    got = streaming.run_available(streaming.streaming_windows(stream, "ts", "k", "1 hour"), ["start", "k"], f"file://{tmp_path}/out", f"file://{tmp_path}/c")
+    assert sorted(x.n for x in got.collect()) == [1, 2]
+
+
+def test_pairs_beyond_the_word_bound_keep_their_start(spark):
+    from tagweave.operators.learn import edges
+
+    pairs = spark.createDataFrame([("g", f"w{i}", f"w{j}", float(10 - i)) for i in range(6) for j in range(i + 1, 6)], "wnid string, w1 string, w2 string, w double")
+    known = spark.createDataFrame([("w4", "w5", 0.7)], "w1 string, w2 string, weight double")
+    got = {(x.w1, x.w2): x.weight for x in edges.fit_edges(pairs, known, max_tags=4, max_iter=5).collect()}
+    assert len(got) == 15 and got["w4", "w5"] == pytest.approx(0.7)
