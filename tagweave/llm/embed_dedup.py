@@ -96,12 +96,15 @@ def visits(x: np.ndarray, c: np.ndarray, reach: float, gap: np.ndarray | None =
 
 
 def centroids_of(x: np.ndarray, n: int, reach: float) -> np.ndarray | None:
-    """Centroids that make comparing the ``n`` vectors that ``x`` is a sample of cheapest; None if dividing saves nothing."""
+    """Centroids that make comparing cheapest for each row of a cell, of which ``x`` is a sample; None if dividing saves nothing.
+
+    A row is compared with those at home in its cell, ``n`` of them before.
+    """
     best, k = (n + 500.0, None), 2
     while k <= MAX_CELLS and k * 16 <= len(x):
         c = spherical_kmeans(x, k)
         rate = len(visits(x, c, reach)[0]) / len(x)
-        # compared vectors a row, and what it costs to send a row
+        # compared vectors a row and visit, and what it costs to send a row
         cost = rate * n / k + 500 * rate
         if cost < best[0]:
             best = (cost, c)
@@ -116,8 +119,8 @@ CELLS = "cell string, home boolean, rep long, n long, unit binary"
 
 def _fitted(rows: DataFrame, reach: float, cell_rows: int) -> DataFrame:
     """(cell, centroids) of the cells of ``rows`` that are worth dividing, each from a sample of its own."""
-    large = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > cell_rows)
-    share = F.lit(SAMPLE) / F.col("many") * (1 << 30)
+    large = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("every"), F.count_if("home").alias("many")).where(F.col("many") > cell_rows)
+    share = F.lit(SAMPLE) / F.col("every") * (1 << 30)
     sample = rows.select("cell", "rep", "unit").join(large, "cell").where(F.pmod(F.xxhash64("rep", F.length("cell")), F.lit(1 << 30)) < share)
 
     def fit(part: pa.Table) -> pa.Table:
