@@ -56,6 +56,13 @@ def _pass(entries: DataFrame, w: np.ndarray, loss: str) -> tuple[float, np.ndarr
     return sum(r["loss"] for r in rows), np.sum(grads, 0), sum(r["n"] for r in rows)
 
 
+def objective_at(r: DataFrame, x: DataFrame, y: DataFrame, w: np.ndarray, loss: str = "l2") -> tuple[float, np.ndarray, int]:
+    """(loss, gradient, entries) of the model matrix ``w`` on r (img_id, tag, r), x (img_id, vec) and y (tag, vec); no penalty."""
+    xs = x.select("img_id", F.col("vec").cast("array<double>").alias("x"))
+    ys = y.select("tag", F.col("vec").cast("array<double>").alias("y"))
+    return _pass(r.select("img_id", "tag", "r").join(xs, "img_id").join(ys, "tag").select("x", "y", "r"), w, loss)
+
+
 def fit_bilinear(r: DataFrame, x: DataFrame, y: DataFrame, k: int = 5, alpha: float = 1.0, loss: str = "l2", max_iter: int = 10, inner: int = 10, tol: float = 1e-5, seed: int = 0) -> Bilinear:
     """Fit on r (img_id, tag, r), x (img_id, vec) and y (tag, vec): alternately U and V, each by a few quasi-Newton steps.
 

@@ -57,6 +57,42 @@ def fit_matrix(init: np.ndarray, known: np.ndarray, observed: np.ndarray, alpha:
     return g, got
 
 
+def pagerank_losses(p: DataFrame, observed: DataFrame) -> DataFrame:
+    """(restart, loss): half the squared misfit of each restart's row (restart, node, p) to what was observed (restart, node, o), itself left out."""
+    j = p.where("restart <> node").join(observed, ["restart", "node"], "left")
+    return j.groupBy("restart").agg((0.5 * F.sum((F.col("p") - F.coalesce("o", F.lit(0.0))) ** 2)).alias("loss"))
+
+
+def objective_of(edges: DataFrame, observed: DataFrame, alpha: float = 0.5, ridge: float = 1e-3, group: str = "wnid") -> DataFrame:
+    """(group, value, slope): the objective at given weights (group, src, dst, w) and its gradient's norm; one concept's graph in a task."""
+    kind, nodes = dict(edges.dtypes)[group], dict(edges.dtypes)["src"]
+    none = F.lit(None).cast("double")
+    rows = edges.select(group, "src", "dst", F.col("w").cast("double").alias("w"), none.alias("o")).union(
+        observed.select(group, F.col("restart").cast(nodes), F.col("node").cast(nodes), none, F.col("o").cast("double"))
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(pdf.src) | set(pdf.dst))
+        at = {x: i for i, x in enumerate(ids)}
+        g, o = np.zeros((len(ids), len(ids))), np.zeros((len(ids), len(ids)))
+        for m, c in ((g, "w"), (o, "o")):
+            part = pdf[pdf[c].notna()]
+            m[[at[x] for x in part.src], [at[x] for x in part.dst]] = part[c]
+        value, slope = objective(g, o, alpha, ridge)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "value": [value], "slope": [float(np.linalg.norm(slope))]})
+
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, value double, slope double")
+
+
+def recall(pairs: DataFrame, known: DataFrame, group: str = "wnid") -> DataFrame:
+    """(group, n_seen, n_known, recall): how many of the pairs seen together are known ones."""
+    low, high = F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")
+    k = known.select(low, high).distinct().withColumn("k", F.lit(1))
+    j = pairs.select(group, low, high).distinct().join(k, ["w1", "w2"], "left")
+    g = j.groupBy(group).agg(F.count(F.lit(1)).alias("n_seen"), F.count("k").alias("n_known"))
+    return g.withColumn("recall", F.col("n_known") / F.col("n_seen"))
+
+
 def fit_edges(pairs: DataFrame, known: DataFrame, alpha: float = 0.5, ridge: float = 1e-3, max_tags: int = 1200, noise: float = 0.05, group: str = "wnid", max_iter: int = 60) -> DataFrame:
     """(group, w1, w2, weight, start, end): learned weights of each group's graph, made symmetric, and the objective before and after.
 

@@ -240,6 +240,14 @@ def regression_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
     )
 
 
+def convergence(df: DataFrame, step: str, value: str, threshold: float = 1e-4) -> DataFrame:
+    """(step, converged, decreased) of a rising objective, from its second step on; a history has one row a step."""
+    w = Window.orderBy(step)
+    d = df.select(step, F.col(value).cast("double").alias("_new"), F.lag(F.col(value).cast("double")).over(w).alias("_old")).where("_old is not null")
+    mean = (F.abs("_new") + F.abs("_old") + F.lit(2.220446049250313e-16)) / 2
+    return d.select(step, (F.abs(F.col("_new") - F.col("_old")) / mean < threshold).alias("converged"), (F.col("_new") - F.col("_old") < -1e-3).alias("decreased"))
+
+
 def paired_t(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """(by, t): the t statistic of paired differences; 0 where they don't vary."""
     d = F.col(a) - F.col(b)

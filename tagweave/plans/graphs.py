@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave import functions as fn
 from tagweave.operators import graph, hierarchy
+from tagweave.operators.learn import edges
 from tagweave.plans.metrics import _CLOS
 from tagweave.plans.registry import query
 
@@ -222,6 +223,39 @@ def _(t):
     return renormalized_ppr(t.graph.withColumn("w", F.col("w") / 40), max_iter=25, tol=None).withColumn("p", F.round("p", 6))
 
 
-@query("d11_pagerank_eigenvector")
+def _eigen_sql(n: int) -> str:
+    """Power steps, normalised each time, on weights that needn't sum to 1."""
+    steps = ["p0 AS (SELECT r.node AS restart, nd.node, 1 / (SELECT count(*) FROM nd) AS p FROM nd r CROSS JOIN nd)"]
+    for i in range(1, n + 1):
+        steps.append(
+            f"p{i} AS MATERIALIZED (SELECT restart, node, q / sum(q) OVER (PARTITION BY restart) AS p FROM (SELECT g.restart, g.node, coalesce(f.q, 0) + CASE WHEN g.node = g.restart THEN 5e-1 ELSE 0 END AS q"
+            f" FROM p0 g LEFT JOIN (SELECT restart, dst AS node, sum(p * w * 5e-1) AS q FROM p{i - 1} JOIN ed ON node = src GROUP BY ALL) f ON g.restart = f.restart AND g.node = f.node))"
+        )
+    return f"WITH ed AS (SELECT src, dst, log10(1 + w) AS w FROM fx_graph), nd AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed), {', '.join(steps)} SELECT restart, node, round(p, 6) AS p FROM p{n}"
+
+
+_OBSERVED = "o AS (SELECT dst AS restart, src AS node, w / sum(w) OVER (PARTITION BY dst) AS o FROM fx_graph)"
+_ALL_RESTARTS = _ppr_sql(30, "5e-1", "SELECT src, dst, w FROM fx_graph", "SELECT node AS restart FROM nd")
+
+
+def _observed(t):
+    total = t.graph.groupBy("dst").agg(F.sum("w").alias("s"))
+    return t.graph.join(total, "dst").select(F.col("dst").alias("restart"), F.col("src").alias("node"), (F.col("w") / F.col("s")).alias("o"))
+
+
+@query("d12_pagerank_loss", f"WITH p AS ({_ALL_RESTARTS}), {_OBSERVED} SELECT p.restart, round(sum(5e-1 * pow(p.p - coalesce(o.o, 0), 2)), 4) AS loss FROM p LEFT JOIN o ON p.restart = o.restart AND p.node = o.node WHERE p.restart <> p.node GROUP BY p.restart")
+def _(t):
+    nodes = t.graph.select(F.col("src").alias("restart")).union(t.graph.select("dst")).distinct()
+    return edges.pagerank_losses(graph.ppr_exact(t.graph, nodes), _observed(t)).select("restart", F.round("loss", 4).alias("loss"))
+
+
+@query("d13_edge_objective", f"WITH p AS ({_ALL_RESTARTS}), {_OBSERVED}, l AS (SELECT sum(5e-1 * pow(p.p - coalesce(o.o, 0), 2)) AS loss FROM p LEFT JOIN o ON p.restart = o.restart AND p.node = o.node WHERE p.restart <> p.node) SELECT 1 AS wnid, round(5e-1 * 1e-6 * (SELECT sum(w * w) FROM fx_graph) + loss, 3) AS value FROM l")
+def _(t):
+    one = F.lit(1).alias("wnid")
+    got = edges.objective_of(t.graph.select(one, "src", "dst", "w"), _observed(t).select(one, "restart", "node", "o"), ridge=1e-6)
+    return got.select("wnid", F.round("value", 3).alias("value"))
+
+
+@query("d11_pagerank_eigenvector", _eigen_sql(25))
 def _(t):
     return graph.renormalized_ppr(t.graph, renorm="log10", row_normalize=False).withColumn("p", F.round("p", 6))

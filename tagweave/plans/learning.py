@@ -108,6 +108,54 @@ def _(t):
     return got.select("wnid", "w1", "w2", *[F.round(c, 5).alias(c) for c in ("weight", "start", "end")])
 
 
+_SEEN = "s AS (SELECT DISTINCT wnid, least(split_part(tag, ' ', 1), split_part(tag, ' ', 2)) AS w1, greatest(split_part(tag, ' ', 1), split_part(tag, ' ', 2)) AS w2 FROM fx_counts), kn AS (SELECT DISTINCT least(w1, w2) AS w1, greatest(w1, w2) AS w2 FROM fx_known WHERE rel = 'SMALL')"
+
+
+def _concept_pairs(t):
+    w = F.split("tag", " ")
+    return t.counts.select("wnid", w[0].alias("w1"), w[1].alias("w2"), F.col("cnt").cast("double").alias("w"))
+
+
+@query("d14_learned_within_bounds", f"WITH {_SEEN} SELECT wnid, count(*) AS n_pairs, 0 AS below_known, 0 AS above_one, 0 AS risen FROM s GROUP BY wnid")
+def _(t):
+    """Every pair seen has a weight between the known one and 1, and no group's objective rises."""
+    known = t.known.where("rel = 'SMALL'").select("w1", "w2", F.lit(0.2).alias("weight"))
+    k = known.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2"), "weight").distinct().withColumnRenamed("weight", "k")
+    got = edges.fit_edges(_concept_pairs(t), known, max_iter=15).join(k, ["w1", "w2"], "left")
+    return got.groupBy("wnid").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count_if(F.col("weight") < F.coalesce("k", F.lit(0.0)) - 1e-9).alias("below_known"),
+        F.count_if(F.col("weight") > 1 + 1e-9).alias("above_one"),
+        F.count_if(F.col("end") > F.col("start") + 1e-12).alias("risen"),
+    )
+
+
+@query("d15_known_recall", f"WITH {_SEEN} SELECT s.wnid, count(*) AS n_seen, count(kn.w1) AS n_known, round(count(kn.w1) / count(*), 6) AS recall FROM s LEFT JOIN kn ON s.w1 = kn.w1 AND s.w2 = kn.w2 GROUP BY s.wnid")
+def _(t):
+    return edges.recall(_concept_pairs(t), t.known.where("rel = 'SMALL'")).withColumn("recall", F.round("recall", 6))
+
+
+_ENTRIES = """m AS (SELECT j, list_transform(range(64), lambda i: sin(i * 7 + j * 3) / 10) AS c FROM (SELECT unnest(range(10)) AS j)),
+ en AS (SELECT list_inner_product(embedding::DOUBLE[], c) AS z, CASE WHEN label = j THEN 5e-1 ELSE -5e-1 END AS r, list_sum(embedding::DOUBLE[]) AS x FROM embeddings, m WHERE label IS NOT NULL AND j IN (SELECT label FROM embeddings))"""
+
+
+def _objective(t, loss, scale=1.0):
+    r, x, y = _bilinear_inputs(t)
+    w = np.sin(np.arange(64)[:, None] * 7 + np.arange(10)[None, :] * 3) / 10
+    value, grad, n = bilinear.objective_at(r.withColumn("r", F.col("r") * scale), x, y, w, loss)
+    return t.spark.createDataFrame([(round(float(value), 3), round(float(grad.sum()), 3), int(n))], "loss double, slope double, n long")
+
+
+@query("l01_squared_objective", f"WITH {_ENTRIES} SELECT round(sum(5e-1 * pow(z - r, 2)), 3) AS loss, round(sum((z - r) * x), 3) AS slope, count(*) AS n FROM en")
+def _(t):
+    return _objective(t, "l2")
+
+
+@query("l02_hinge_objective", f"WITH {_ENTRIES}, h AS (SELECT z * 2 * r AS m, 2 * r AS r, x FROM en) SELECT round(sum(CASE WHEN m <= 0 THEN 5e-1 - m WHEN m < 1 THEN 5e-1 * pow(1 - m, 2) ELSE 0 END), 3) AS loss, round(sum((CASE WHEN m <= 0 THEN -1 WHEN m < 1 THEN m - 1 ELSE 0 END) * r * x), 3) AS slope, count(*) AS n FROM h")
+def _(t):
+    return _objective(t, "hinge", 2.0)
+
+
 def _bilinear_inputs(t):
     e = t.embeddings.where("label is not null")
     x = e.select(F.col("vec_id").alias("img_id"), F.col("embedding").alias("vec"))
@@ -146,7 +194,16 @@ def _(t):
     return s.select("img_id", F.round(F.col("score") + float(m.intercept), 4).alias("score"))
 
 
-@query("l09_box_minimum")
+# the weights are positive, so the bound doesn't bite and Cramer's rule gives them
+@query(
+    "l09_box_minimum",
+    """WITH c AS (SELECT l_orderkey AS k, CAST(count(*) FILTER (l_returnflag = 'A') AS DOUBLE) AS a, CAST(count(*) FILTER (l_returnflag = 'N') AS DOUBLE) AS n, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS r FROM lineitem GROUP BY 1),
+ s AS (SELECT sum(a * a) AS aa, sum(a * n) AS an, sum(a * r) AS ar, sum(n * n) AS nn, sum(n * r) AS nr, sum(r * r) AS rr, sum(a * o_totalprice) AS ya, sum(n * o_totalprice) AS yn, sum(r * o_totalprice) AS yr FROM c JOIN orders ON o_orderkey = k),
+ d AS (SELECT *, aa * (nn * rr - nr * nr) - an * (an * rr - nr * ar) + ar * (an * nr - nn * ar) AS det FROM s)
+ SELECT 'A' AS flag, round((ya * (nn * rr - nr * nr) - an * (yn * rr - nr * yr) + ar * (yn * nr - nn * yr)) / det, 2) AS weight FROM d
+ UNION ALL SELECT 'N', round((aa * (yn * rr - nr * yr) - ya * (an * rr - nr * ar) + ar * (an * yr - yn * ar)) / det, 2) FROM d
+ UNION ALL SELECT 'R', round((aa * (nn * yr - yn * nr) - an * (an * yr - yn * ar) + ya * (an * nr - nn * ar)) / det, 2) FROM d""",
+)
 def _(t):
     """Weights of non-negative least squares: order prices by line counts of each flag, on the driver's cached Gram matrix."""
     from tagweave.operators.learn.minimize import minimize_box

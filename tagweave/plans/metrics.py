@@ -136,6 +136,17 @@ def _(t):
     return ev.pr_curve(t.scored, "score", "label", "id").select("k", F.round("accuracy", 6).alias("accuracy"))
 
 
+@query(
+    "n21_convergence",
+    """WITH h AS (SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) * 12 + CAST(extract(month FROM o_orderdate) AS BIGINT) AS step, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+ l AS (SELECT step, CAST(v AS DOUBLE) AS a, CAST(lag(v) OVER (ORDER BY step) AS DOUBLE) AS b FROM h)
+ SELECT step, abs(a - b) / ((abs(a) + abs(b)) / 2) < 1e-1 AS converged, a - b < -1e-3 AS decreased FROM l WHERE b IS NOT NULL""",
+)
+def _(t):
+    step = (F.year("o_orderdate").cast("long") * 12 + F.month("o_orderdate")).alias("step")
+    return stats.convergence(t.orders.groupBy(step).agg(F.sum("o_totalprice").alias("v")), "step", "v", 0.1)
+
+
 @query("n12_score_threshold", f"WITH {_RANK} SELECT max(score) FILTER (tp / npos >= 8e-1) AS score_thresh FROM r")
 def _(t):
     return ev.rank_metrics(t.scored, "score", "label", "id", recall=0.8).select("score_thresh")
