@@ -94,7 +94,17 @@ def _(t):
     return graph.triangles(_nation_triples(t))
 
 
-@query("g05_largest_cliques")
+@query(
+    "g05_largest_cliques",
+    f"""WITH RECURSIVE {_NAT}, e AS (SELECT rel, w1 AS a, w2 AS b FROM ne WHERE w1 <> w2 UNION SELECT rel, w2, w1 FROM ne WHERE w1 <> w2),
+ pr AS (SELECT DISTINCT least(w1, w2) AS w1, greatest(w1, w2) AS w2 FROM ne), sd AS (SELECT rel, w1, w2 FROM pr JOIN e ON w1 = a AND w2 = b),
+ cm AS (SELECT sd.rel, w1, w2, x.b AS c FROM sd JOIN e x ON x.rel = sd.rel AND x.a = w1 JOIN e y ON y.rel = sd.rel AND y.a = w2 AND y.b = x.b),
+ nb AS (SELECT rel, a AS c, list(b) AS near FROM e GROUP BY ALL),
+ cl AS (SELECT rel, w1, w2, [c] AS top FROM cm UNION ALL SELECT cl.rel, cl.w1, cl.w2, list_append(cl.top, cm.c) FROM cl JOIN cm ON cm.rel = cl.rel AND cm.w1 = cl.w1 AND cm.w2 = cl.w2 AND cm.c > cl.top[-1]
+        JOIN nb ON nb.rel = cm.rel AND nb.c = cm.c WHERE list_has_all(nb.near, cl.top)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY rel, w1, w2 ORDER BY len(top) DESC, top) AS rn FROM cl)
+ SELECT rel, w1, w2, len(top) + 2 AS size, array_to_string(list_sort(list_append(list_append(top, w1), w2)), ',') AS members FROM best WHERE rn = 1""",
+)
 def _(t):
     n = _nation_triples(t)
     return graph.cliques(n, n.select("w1", "w2").distinct())
