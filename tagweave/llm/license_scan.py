@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -85,13 +86,38 @@ class Notice:
     pattern: object
 
 
-def notices(rows=NOTICES) -> list[Notice]:
+class Notices(list):
+    """Notices and one automaton that finds all their parts in one pass."""
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.finder = ahocorasick.Automaton()
+        parts: dict[bytes, list[tuple[int, int]]] = {}
+        for i, n in enumerate(self):
+            for part, offset in n.seeds:
+                parts.setdefault(part, []).append((i, offset + len(part) - 1))
+        for part, uses in parts.items():
+            self.finder.add_word(part.decode("latin-1"), uses)
+        if parts:
+            self.finder.make_automaton()
+
+    def spots(self, text: bytes) -> dict[int, set[int]]:
+        """Where each notice may begin, by its number."""
+        out: dict[int, set[int]] = {}
+        # one character a byte, so places are those of bytes
+        for end, uses in self.finder.iter(text.decode("latin-1")) if len(self) else ():
+            for i, before in uses:
+                out.setdefault(i, set()).add(end - before)
+        return out
+
+
+def notices(rows=NOTICES) -> Notices:
     out = []
     for text, label, edits in rows:
         at = np.linspace(0, len(text), edits + 2).astype(int)
         seeds = tuple((text[a:z].encode(), int(a)) for a, z in zip(at, at[1:]))
         out.append(Notice(text, label, edits, seeds, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")))
-    return out
+    return Notices(out)
 
 
 def _places(text: bytes, part: bytes):
@@ -104,8 +130,9 @@ def _places(text: bytes, part: bytes):
 def fuzzy_spans(text: bytes, wanted: list[Notice]) -> list[tuple[str, int, int, int, float]]:
     """(label, first byte, end byte, edits, likeness) of matches in words joined by blanks; none overlap for one notice."""
     out, seen = [], {}
-    for n in wanted:
-        spots = sorted({p - o for part, o in n.seeds if part in text for p in _places(text, part)})
+    wanted = wanted if isinstance(wanted, Notices) else Notices(wanted)
+    for i, spots in sorted(wanted.spots(text).items()):
+        n, spots = wanted[i], sorted(spots)
         last_end = -1
         done_upto = -1
         for spot in spots:
