@@ -87,10 +87,15 @@ def name_query(nodes: DataFrame, query: str, name: str = "name") -> DataFrame:
     return nodes.where(F.lower(F.split(name, r"\.")[0]) == query.lower())
 
 
-def path_similarity(below: DataFrame, nodes: DataFrame, node: str = "wnid") -> DataFrame:
-    """(wn1, wn2, sim), wn1 < wn2: 1 / (1 + shortest way over a common ancestor); pairs without one have no row."""
+def path_similarity(below: DataFrame, nodes: DataFrame, node: str = "wnid", pairs: DataFrame | None = None) -> DataFrame:
+    """(wn1, wn2, sim), wn1 < wn2: 1 / (1 + shortest way over a common ancestor); pairs without one have no row.
+
+    With ``pairs`` (wn1, wn2) only those are looked at; else all nodes below
+    each ancestor are paired, which for the root is every two.
+    """
     n = nodes.select(node).distinct()
     up = below.select(F.col("node").alias(node), F.col("top").alias("anc"), "depth").union(n.select(node, F.col(node).alias("anc"), F.lit(0).alias("depth")))
     up = up.join(n, node, "left_semi").groupBy(node, "anc").agg(F.min("depth").alias("depth"))
     a, b = up.toDF("wn1", "anc", "d1"), up.toDF("wn2", "anc", "d2")
-    return a.join(b, "anc").where("wn1 < wn2").groupBy("wn1", "wn2").agg((1 / (1 + F.min(F.col("d1") + F.col("d2")))).alias("sim"))
+    met = a.join(b, "anc") if pairs is None else pairs.select("wn1", "wn2").distinct().join(a, "wn1").join(b, ["wn2", "anc"])
+    return met.where("wn1 < wn2").groupBy("wn1", "wn2").agg((1 / (1 + F.min(F.col("d1") + F.col("d2")))).alias("sim"))

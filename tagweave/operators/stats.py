@@ -167,6 +167,13 @@ def informativeness(counts: DataFrame, sizes: DataFrame, floor: float = 0.5) ->
     return per.crossJoin(one_row(whole)).select("tag", score.alias("vscore"))
 
 
+def largest_pairs(counts: DataFrame, top_k: int) -> DataFrame:
+    """(wn1, wn2), wn1 < wn2: groups that are both among the ``top_k`` of some tag."""
+    w = Window.partitionBy("tag").orderBy(F.desc("cnt"), "wnid")
+    c = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
+    return c.select("tag", F.col("wnid").alias("wn1")).join(c.select("tag", F.col("wnid").alias("wn2")), "tag").where("wn1 < wn2").select("wn1", "wn2").distinct()
+
+
 def dispersion(counts: DataFrame, sims: DataFrame, top_k: int | None = None) -> DataFrame:
     """(tag, n_groups, dispersion): mean similarity of the pairs of a tag's groups, weighted by both counts; 0 for fewer than two.
 

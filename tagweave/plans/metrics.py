@@ -57,8 +57,8 @@ _SIM = f"""{_CLOS}, up AS (SELECT node AS wnid, top AS anc, depth FROM cl WHERE
  ps AS (SELECT a.wnid AS wn1, b.wnid AS wn2, CAST(1 AS DOUBLE) / (1 + min(a.depth + b.depth)) AS sim FROM up a JOIN up b ON a.anc = b.anc AND a.wnid < b.wnid GROUP BY ALL)"""
 
 
-def _path_sims(t):
-    return hierarchy.path_similarity(hierarchy.closure(t.edges), t.nation.select(F.col("n_name").alias("wnid")))
+def _path_sims(t, pairs=None):
+    return hierarchy.path_similarity(hierarchy.closure(t.edges), t.nation.select(F.col("n_name").alias("wnid")), pairs=pairs)
 
 
 @query("n05_path_similarity", f"WITH {_SIM} SELECT wn1, wn2, round(sim, 6) AS sim FROM ps")
@@ -73,7 +73,7 @@ def _(t):
  SELECT n.tag, n_groups, round(coalesce(d, 0), 6) AS dispersion FROM n LEFT JOIN d USING (tag)""",
 )
 def _(t):
-    return stats.dispersion(t.counts, _path_sims(t), 8).withColumn("dispersion", F.round("dispersion", 6))
+    return stats.dispersion(t.counts, _path_sims(t, stats.largest_pairs(t.counts, 8)), 8).withColumn("dispersion", F.round("dispersion", 6))
 
 
 _RANK = """r AS (SELECT id, label, score, row_number() OVER (ORDER BY score DESC, id) AS k, sum(label) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tp, count(*) OVER () AS n, sum(label) OVER () AS npos FROM fx_scored)"""

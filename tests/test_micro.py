@@ -460,3 +460,12 @@ def test_pairs_beyond_the_word_bound_keep_their_start(spark):
     known = spark.createDataFrame([("w4", "w5", 0.7)], "w1 string, w2 string, weight double")
     got = {(x.w1, x.w2): x.weight for x in edges.fit_edges(pairs, known, max_tags=4, max_iter=5).collect()}
     assert len(got) == 15 and got["w4", "w5"] == pytest.approx(0.7)
+
+
+def test_path_similarity_of_asked_pairs(spark):
+    below = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("a", "b", 1), ("r", "c", 1)], "top string, node string, depth int")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("lone",)], "wnid string")
+    every = {(x.wn1, x.wn2): x.sim for x in hierarchy.path_similarity(below, nodes).collect()}
+    assert every == {("a", "b"): 0.5, ("a", "c"): 1 / 3, ("b", "c"): 0.25}
+    asked = spark.createDataFrame([("a", "c"), ("a", "lone"), ("a", "c")], "wn1 string, wn2 string")
+    assert {(x.wn1, x.wn2): x.sim for x in hierarchy.path_similarity(below, nodes, pairs=asked).collect()} == {("a", "c"): 1 / 3}
