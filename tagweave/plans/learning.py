@@ -218,8 +218,19 @@ def _(t):
     return t.spark.createDataFrame([(f, round(float(v), 2)) for f, v in zip(flags, got.x)], "flag string, weight double")
 
 
+@query("l10_weights_of_a_concept", "SELECT wnid, CAST(1 AS DOUBLE) AS total, 0 AS negative FROM fx_counts GROUP BY wnid")
+def _(t):
+    """The weights of a concept's levels are shares."""
+    m = _mixture(t)
+    return m.groupBy("wnid").agg(F.round(F.sum("weight"), 6).alias("total"), F.count_if(F.col("weight") < 0).alias("negative"))
+
+
 @query("l10_level_mixture")
 def _(t):
+    return _mixture(t).withColumn("weight", F.round("weight", 6))
+
+
+def _mixture(t):
     w = t.nation.join(t.part, F.col("n_nationkey") == F.col("p_size")).select(F.col("n_name").alias("wnid"), (F.col("p_size") % 3).alias("depth"), F.col("p_name").alias("word"))
     words = w.groupBy("wnid", "depth").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    return levels.level_mixture(t.counts, words).withColumn("weight", F.round("weight", 6))
+    return levels.level_mixture(t.counts, words)
