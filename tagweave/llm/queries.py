@@ -151,6 +151,31 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagweave.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 11 that SQL can express: the order of documents and their edited texts."""
+    return op11_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tagweave.llm.align import align_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagweave.llm.repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -162,8 +187,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
     "license_base_phrases": license_base_phrases,
     "shard_counts": shard_counts,
+    "fingerprint_edits": fingerprint_edits,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -265,4 +294,39 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "fingerprint_edits": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first(t) OVER (ORDER BY doc_id DESC)) AS x FROM d)
+SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(x, 1, length(t) // 2)) AS edited_sha256 FROM n""",
+    # CRC-32 by bits: each byte is added, then eight shifts (-1) follow
+    "op13_conversation_repair": r"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(k[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) ELSE xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END) END)) % 20 AS f FROM src),
+dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE f <> 0),
+las AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM dam),
+flt AS (SELECT *, CASE WHEN z = '' THEN 1 WHEN nth > 1 THEN 2 WHEN z NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM las),
+num AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS step FROM flt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, fault)),
+agg AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+        count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM num GROUP BY conv_id),
+-- states: 0 nothing yet, 1 after s, 2 after u, 3 after a; rows inserted, and the row that is due
+ins(g, l, c, o, h) AS (VALUES (0, '', 0, '', 0), (0, 'I', 5, E'user:\n', 2), (0, 'II', 10, E'user:\nassistant:\n', 3), (1, '', 0, '', 1), (1, 'I', 5, E'user:\n', 2), (1, 'II', 10, E'user:\nassistant:\n', 3),
+        (2, '', 0, '', 2), (2, 'I', 5, E'assistant:\n', 3), (3, '', 0, '', 3), (3, 'I', 5, E'user:\n', 2)),
+due(h, t, name, g2) AS (VALUES (0, 's', NULL, 1), (0, 'u', 'user', 2), (1, 'u', 'user', 2), (2, 'a', 'assistant', 3), (3, 'u', 'user', 2)),
+st AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS g, {'c': 0, 'a': '', 'o': ''} AS best FROM agg
+  UNION ALL
+  SELECT conv_id, i, g, min(x) FROM (
+    SELECT num.conv_id, num.i, ins.h AS g, {'c': best.c + ins.c + 2, 'a': best.a || ins.l || 'D', 'o': best.o || ins.o} AS x
+    FROM st JOIN num ON num.conv_id IS NOT DISTINCT FROM st.conv_id AND num.i = st.i + 1 JOIN ins ON ins.g = st.g
+    UNION ALL
+    SELECT num.conv_id, num.i, due.g2, {'c': best.c + ins.c + CASE fault WHEN 3 THEN 5 ELSE 0 END + e.c, 'a': best.a || ins.l || e.l, 'o': best.o || ins.o || CASE e.l WHEN 'K' THEN role ELSE due.name END || ':' || text || chr(10)}
+    FROM st JOIN num ON num.conv_id IS NOT DISTINCT FROM st.conv_id AND num.i = st.i + 1 JOIN ins ON ins.g = st.g JOIN due ON due.h = ins.h, (VALUES ('K', 0), ('R', 1)) e(l, c)
+    WHERE fault IN (0, 3) AND CASE e.l WHEN 'K' THEN due.t = left(role, 1) ELSE due.name IS NOT NULL END) GROUP BY conv_id, i, g),
+fin AS (SELECT st.conv_id, min({'c': best.c + ins.c, 'a': best.a || ins.l, 'o': best.o || ins.o}) AS x FROM st JOIN agg ON agg.conv_id IS NOT DISTINCT FROM st.conv_id AND st.i = n JOIN ins ON ins.g = st.g WHERE ins.h IN (0, 3) GROUP BY st.conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit, sha256(CASE WHEN coalesce(x.o, '') = '' THEN '' ELSE left(x.o, -1) END) AS repaired_sha256
+FROM ids LEFT JOIN agg ON agg.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM ids.conv_id""",
 }
