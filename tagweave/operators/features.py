@@ -187,11 +187,12 @@ def predict(features: DataFrame, matrix: np.ndarray, tags: list[str], key: str =
     return features.select(key, F.explode(scored).alias("s")).select(key, "s.tag", "s.score")
 
 
-def svd_similarity(matrix: DataFrame, rank: int, row: str = "concept", col: str = "feat", value: str = "value", max_rows: int = 20_000) -> DataFrame:
+def svd_similarity(matrix: DataFrame, rank: int, row: str = "concept", col: str = "feat", value: str = "value", max_rows: int = 2_000) -> DataFrame:
     """(c1, c2, sim), c1 < c2, sim > 0: similarity U S U' from a rank-limited SVD of the row-normalised matrix.
 
-    The Gram matrix of concepts is made by a join over shared features; its
-    eigenvectors are found on the driver, for at most ``max_rows`` concepts.
+    Exact, for at most ``max_rows`` concepts: their Gram matrix is made by a
+    join over shared features, its eigenvectors on the driver. Above that there
+    is an error, before anything is multiplied; ``lowrank`` has no such bound.
     """
     norm = matrix.groupBy(row).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n")).where("_n > 0")
     m = matrix.join(norm, row).select(row, col, (F.col(value) / F.col("_n")).alias("v"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.operators.learn.minimize import minimize_box
+from tagweave.operators.pagerank import loss_and_gradient
+from tagweave.session import drop_stage, stage_table
 
 
 def all_restarts(w: np.ndarray, alpha: float) -> np.ndarray:
@@ -93,38 +93,114 @@ def recall(pairs: DataFrame, known: DataFrame, group: str = "wnid") -> DataFrame
     return g.withColumn("recall", F.col("n_known") / F.col("n_seen"))
 
 
-def fit_edges(pairs: DataFrame, known: DataFrame, alpha: float = 0.5, ridge: float = 1e-3, max_tags: int = 1200, noise: float = 0.05, group: str = "wnid", max_iter: int = 60) -> DataFrame:
+def fit_edges(pairs: DataFrame, known: DataFrame, alpha: float = 0.5, ridge: float = 1e-3, dense_words: int = 1200, noise: float = 0.05, group: str = "wnid", max_iter: int = 60, tol: float = 1e-12) -> DataFrame:
     """(group, w1, w2, weight, start, end): learned weights of each group's graph, made symmetric, and the objective before and after.
 
     ``pairs`` has (group, w1, w2, w): co-occurrence; ``known`` has (w1, w2,
     weight) with weights up to 1. Candidates are the pairs seen together; those
-    known start at their weight, others at a small one. In a group above
-    ``max_tags`` words the weights among its strongest words are learned; its
-    other pairs are returned with the weight that they start with.
+    known start at their weight, others at a small one, and every candidate's
+    weight is learned. Graphs of up to ``dense_words`` words are fitted in one
+    task each, by a dense inverse; wider ones all together by ``descend``, with
+    the same objective and gradient as joins.
     """
     seen = pairs.select(group, "w1", "w2", "w")
     k = known.groupBy(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")).agg(F.least(F.max("weight"), F.lit(1.0)).alias("k"))
     rows = seen.groupBy(group, F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")).agg(F.max("w").alias("w")).join(k, ["w1", "w2"], "left")
+    jitter = noise * (0.5 + 0.5 * F.crc32(F.concat_ws("|", "w1", "w2")) / 2.0**32)
+    rows = stage_table(rows.select(group, "w1", "w2", F.col("w").cast("double").alias("w"), F.coalesce("k", F.lit(0.0)).alias("k"), F.greatest(F.coalesce("k", F.lit(0.0)), jitter).alias("first")), "candidates")
+    words = rows.select(group, F.col("w1").alias("word")).union(rows.select(group, "w2")).groupBy(group).agg(F.count_distinct("word").alias("n"))
+    wide = words.where(F.col("n") > dense_words).select(group)
     kind = dict(pairs.dtypes)[group]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        power = pd.concat([pdf.groupby("w1").w.sum(), pdf.groupby("w2").w.sum()]).groupby(level=0).sum()
-        words = sorted(power.sort_values(ascending=False, kind="stable").index[:max_tags])
-        at = {x: i for i, x in enumerate(words)}
         pdf = pdf.sort_values(["w1", "w2"])
-        first = np.maximum(pdf.k.fillna(0.0), [noise * (0.5 + 0.5 * zlib.crc32(f"{a}|{b}".encode()) / 2**32) for a, b in zip(pdf.w1, pdf.w2)])
-        inside = pdf.w1.isin(at) & pdf.w2.isin(at)
-        rest, pdf, start = pdf[~inside].assign(weight=first[~inside]), pdf[inside], first[inside].to_numpy()
+        words = sorted(set(pdf.w1) | set(pdf.w2))
+        at = {x: i for i, x in enumerate(words)}
         i, j = pdf.w1.map(at).to_numpy(int), pdf.w2.map(at).to_numpy(int)
         n = len(words)
         b, known_, init = (np.zeros((n, n)) for _ in range(3))
-        b[i, j] = b[j, i] = pdf.w
-        kk = pdf.k.fillna(0.0).to_numpy()
-        known_[i, j] = known_[j, i] = kk
-        init[i, j] = init[j, i] = start
+        for m, c in ((b, "w"), (known_, "k"), (init, "first")):
+            m[i, j] = m[j, i] = pdf[c]
         g, got = fit_matrix(init, known_, stochastic(b), alpha, ridge, max_iter)
         g = (g + g.T) / 2
-        out = pd.concat([pdf.assign(weight=g[i, j]), rest])
-        return pd.DataFrame({group: out[group], "w1": out.w1, "w2": out.w2, "weight": out.weight, "start": got.history[0], "end": got.f})
-
-    return rows.select(group, "w1", "w2", "w", "k").groupBy(group).applyInPandas(fit, f"{group} {kind}, w1 string, w2 string, weight double, start double, end double")
+        return pd.DataFrame({group: pdf[group], "w1": pdf.w1, "w2": pdf.w2, "weight": g[i, j], "start": got.history[0], "end": got.f})
+
+    out = rows.join(wide, group, "left_anti").groupBy(group).applyInPandas(fit, f"{group} {kind}, w1 string, w2 string, weight double, start double, end double")
+    if not wide.take(1):
+        return out
+    large = rows.join(wide, group, "left_semi").select(F.col(group).alias("graph"), "w1", "w2", "w", "k", "first")
+    both = large.union(large.where("w1 <> w2").select("graph", F.col("w2").alias("w1"), F.col("w1").alias("w2"), "w", "k", "first")).toDF("graph", "src", "dst", "w", "k", "first")
+    total = both.groupBy("graph", "src").agg(F.sum("w").alias("s"))
+    observed = both.join(total, ["graph", "src"]).select("graph", F.col("src").alias("restart"), F.col("dst").alias("node"), (F.col("w") / F.col("s")).alias("o"))
+    weights, ends = descend(both.select("graph", "src", "dst", F.col("first").alias("w"), F.col("k").alias("low"), F.lit(1.0).alias("high")), stage_table(observed, "observed"), alpha, ridge, max_iter, tol=tol)
+    even = weights.groupBy("graph", F.least("src", "dst").alias("w1"), F.greatest("src", "dst").alias("w2")).agg(F.avg("w").alias("weight"))
+    return out.union(even.join(ends, "graph").select(F.col("graph").alias(group), "w1", "w2", "weight", "start", "end"))
+
+
+def descend(edges: DataFrame, observed: DataFrame, alpha: float = 0.5, ridge: float = 1e-3, max_iter: int = 60, pgtol: float = 1e-5, factr: float = 1e7, tol: float = 1e-12, memory: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((graph, src, dst, w), (graph, start, end)): weights within (low, high) that lower the objective of each graph.
+
+    Spectral projected gradient steps: down the slope and back into the bounds,
+    by a length from the last two slopes; shortened until the objective is below
+    the highest of the last few by a share of the slope. Weights and slopes stay
+    in tables; the driver has a few numbers a graph.
+    """
+    spark = edges.sparkSession
+    bounds = stage_table(edges.select("graph", "src", "dst", "low", "high"), "bounds")
+    inside = lambda c: F.greatest(F.least(c, F.col("high")), F.col("low"))
+    keys = ["graph", "src", "dst"]
+    start = stage_table(edges.select(*keys, inside(F.col("w")).alias("w")), "weights")
+    value, slopes = loss_and_gradient(start, observed, alpha, ridge, tol)
+    now = stage_table(slopes.join(bounds, keys), "now")  # graph, src, dst, w, slope, low, high
+    first = {r["graph"]: r["value"] for r in value.collect()}
+    past = {g: [v] for g, v in first.items()}
+    length = {r["graph"]: 1.0 / max(r["s"], 1e-12) for r in now.groupBy("graph").agg(F.max(F.abs(inside(F.col("w") - F.col("slope")) - F.col("w"))).alias("s")).collect()}
+    live = set(first)
+    kind = dict(edges.dtypes)["graph"]
+
+    def numbers(**columns):
+        return F.broadcast(spark.createDataFrame([(g, *(float(c[g]) for c in columns.values())) for g in sorted(live, key=str)], f"graph {kind}, " + ", ".join(f"{c} double" for c in columns)))  # a row a graph
+
+    for _ in range(max_iter):
+        moved = now.groupBy("graph").agg(F.max(F.abs(inside(F.col("w") - F.col("slope")) - F.col("w"))).alias("m")).collect()
+        live -= {r["graph"] for r in moved if r["m"] <= pgtol}
+        if not live:
+            break
+        step = stage_table(now.join(numbers(length=length), "graph").withColumn("d", inside(F.col("w") - F.col("length") * F.col("slope")) - F.col("w")).drop("length"), "step")
+        fall = {r["graph"]: r["f"] for r in step.groupBy("graph").agg(F.sum(F.col("slope") * F.col("d")).alias("f")).collect()}
+        share, todo, tried = dict.fromkeys(live, 1.0), set(live), []
+        for _ in range(20):
+            some = spark.createDataFrame([(g, share[g]) for g in sorted(todo, key=str)], f"graph {kind}, share double")
+            new = stage_table(step.join(F.broadcast(some), "graph").select(*keys, inside(F.col("w") + F.col("share") * F.col("d")).alias("w")), "weights")
+            value, slopes = loss_and_gradient(new, observed, alpha, ridge, tol)
+            got = {r["graph"]: r["value"] for r in value.collect()}
+            good = {g for g in todo if got[g] <= max(past[g][-memory:]) + 1e-4 * share[g] * fall[g]}
+            if good:
+                tried.append(stage_table(slopes.where(F.col("graph").isin(list(good))), "tried"))
+            todo -= good
+            for g in good:
+                past[g].append(got[g])
+            if not todo:
+                break
+            for g in todo:
+                share[g] /= 2
+        if not tried:
+            break
+        moved_to = tried[0]
+        for t in tried[1:]:
+            moved_to = moved_to.union(t)
+        j = step.join(moved_to.withColumnsRenamed({"w": "w2", "slope": "slope2"}), keys)
+        ds, dy = F.col("w2") - F.col("w"), F.col("slope2") - F.col("slope")
+        for r in j.groupBy("graph").agg(F.sum(ds * ds).alias("ss"), F.sum(ds * dy).alias("sy")).collect():
+            length[r["graph"]] = min(1e10, max(1e-10, r["ss"] / r["sy"])) if r["sy"] > 0 else 1e10
+        done = now.join(moved_to.select("graph").distinct(), "graph", "left_anti")
+        later = stage_table(j.select(*keys, F.col("w2").alias("w"), F.col("slope2").alias("slope"), "low", "high").union(done.select(*keys, "w", "slope", "low", "high")), "now")
+        live -= todo
+        live -= {g for g in live if abs(past[g][-2] - past[g][-1]) / max(abs(past[g][-2]), abs(past[g][-1]), 1.0) <= factr * np.finfo(float).eps}
+        for t in (now, step, *tried):
+            drop_stage(t)
+        now = later
+        if not live:
+            break
+    ends = spark.createDataFrame([(g, first[g], past[g][-1]) for g in first], f"graph {kind}, start double, end double")
+    return now.select(*keys, "w"), ends

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tagweave.operators import features, sampling
+from tagweave.operators import features, lowrank, sampling
 from tagweave.operators.learn import bilinear, edges, levels, svm
 from tagweave.plans.registry import query
 
@@ -94,17 +94,35 @@ def _(t):
 
 @query("d19_low_rank_similarity")
 def _(t):
-    s = features.svd_similarity(t.counts.select(F.col("wnid").alias("concept"), F.col("tag").alias("feat"), F.col("cnt").cast("double").alias("value")), 10)
+    s = lowrank.svd_similarity(t.counts.select(F.col("wnid").alias("concept"), F.col("tag").alias("feat"), F.col("cnt").cast("double").alias("value")), 10)
     return s.withColumn("sim", F.round("sim", 6))
 
 
+def _squared(n: int) -> str:
+    """Squares of the Gram matrix, each scaled by its trace."""
+    return ", ".join(f"g{i} AS MATERIALIZED (SELECT x.a, y.b, sum(x.v * y.v) / (SELECT sum(v) FROM g{i - 1} WHERE a = b) AS v FROM g{i - 1} x JOIN g{i - 1} y ON x.b = y.a GROUP BY ALL)" for i in range(1, n + 1))
+
+
+@query(
+    "d19_leading_similarity",
+    f"""WITH nn AS (SELECT wnid, sqrt(sum(cnt * cnt)) AS n FROM fx_counts GROUP BY wnid), m AS (SELECT wnid, tag, cnt / n AS v FROM fx_counts JOIN nn USING (wnid)),
+ g0 AS MATERIALIZED (SELECT x.wnid AS a, y.wnid AS b, sum(x.v * y.v) AS v FROM m x JOIN m y ON x.tag = y.tag GROUP BY ALL), {_squared(12)},
+ u AS (SELECT a, sum(v) AS v FROM g12 GROUP BY a), w AS (SELECT a, v / sqrt((SELECT sum(v * v) FROM u)) AS v FROM u), l AS (SELECT sum(x.v * g0.v * y.v) AS l FROM g0 JOIN w x ON x.a = g0.a JOIN w y ON y.a = g0.b)
+ SELECT x.a AS c1, y.a AS c2, round(sqrt(l) * x.v * y.v, 5) AS sim FROM w x JOIN w y ON x.a < y.a, l WHERE x.v * y.v > 0""",
+)
+def _(t):
+    """Rank one, against powers of the whole Gram matrix."""
+    s = lowrank.svd_similarity(t.counts.select(F.col("wnid").alias("concept"), F.col("tag").alias("feat"), F.col("cnt").cast("double").alias("value")), 1, powers=8)
+    return s.withColumn("sim", F.round("sim", 5))
+
+
 @query("d13_learned_edge_weights")
 def _(t):
     """Edge weights of each concept's word graph (D12 to D15)."""
     w = F.split("tag", " ")
     p = t.counts.select("wnid", w[0].alias("w1"), w[1].alias("w2"), F.col("cnt").cast("double").alias("w"))
     known = t.known.where("rel = 'SMALL'").select("w1", "w2", F.lit(0.2).alias("weight"))
-    got = edges.fit_edges(p, known, max_iter=15)
+    got = edges.fit_edges(p, known)
     return got.select("wnid", "w1", "w2", *[F.round(c, 5).alias(c) for c in ("weight", "start", "end")])
 
 
@@ -121,7 +139,7 @@ def _(t):
     """Every pair seen has a weight between the known one and 1, and no group's objective rises."""
     known = t.known.where("rel = 'SMALL'").select("w1", "w2", F.lit(0.2).alias("weight"))
     k = known.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2"), "weight").distinct().withColumnRenamed("weight", "k")
-    got = edges.fit_edges(_concept_pairs(t), known, max_iter=15).join(k, ["w1", "w2"], "left")
+    got = edges.fit_edges(_concept_pairs(t), known).join(k, ["w1", "w2"], "left")
     return got.groupBy("wnid").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.count_if(F.col("weight") < F.coalesce("k", F.lit(0.0)) - 1e-9).alias("below_known"),
@@ -185,10 +203,68 @@ def _(t):
     return svm.grid_search(d.withColumnRenamed("embedding", "vec"))
 
 
+_TASKS = ("classify", "nu_classify", "regress", "nu_regress", "one_class")
+
+
+@query("l08_optimal_machines", f"SELECT task, count(*) AS n_rows, 0 AS violated, 0 AS unbalanced FROM embeddings, (SELECT unnest([{', '.join(repr(x) for x in _TASKS)}]) AS task) WHERE label IS NOT NULL GROUP BY task")
+def _(t):
+    """Machines of every task on all rows: whether any row violates the optimality conditions by more than a thousandth."""
+    d = t.embeddings.where("label is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.when(F.col("label") < 5, 1).otherwise(0).alias("side"), (F.col("label") / 10).alias("label"))
+    out = []
+    for task in _TASKS:
+        target = {"classify": "side", "nu_classify": "side", "one_class": None}.get(task, "label")
+        _, got = svm.cascade(d, task, nu=0.3, gamma=1.0, target=target)
+        out.append((task, got["rows"], int(got["residual"] > 1e-3), int(got["balance"] > 1e-6)))
+    return t.spark.createDataFrame(out, "task string, n_rows long, violated int, unbalanced int")
+
+
+_DIST = "list_inner_product(e, e) + list_inner_product(s, s) - 2 * list_inner_product(e, s)"
+
+
+@query("l08_decisions", f"WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS s FROM embeddings WHERE label IS NOT NULL GROUP BY label) SELECT id, round(sum((label - 4) / 5 * exp(-5e-1 * ({_DIST}))) - 25e-2, 6) AS decision FROM x, r GROUP BY id")
+def _(t):
+    """Decisions of a machine with fixed weights: the first row of each label supports it."""
+    first = t.embeddings.where("label is not null").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("s")).orderBy("label").collect()
+    m = svm.Machine(np.array([r.s for r in first], float), np.array([(r.label - 4) / 5 for r in first]), 0.25, "rbf", 0.5, "classify", {})
+    return svm.decisions(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), m, vec="embedding").withColumn("decision", F.round("decision", 6))
+
+
+@query(
+    "l08_sigmoid",
+    """WITH RECURSIVE s AS (SELECT (score - 500) / 250 AS f, label AS l, count(*) FILTER (label > 0) OVER () AS np, count(*) OVER () AS n FROM fx_scored),
+ x AS (SELECT f, CASE WHEN l > 0 THEN (np + 1) / (np + 2) ELSE 1 / (n - np + 2) END AS t, ln((n - np + 1) / (np + 1)) AS b0 FROM s),
+ nt AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(min(b0) AS DOUBLE) AS b FROM x UNION ALL
+  SELECT k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+   SELECT k, a, b, sum(f * (t - p)) AS ga, sum(t - p) AS gb, sum(f * f * p * (1 - p)) AS haa, sum(f * p * (1 - p)) AS hab, sum(p * (1 - p)) AS hbb
+   FROM (SELECT k, a, b, f, t, 1 / (1 + exp(a * f + b)) AS p FROM nt, x WHERE k < 15) GROUP BY k, a, b))
+ SELECT round(a, 5) AS a, round(b, 5) AS b FROM nt WHERE k = 15""",
+)
+def _(t):
+    a, b = svm.fit_sigmoid(t.scored.select(((F.col("score") - 500) / 250).alias("decision"), "label"))
+    return t.spark.createDataFrame([(round(a, 5), round(b, 5))], "a double, b double")
+
+
+_SIG = "1 / (1 + exp(-2 * embedding[{}]::DOUBLE))"
+
+
+@query(
+    "l08_class_probabilities",
+    f"""WITH r AS (SELECT vec_id AS id, {_SIG.format(1)} AS u, {_SIG.format(2)} AS v, {_SIG.format(3)} AS w FROM embeddings),
+ q AS (SELECT id, pow(1 - u, 2) + pow(1 - v, 2) AS aa, u * u + pow(1 - w, 2) AS bb, v * v + w * w AS cc, -(1 - u) * u AS ab, -(1 - v) * v AS ac, -(1 - w) * w AS bc FROM r),
+ p AS (SELECT id, (bb * cc - bc * bc) + (ac * bc - ab * cc) + (ab * bc - ac * bb) AS x, (ac * bc - ab * cc) + (aa * cc - ac * ac) + (ab * ac - aa * bc) AS y, (ab * bc - ac * bb) + (ab * ac - aa * bc) + (aa * bb - ab * ab) AS z FROM q)
+ SELECT id, unnest(['0', '1', '2']) AS class, unnest([round(x / (x + y + z), 6), round(y / (x + y + z), 6), round(z / (x + y + z), 6)]) AS p FROM p""",
+)
+def _(t):
+    """Three classes from fixed pairwise decisions: the first three dimensions, one a pair."""
+    one = lambda i: svm.Machine(np.eye(64)[i : i + 1], np.ones(1), 0.0, "linear", 1.0, "classify", {})
+    m = svm.ManyClasses([0, 1, 2], {(0, 1): one(0), (0, 2): one(1), (1, 2): one(2)}, dict.fromkeys([(0, 1), (0, 2), (1, 2)], (-2.0, 0.0)))
+    return svm.class_probabilities(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), m, vec="embedding").withColumn("p", F.round("p", 6))
+
+
 @query("l08_linear_machine")
 def _(t):
     d = t.embeddings.where("label is not null").select("vec_id", F.col("embedding").alias("vec"), F.when(F.col("label") < 5, 1).otherwise(0).alias("label"))
-    m = svm.linear_svm(d, max_iter=10)
+    m = svm.linear_svm(d)
     w = [float(v) for v in m.coefficients]
     s = features.predict(d.select(F.col("vec_id").alias("img_id"), "vec"), np.array(w)[:, None], ["low"])
     return s.select("img_id", F.round(F.col("score") + float(m.intercept), 4).alias("score"))

@@ -21,14 +21,19 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
+_FOLDER: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one temporary folder of the process in local mode and an error on a cluster."""
     import tempfile
 
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (where or "file://" + tempfile.mkdtemp(prefix="tagweave-")).rstrip("/")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = _FOLDER.setdefault("local", "file://" + tempfile.mkdtemp(prefix="tagweave-"))
+    return where.rstrip("/")
 
 
 def stage_table(df, name: str):
@@ -38,4 +43,14 @@ def stage_table(df, name: str):
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tagweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tagweave_path = path
+    return out
+
+
+def drop_stage(df) -> None:
+    """Delete a table that ``stage_table`` wrote and nothing reads any more."""
+    path = getattr(df, "_tagweave_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -453,15 +453,6 @@ def test_late_rows_are_left_out_of_windows(spark, tmp_path):
     assert sorted(x.n for x in got.collect()) == [1, 2]
 
 
-def test_pairs_beyond_the_word_bound_keep_their_start(spark):
-    from tagweave.operators.learn import edges
-
-    pairs = spark.createDataFrame([("g", f"w{i}", f"w{j}", float(10 - i)) for i in range(6) for j in range(i + 1, 6)], "wnid string, w1 string, w2 string, w double")
-    known = spark.createDataFrame([("w4", "w5", 0.7)], "w1 string, w2 string, weight double")
-    got = {(x.w1, x.w2): x.weight for x in edges.fit_edges(pairs, known, max_tags=4, max_iter=5).collect()}
-    assert len(got) == 15 and got["w4", "w5"] == pytest.approx(0.7)
-
-
 def test_path_similarity_of_asked_pairs(spark):
     below = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("a", "b", 1), ("r", "c", 1)], "top string, node string, depth int")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("lone",)], "wnid string")
