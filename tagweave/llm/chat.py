@@ -9,6 +9,12 @@ calls that wait for each other, or for such calls, are left out and reported.
 Arguments are checked against the JSON schemas that the conversation's system
 turns declare, ``<tools>{"name", "parameters"} ...</tools>``, or the caller
 gives, and each message becomes canonical JSON (sorted keys, no blanks).
+
+JSON is read strictly: ``NaN`` and infinities, numbers beyond a double, whole
+numbers of more digits than Python reads, and values nested deeper than
+``MAX_DEPTH`` aren't readable, and the call, result or tool that holds them is
+reported as such. Halves of surrogate pairs, which JSON may escape and UTF-8
+can't hold, stay escaped.
 """
 
 from __future__ import annotations
@@ -30,8 +36,53 @@ _REF = re.compile(r"^\$ref:(.+)$", re.S)
 CELL_TURNS, TASK_REFS, SET_REFS = 10_000, 50_000, 50_000
 
 
+#: Levels of arrays and objects that a value may have.
+MAX_DEPTH = 200
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def plain(text: str) -> str:
+    """``text`` with halves of surrogate pairs as escapes, so that it can be written as UTF-8."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return plain(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _double(digits: str) -> float:
+    value = float(digits)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError("beyond a double")
+    return value
+
+
+_JSON = json.JSONDecoder(parse_constant=_no_constant, parse_float=_double)
+
+
+def _shallow(value):
+    """``value``, if no part of it lies deeper than ``MAX_DEPTH``."""
+    level = [value]
+    for _ in range(MAX_DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    raise ValueError("nested too deep")
+
+
+def read_json(text: str, at: int | None = None):
+    """The value of a text, or (value, end) of the one that begins ``at``; ValueError for whatever can't be read."""
+    try:
+        if at is None:
+            return _shallow(_JSON.decode(text))
+        value, end = _JSON.raw_decode(text, at)
+        return _shallow(value), end
+    except RecursionError:
+        raise ValueError("nested too deep") from None
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -42,7 +93,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
         ok = False
         for t in wanted if isinstance(wanted, list) else [wanted]:
             if t in ("number", "integer"):
-                ok |= isinstance(value, (int, float)) and not isinstance(value, bool) and (t == "number" or float(value).is_integer())
+                ok |= isinstance(value, (int, float)) and not isinstance(value, bool) and (t == "number" or isinstance(value, int) or value.is_integer())
             else:
                 ok |= isinstance(value, kinds.get(t, object))
         if not ok:
@@ -74,7 +125,7 @@ def _refs(value) -> list[str]:
     while todo:
         v = todo.pop()
         if isinstance(v, str) and (m := _REF.match(v)):
-            out.append(m[1])
+            out.append(plain(m[1]))
         elif isinstance(v, dict):
             todo += v.values()
         elif isinstance(v, list):
@@ -84,9 +135,9 @@ def _refs(value) -> list[str]:
 
 def check_call(name: str, arguments, schema: dict) -> list[str]:
     try:
-        return [f"{name} {e}" for e in violations(arguments, schema)]
+        return [plain(f"{name} {e}") for e in violations(arguments, schema)]
     except (re.error, TypeError, ValueError, AttributeError, OverflowError, RecursionError):
-        return [f"{name}: schema not usable"]
+        return [plain(f"{name}: schema not usable")]
 
 
 def declared_tools(text: str) -> tuple[list[tuple[str, str]], list[str]]:
@@ -96,18 +147,18 @@ def declared_tools(text: str) -> tuple[list[tuple[str, str]], list[str]]:
     "parameters"} or that within {"type": "function", "function"}. Without
     parameters any arguments do.
     """
-    read, out, errors = json.JSONDecoder(), [], []
+    out, errors = [], []
     for k, m in enumerate(_TOOLS.finditer(text)):
         body, at = m[1].strip(), 0
         try:
             while at < len(body):
-                value, at = read.raw_decode(body, at)
+                value, at = read_json(body, at)
                 for tool in value if isinstance(value, list) else [value]:
                     tool = tool.get("function", tool)
                     schema = tool.get("parameters") or {}
                     if not isinstance(schema, dict):
                         raise TypeError("no schema")
-                    out.append((str(tool["name"]), canonical(schema)))
+                    out.append((plain(str(tool["name"])), canonical(schema)))
                 while at < len(body) and body[at] in " \t\r\n,":
                     at += 1
         except (ValueError, TypeError, KeyError, AttributeError, RecursionError):
@@ -126,9 +177,9 @@ def parse_turn(role: str | None, text: str | None, schemas: dict) -> tuple:
         tools, errors = declared_tools(text)
     if role == "tool":
         try:
-            body = json.loads(text)
-            result = str(body["tool_call_id"])
-            message |= {"tool_call_id": result, "content": body.get("content")}
+            body = read_json(text)
+            result = plain(str(body["tool_call_id"]))
+            message |= {"tool_call_id": str(body["tool_call_id"]), "content": body.get("content")}
         except (ValueError, TypeError, KeyError):
             message["content"] = text
             errors.append("result without identifier")
@@ -136,12 +187,12 @@ def parse_turn(role: str | None, text: str | None, schemas: dict) -> tuple:
         listed = []
         for k, m in enumerate(_CALL.finditer(text)):
             try:
-                body = json.loads(m[1])
-                name, arguments, ident = str(body["name"]), body.get("arguments", {}), str(body["id"])
+                body = read_json(m[1])
+                name, arguments, ident = plain(str(body["name"])), body.get("arguments", {}), plain(str(body["id"]))
             except (ValueError, TypeError, KeyError):
                 errors.append(f"call {k}: not readable")
                 continue
-            listed.append({"id": ident, "name": name, "arguments": arguments})
+            listed.append({"id": str(body["id"]), "name": str(body["name"]), "arguments": arguments})
             calls.append((ident, _refs(arguments)))
             if name in schemas:
                 errors += check_call(name, arguments, schemas[name])

@@ -1,20 +1,22 @@
 """Shards of equal row counts with few cut links, by balanced label propagation.
 
 Documents that belong together share a hub (equal texts share one; an ordinary
-link is a hub of two). Whole hubs are placed first, largest first, each into
-the fullest shard that still has room for it; that needs only the counts of hub
-sizes. If documents have several hubs, all that hubs connect are placed as one
-where a shard can take them, and rounds of label propagation follow: a hub
-counts its members by shard and offers its strongest shard, and members for whom
-it holds more fellows than their present shard want to move there. How many may
-is decided for each pair of shards, so that what comes in fits into the free
-slots and those given up in the same round. Rounds go on while they cut less.
-Loads and quotas are one number a shard or a pair of shards, hub sizes one a
-size, so the driver holds nothing that grows with the documents.
+link is a hub of two). Every linked row begins with a hashed label. In each
+round a hub counts its members by shard and offers its strongest shard, and
+members for whom it holds more fellows than their present shard want to move
+there. How many may is decided for each pair of shards, so that what comes in
+fits into the free slots and those given up in the same round. Rounds go on
+while they cut less. Hubs that quotas still keep apart, and some from shards
+that the hashes filled beyond their quota, are then placed whole, largest first,
+into the fullest shard that has room for them; that needs only counts of sizes.
+Where rows have several hubs, all that hubs connect is placed so at first, if a
+shard can take it, and the rounds start from there.
 
-A last pass makes sizes exact: what exceeds a shard's quota, and all documents
-without links, fill the free slots. Ranks come from counts of bounded cells and
-a row number within each, never from one sorted partition.
+Loads and quotas are one number a shard or a pair of shards, hub sizes one a
+size, so the driver holds nothing that grows with the documents. A last pass
+makes sizes exact: what exceeds a shard's quota, and all documents without
+links, fill the free slots. Ranks come from counts of bounded cells and a row
+number within each, never from one sorted partition.
 """
 
 from __future__ import annotations
@@ -145,6 +147,26 @@ def _propagate(state: DataFrame, shards: int, quota: int) -> DataFrame:
     return best
 
 
+def _settled(state: DataFrame, target: list[int], cell_rows: int) -> DataFrame:
+    """(row_id, hub, shard): hubs that propagation brought together stay where they are; the others are placed whole into what these leave.
+
+    Of a shard with more rows than its target, about as many hubs as are too
+    many go with the others, chosen by hash.
+    """
+    hubs = state.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("shard"), F.max("shard").alias("top"))
+    hubs = cut(hubs.select("hub", "n", F.when(F.col("shard") == F.col("top"), F.col("shard")).alias("at")), "together")
+    load = {x["at"]: (x["n"], x["most"]) for x in hubs.where("at is not null").groupBy("at").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
+    leave = {s: (n - target[s] + 4 * ((n - target[s]) * most) ** 0.5 + 2 * most) / n for s, (n, most) in load.items() if n > target[s]}
+    chosen = F.lit(False)
+    for s, share in leave.items():
+        chosen = chosen | ((F.col("at") == s) & (F.pmod(F.xxhash64("hub", F.lit("leave")), F.lit(1 << 20)) < share * (1 << 20)))
+    stay = hubs.where(F.col("at").isNotNull() & ~chosen).select("hub", F.col("at").alias("shard"))
+    taken = {x["shard"]: x["n"] for x in hubs.join(stay, "hub").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    rest = state.select("row_id", "hub").join(hubs.where(F.col("at").isNull() | chosen).select("hub"), "hub")
+    placed = _whole_hubs(rest, [t - taken.get(s, 0) for s, t in enumerate(target)], cell_rows)
+    return state.select("row_id", "hub").join(stay.union(placed), "hub").select("row_id", "hub", "shard")
+
+
 def balanced_shards(
     nodes: DataFrame, members: DataFrame, shards: int = 40, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
@@ -166,14 +188,15 @@ def balanced_shards(
     )
     linked = cut(linked, "linked")
     own = cut(linked.groupBy("row_id").agg(F.min("hub").alias("hub"), F.count_distinct("hub").alias("hubs")), "own")
-    several = bool(own.where("hubs > 1").take(1))
-    if several:
+    if own.where("hubs > 1").take(1):
         own = cut(_joined(own, linked, quota), "own")
-    placed = own.join(_whole_hubs(own, target, cell_rows), "hub").select("row_id", "hub", F.col("shard").alias("part"))
-    if several:
-        start = cut(linked.join(placed.select("row_id", F.col("part").alias("shard")), "row_id"), "labels")
-        state = _propagate(start, shards, quota).groupBy("row_id").agg(F.min("shard").alias("part"))
+        placed = own.join(_whole_hubs(own, target, cell_rows), "hub").select("row_id", "shard")
+        state = _propagate(cut(linked.join(placed, "row_id"), "labels"), shards, quota).groupBy("row_id").agg(F.min("shard").alias("part"))
         placed = own.select("row_id", "hub").join(state, "row_id")
+    else:
+        start = cut(linked.withColumn("shard", F.pmod(F.xxhash64("row_id", F.lit("label")), F.lit(shards)).cast("int")), "labels")
+        state = _propagate(start, shards, quota)
+        placed = _settled(state, target, cell_rows).withColumnRenamed("shard", "part")
     every = nodes.select("row_id").join(placed, "row_id", "left")
     side = max(1, round((quota / cell_rows) ** 0.5 + 0.499))
     many = max(1, -(-total // cell_rows))

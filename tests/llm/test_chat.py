@@ -256,3 +256,46 @@ def test_registered_query_adds_traffic(spark, sf):
     text = " ".join(r.errors for r in got)
     assert all(e in text for e in ("unknown tool", "missing", "not of type integer", "out of bounds", "wait for each other"))
     assert any(r.linked for r in got) and any(r.linked is False for r in got)
+
+
+HARD = [
+    ("tool", '{"tool_call_id":"a","content":"\\ud83d"}'),
+    ("tool", '{"tool_call_id":"\\udc00x","content":[1e999]}'),
+    ("tool", '{"tool_call_id":"\\udc00x","content":NaN}'),
+    ("tool", "[" * 200_000),
+    ("tool", '{"tool_call_id":"deep","content":' + "[" * 150 + "]" * 150 + "}"),
+    ("tool", '{"tool_call_id":"deep","content":' + "[" * 400 + "]" * 400 + "}"),
+    ("tool", '{"tool_call_id":7,"content":' + "9" * 400 + "}"),
+    ("tool", '{"tool_call_id":7,"content":' + "9" * 5000 + "}"),
+    ("tool", "7"),
+    ("assistant", "<tool_call>" + "[" * 100_000 + "</tool_call>"),
+    ("assistant", '<tool_call>{"id":"\\ud800","name":"f\\udfff","arguments":{"k\\ud800":"$ref:\\ud800"}}</tool_call>'),
+    ("assistant", '<tool_call>{"id":"n","name":"f","arguments":{"x":-Infinity}}</tool_call>'),
+    ("assistant", '<tool_call>{"id":"big","name":"whole","arguments":{"x":' + "1" * 400 + "}}</tool_call>"),
+    ("assistant", '<tool_call>{"id":"odd","name":"whole","arguments":{"x":1.5,"y\\ud800":1}}</tool_call>'),
+    ("system", "<tools>" + '{"name":"whole","parameters":{"properties":{"x":{"type":"integer"}},"additionalProperties":false}}' + "</tools>"),
+    ("system", "<tools>" + '[' * 100_000 + "</tools>"),
+    ("system", '<tools>{"name":"t\\ud800","parameters":{"maximum":NaN}}</tools>'),
+]
+
+
+def test_no_text_fails_the_whole(spark):
+    import json
+
+    from tagweave.llm import chat
+
+    rows = [(1, i, role, text) for i, (role, text) in enumerate(HARD)]
+    got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(HARD)
+
+    def refuse(name):
+        raise AssertionError(name)
+
+    for i, r in got.items():
+        json.loads(r.message, parse_constant=refuse)
+        r.message.encode()
+    assert json.loads(got[0].message)["content"] == "\ud83d" and "\\ud83d" in got[0].message
+    unreadable = {i for i, r in got.items() if any("without identifier" in e for e in r.errors)}
+    assert unreadable == {1, 2, 3, 5, 7, 8}
+    assert {i for i, r in got.items() if any("not readable" in e for e in r.errors)} == {9, 11, 15, 16}
+    assert got[12].errors == [] and got[10].n_calls == 1 and got[13].errors == ["whole $.x: not of type integer", "whole $.y\\ud800: unknown"]

@@ -68,10 +68,10 @@ def test_empty(spark):
     assert sharding.shard_documents(fixtures.empty(spark)).collect() == []
 
 
-def cuts(got, hub):
+def cuts(got, hub, at=None):
     where = defaultdict(set)
     for r in got:
-        where[hub[r[0]]].add(r.shard)
+        where[hub[r[0]]].add(r.shard if at is None else r[at])
     return sum(len(v) - 1 for v in where.values())
 
 
@@ -98,6 +98,37 @@ def test_rows_of_several_hubs(spark):
     assert sum(len(v) - 1 for v in where.values()) <= 120
 
 
+def test_the_registered_query_propagates_labels(spark, sf01, monkeypatch):
+    """Rounds of propagation, not the placing of what they leave, bring most texts together."""
+    from tagweave.llm.queries import QUERIES
+
+    seen, real = [], sharding._propagate
+
+    def spy(state, shards, quota):
+        before = sharding._cut_links(state)
+        out = real(state, shards, quota)
+        seen.append((before, sharding._cut_links(out)))
+        return out
+
+    monkeypatch.setattr(sharding, "_propagate", spy)
+    got = QUERIES["op3_balanced_sharding"](spark, sf01).collect()
+    assert len(seen) == 1 and seen[0][0] > 10 and seen[0][1] <= 0.2 * seen[0][0], seen
+    laws(got, 40)
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf01}/documents.parquet").collect()}
+    assert cuts([(r.doc_id, r.shard) for r in got], text, 1) <= seen[0][1]
+
+
+def test_without_propagation_more_is_left_to_place(spark, monkeypatch):
+    rows = [(i, f"text {i // 4}") for i in range(1600)]
+    df = spark.createDataFrame(rows, "row_id long, hub string")
+    left, real = [], sharding._whole_hubs
+    monkeypatch.setattr(sharding, "_whole_hubs", lambda own, room, cell: (left.append(own.count()), real(own, room, cell))[1])
+    laws(sharding.balanced_shards(df.select("row_id"), df, 8).collect(), 8)
+    monkeypatch.setattr(sharding, "_propagate", lambda state, shards, quota: state)
+    laws(sharding.balanced_shards(df.select("row_id"), df, 8).collect(), 8)
+    assert left[0] < 0.5 * left[1] and left[1] > 1500, left
+
+
 def test_moves_use_slots_given_up():
     # full shards still exchange, and a ring of three moves on
     assert sharding._admit({(0, 1): 5, (1, 0): 5}, [0, 0]) == {(0, 1): 1.0, (1, 0): 1.0}
