@@ -104,22 +104,26 @@ def _(t):
     return src.ngrams(src.lines(t.spark, path))
 
 
-@query("s08_zipped_ngrams", "SELECT 'word' || CAST(i AS VARCHAR) AS word, CAST(2000 + i AS INT) AS yr, CAST(i AS BIGINT) AS \"match\" FROM range(50) r(i)")
+@query("s08_zipped_ngrams", "SELECT p_name AS word, CAST(2000 + p_size AS INT) AS yr, CAST(p_partkey AS BIGINT) AS \"match\" FROM part")
 def _(t):
+    lines: dict[int, list[str]] = {}
+    for r in t.part.select("p_name", "p_size", "p_partkey").toLocalIterator():  # the archive's writer; what is tested reads it
+        lines.setdefault(r.p_partkey % 5, []).append(f"{r.p_name}\t{2000 + r.p_size}\t{r.p_partkey}\t1\t1\n")
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("a.tsv", "".join(f"word{i}\t{2000 + i}\t{i}\t1\t1\n" for i in range(50)))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, part in sorted(lines.items()):
+            z.writestr(f"{k}.tsv", "".join(part), zipfile.ZIP_STORED if k % 2 else None)
     return src.ngrams(src.zipped_lines(t.spark, _bytes(t, out.getvalue(), "zip"))).select("word", "yr", "match")
 
 
-@query("s07_tar_members", "SELECT CAST(i AS VARCHAR) AS value FROM range(20) r(i)")
+@query("s07_tar_members", "SELECT s_name AS value FROM supplier")
 def _(t):
     import tarfile
 
     out = io.BytesIO()
+    data = "\n".join(r.s_name for r in t.supplier.select("s_name").toLocalIterator()).encode()
     with tarfile.open(fileobj=out, mode="w:gz") as z:
         for name in ("urls_x.txt", "other.txt"):
-            data = "\n".join(str(i) for i in range(20)).encode()
             info = tarfile.TarInfo(name)
             info.size = len(data)
             z.addfile(info, io.BytesIO(data))

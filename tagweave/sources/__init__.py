@@ -1,17 +1,15 @@
-"""Readers of the file formats that tag collections come in. Every reader takes any path that Spark reads."""
+"""Readers of the file formats that tag collections come in. Every reader takes any path that Spark reads;
+those of archives any that Python or Arrow opens."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave import functions as fn
+from tagweave.sources.archives import archive_lines
 
 _TEXT = T.StructType([T.StructField("_content", T.StringType())])
 PHOTO = T.StructType(
@@ -113,41 +111,14 @@ def ngrams(text: DataFrame) -> DataFrame:
 
 
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(member, value): lines of the files within zip archives, one archive at a time in a task, read as a stream."""
-
-    def run(batches):
-        for pdf in batches:
-            for content in pdf.content:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(z.namelist()):
-                        yield from _in_parts(name, (x.decode("utf-8", "replace").rstrip("\r\n") for x in z.open(name)))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, value string")
+    """(member, value): lines of the files within zip archives; members are dealt to tasks and read as streams."""
+    return archive_lines(spark, path).select("member", "value")
 
 
 def tar_members(spark: SparkSession, path: str, wanted: str = "") -> DataFrame:
-    """(member, value): lines of the members of tar archives (gz too) whose name holds ``wanted``."""
-
-    def run(batches):
-        for pdf in batches:
-            for content in pdf.content:
-                with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                    for m in t:
-                        if m.isfile() and wanted in m.name:
-                            yield from _in_parts(m.name, (x.decode("utf-8", "replace").rstrip("\r\n") for x in t.extractfile(m)))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, value string")
-
-
-def _in_parts(name: str, rows, size: int = 20_000):
-    part = []
-    for r in rows:
-        part.append(r)
-        if len(part) == size:
-            yield pd.DataFrame({"member": name, "value": part})
-            part = []
-    if part:
-        yield pd.DataFrame({"member": name, "value": part})
+    """(member, value): lines of the members of tar archives (compressed too) whose name holds ``wanted``."""
+    literal = "".join(f"[{c}]" if c in "*?[" else c for c in wanted)
+    return archive_lines(spark, path, f"*{literal}*").select("member", "value")
 
 
 def lemma_list(text: DataFrame) -> DataFrame:
