@@ -83,18 +83,17 @@ def _(t):
     return cooc.ngram_totals(t.ngram, 1998)
 
 
-_FR = """f AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS frame_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) = 4))) AS w FROM conversations),
- fw AS (SELECT frame_id, unnest(w) AS x FROM f),
+_FR = """fw AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS frame_id, raw_tag AS x FROM fx_raw),
  pr AS (SELECT a.frame_id, a.x AS w1, b.x AS w2 FROM fw a JOIN fw b ON a.frame_id = b.frame_id AND a.x < b.x),
- bag AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS frame_id, role AS feat FROM conversations UNION ALL SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), 't' || CAST(turn AS VARCHAR) FROM conversations WHERE turn > 0)"""
+ bag AS (SELECT CAST(o_orderkey AS VARCHAR) AS frame_id, o_orderpriority AS feat FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderstatus FROM orders)"""
 
 
 def _frame_inputs(t):
-    c = t.conversations.withColumn("frame_id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    w = F.filter(fn.words("text"), lambda x: F.length(x) == 4)
-    pairs = c.select("frame_id", F.explode(fn.pairs_of(w)).alias("p")).select("frame_id", "p.w1", "p.w2")
-    bags = c.select("frame_id", F.col("role").alias("feat")).union(c.where("turn > 0").select("frame_id", F.concat(F.lit("t"), F.col("turn").cast("string"))))
-    return pairs, bags
+    """An order is a frame: its parts' words, and its priority and status as features."""
+    w = t.raw.groupBy(F.col("doc_id").cast("string").alias("frame_id")).agg(F.array_sort(F.collect_set("raw_tag")).alias("w"))
+    pairs = w.select("frame_id", F.explode(fn.pairs_of(F.col("w"))).alias("p")).select("frame_id", "p.w1", "p.w2")
+    key = F.col("o_orderkey").cast("string").alias("frame_id")
+    return pairs, t.orders.select(key, F.col("o_orderpriority").alias("feat")).union(t.orders.select(key, "o_orderstatus"))
 
 
 @query("a12_pair_features", f"WITH {_FR} SELECT w1, w2, feat, count(*) AS cnt FROM pr JOIN bag USING (frame_id) GROUP BY ALL")

@@ -41,8 +41,8 @@ def _(t):
     return graph.filter_triples(t.triples, ["economy", "small", "medium", "promo", "standard", "large"], t.scores, t.addl)
 
 
-_STAR = """tr AS (SELECT DISTINCT rel, w1, w2 FROM fx_known WHERE rel IN ('SMALL', 'PROMO')),
- pr AS (SELECT w1, w2, row_number() OVER (ORDER BY score DESC, w1, w2) AS rank FROM fx_scores WHERE w1 < w2), po(rel, dir) AS (VALUES ('SMALL', 'out'), ('PROMO', 'in')),
+_STAR = """tr AS (SELECT DISTINCT rel, w1, w2 FROM fx_known),
+ pr AS (SELECT w1, w2, row_number() OVER (ORDER BY score DESC, w1, w2) AS rank FROM fx_scores WHERE w1 < w2), po(rel, dir) AS (VALUES ('SMALL', 'out'), ('PROMO', 'in'), ('ECONOMY', 'out'), ('LARGE', 'in'), ('MEDIUM', 'out'), ('STANDARD', 'in')),
  bo AS (SELECT rank, 0 AS turned, w1, w2 FROM pr UNION ALL SELECT rank, 1, w2, w1 FROM pr),
  ro AS (SELECT rank, turned, rel, dir, bo.w1 AS root FROM bo JOIN tr USING (w1, w2) JOIN po USING (rel)),
  sd AS (SELECT rel, 'out' AS dir, w1 AS root, w2 AS leaf FROM tr UNION ALL SELECT rel, 'in', w2, w1 FROM tr),
@@ -53,8 +53,8 @@ _STAR = """tr AS (SELECT DISTINCT rel, w1, w2 FROM fx_known WHERE rel IN ('SMALL
 
 def _stars(t):
     pairs = t.scores.where("w1 < w2").select("w1", "w2", F.row_number().over(_order()).alias("rank"))  # at most the square of 16 words
-    policy = t.spark.createDataFrame([("SMALL", "out"), ("PROMO", "in")], "rel string, dir string")
-    return graph.stars(t.known.where("rel in ('SMALL', 'PROMO')"), pairs, policy)
+    ways = [("SMALL", "out"), ("PROMO", "in"), ("ECONOMY", "out"), ("LARGE", "in"), ("MEDIUM", "out"), ("STANDARD", "in")]
+    return graph.stars(t.known, pairs, t.spark.createDataFrame(ways, "rel string, dir string"))
 
 
 def _order():

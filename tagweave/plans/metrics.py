@@ -45,9 +45,14 @@ def _(t):
     return stats.informativeness(t.counts, t.sizes).withColumn("vscore", F.round("vscore", 6))
 
 
-@query("n03_informativeness_sparse", _KL.replace("fx_counts", "few").join(["WITH few AS (SELECT * FROM fx_counts WHERE cnt > 20), ", " SELECT tag, round(vscore, 6) AS vscore FROM kl"]))
+_FEW = "few AS (SELECT wnid, tag || ':' || CAST(user_id % 40 AS VARCHAR) AS tag, count(DISTINCT img_id) AS cnt FROM fx_img_tags GROUP BY ALL)"
+
+
+@query("n03_informativeness_sparse", _KL.replace("fx_counts", "few").join([f"WITH {_FEW}, ", " SELECT tag, round(vscore, 6) AS vscore FROM kl"]))
 def _(t):
-    return stats.informativeness(t.counts.where("cnt > 20"), t.sizes).withColumn("vscore", F.round("vscore", 6))
+    """Tags by part of the users: most concepts lack most of them."""
+    few = t.img_tags.groupBy("wnid", F.concat_ws(":", "tag", (F.col("user_id") % 40).cast("string")).alias("tag")).agg(F.count_distinct("img_id").alias("cnt"))
+    return stats.informativeness(few, t.sizes).withColumn("vscore", F.round("vscore", 6))
 
 
 _CLOS = """cl AS (SELECT DISTINCT * FROM (SELECT parent AS top, child AS node, 1 AS depth FROM fx_edges

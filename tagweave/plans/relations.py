@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagweave.operators import cooc, features, graph, stats
+from tagweave.operators import cooc, features, graph, neighbours, stats
 from tagweave.operators.normalize import small
 from tagweave.plans.registry import query
 
@@ -133,7 +133,7 @@ def _knn(t, k):
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec"))
     b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("vec"))
     # all rows are searched; a query's own row is one of its k + 1 nearest, or as many others are as near
-    others = features.nearest(q, b, k + 1).where("q_id <> b_id").drop("place")
+    others = neighbours.nearest_pruned(q, b, k + 1)[0].where("q_id <> b_id").drop("place")
     return stats.top_in_group(others, ["q_id"], k, "dist", "b_id")
 
 

@@ -141,10 +141,10 @@ def _bytes(t, data: bytes, ending: str) -> str:
     return path
 
 
-@query("s09_lemma_list", "SELECT string, word, is_base FROM fx_dict WHERE length(word) > 3")
+@query("s09_lemma_list", "SELECT string, word, is_base FROM fx_dict")
 def _(t):
     # one line of forms below each base word, in one file
-    d = t.dictionary.where(F.length("word") > 3)
+    d = t.dictionary
     text = d.select("word", F.when(F.col("is_base") == 1, F.col("word")).otherwise(F.concat(F.lit("    "), "string", F.lit(" -> ["), "word", F.lit("]"))).alias("value"), "is_base")
     path = _lines(t, text.coalesce(1).orderBy("word", F.desc("is_base")).select("value").coalesce(1))
     return src.lemma_list(src.numbered_lines(t.spark, path)).select("string", "word", "is_base")
@@ -250,10 +250,10 @@ def _(t):
     return sinks.upsert_counts(t.uni, new, ["tag"])
 
 
-@query("k03_overwrite_table", "SELECT wnid, tag, cnt FROM fx_counts WHERE cnt > 1")
+@query("k03_overwrite_table", "SELECT wnid, tag, cnt FROM fx_counts")
 def _(t):
     path = _folder(t)
-    c = t.counts.where("cnt > 1")
+    c = t.counts
     for _ in range(2):  # the second run replaces the first one's rows
         c.write.mode("overwrite").partitionBy("wnid").parquet(path)
     return t.spark.read.schema("tag string, cnt long, wnid string").parquet(path).select("wnid", "tag", "cnt")
@@ -277,14 +277,19 @@ def _(t):
     return t.spark.read.schema("w1 string, w2 string, weight double, rel string").parquet(path).select("rel", "w1", "w2", "weight")
 
 
-@query("k06_graphml_lines", "WITH t AS (SELECT w1, w2 FROM fx_triples WHERE rel = 'SMALL') SELECT '<graphml xmlns=\"http://graphml.graphdrafting.org/xmlns\"><graph edgedefault=\"directed\">' AS value UNION ALL SELECT '<node id=\"' || n || '\"/>' FROM (SELECT w1 AS n FROM t UNION SELECT w2 FROM t) UNION ALL SELECT '<edge source=\"' || w1 || '\" target=\"' || w2 || '\"/>' FROM t UNION ALL SELECT '</graph></graphml>'")
+@query("k06_graphml_lines", "WITH t AS (SELECT rel, w1, w2 FROM fx_triples), r AS (SELECT DISTINCT rel FROM t) SELECT rel, '<graphml xmlns=\"http://graphml.graphdrafting.org/xmlns\"><graph edgedefault=\"directed\">' AS value FROM r UNION ALL SELECT rel, '<node id=\"' || n || '\"/>' FROM (SELECT rel, w1 AS n FROM t UNION SELECT rel, w2 FROM t) UNION ALL SELECT rel, '<edge source=\"' || w1 || '\" target=\"' || w2 || '\"/>' FROM t UNION ALL SELECT rel, '</graph></graphml>' FROM r")
 def _(t):
-    return sinks.graphml(t.triples, "SMALL")
+    """A graph for each relation, of which there are a handful."""
+    out = None
+    for r in sorted(r.rel for r in t.triples.select("rel").distinct().collect()):
+        one = sinks.graphml(t.triples, r).select(F.lit(r).alias("rel"), "value")
+        out = one if out is None else out.union(one)
+    return out
 
 
-@query("k07_export_triples", "SELECT rel || ',' || w1 || ',' || w2 AS value FROM fx_triples WHERE weight > 2")
+@query("k07_export_triples", "SELECT rel || ',' || w1 || ',' || w2 AS value FROM fx_triples")
 def _(t):
-    return t.triples.where("weight > 2").select(F.concat_ws(",", "rel", "w1", "w2").alias("value"))
+    return t.triples.select(F.concat_ws(",", "rel", "w1", "w2").alias("value"))
 
 
 @query("k08_score_json", "SELECT '{\"word\":\"' || tag || '\",\"x\":[' || CAST(freq AS VARCHAR) || ',' || CAST(freq % 7 AS VARCHAR) || '],\"cnt\":' || CAST(freq AS VARCHAR) || ',\"ifm\":' || CAST(freq % 7 AS VARCHAR) || '}' AS value FROM fx_uni")
