@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.session import stage_table
+from tagweave.session import drop_stage, stage_table
 
 
 def from_features(features: DataFrame, min_edges: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -94,36 +94,69 @@ def stars(triples: DataFrame, pairs: DataFrame, policy: DataFrame) -> DataFrame:
     return one.select(ident.alias("graph_id"), "rel", "root", "dir", (F.size("leaves") + 1).cast("long").alias("size"), F.explode("leaves").alias("leaf"))
 
 
+def peeling_order(edges: DataFrame, share: float = 2.2) -> DataFrame:
+    """(rel, a, round): when each node of undirected edges (rel, a, b), given both ways, is peeled off.
+
+    In each round all nodes go whose degree is at most ``share`` times half the
+    mean of what is left of their relation. That is a share of the nodes, so
+    rounds are few, and a node has at most about ``share`` times the graph's
+    degeneracy of neighbours that go with it or later.
+    """
+    left, out, r = stage_table(edges.select("rel", "a", "b"), "left"), None, 0
+    while left.take(1):
+        degree = left.groupBy("rel", "a").agg(F.count(F.lit(1)).alias("d"))
+        mean = degree.groupBy("rel").agg((F.avg("d") * share / 2).alias("m"))
+        gone = stage_table(degree.join(mean, "rel").where("d <= m").select("rel", "a", F.lit(r).alias("round")), "peeled")
+        out = gone if out is None else out.union(gone)
+        own = gone.select("rel", "a")
+        new = stage_table(left.join(own, ["rel", "a"], "left_anti").join(own.withColumnRenamed("a", "b"), ["rel", "b"], "left_anti").select("rel", "a", "b"), "left")
+        # nodes that lose their last neighbour go with the next round
+        alone = left.select("rel", "a").distinct().join(own, ["rel", "a"], "left_anti").join(new.select("rel", "a").distinct(), ["rel", "a"], "left_anti")
+        out = out.union(stage_table(alone.select("rel", "a", F.lit(r + 1).alias("round")), "peeled"))
+        drop_stage(left)
+        left, r = new, r + 1
+    drop_stage(left)
+    return out if out is not None else edges.select("rel", "a", F.lit(0).alias("round")).limit(0)
+
+
 def cliques(triples: DataFrame, pairs: DataFrame, min_size: int = 3) -> DataFrame:
     """(rel, w1, w2, size, members): the largest clique with both words of each pair, edges taken without direction.
 
-    A clique with w1 and w2 lies in their common neighbourhood, so only that is
-    gathered for each pair (its size is bounded by the smaller degree), and
-    searched with pivoting. The first in order wins among equals.
+    A clique with w1 and w2 lies in their common neighbourhood. Nodes are put in
+    the order in which the graph peels, and every clique is looked for at its
+    first node, among the neighbours of that which come later: so the
+    neighbourhood of a pair of hubs is one small group for each of its nodes,
+    about the graph's degeneracy wide, instead of one of squared size. Groups
+    are searched with pivoting. The first in order wins among equals.
     """
     e = triples.select("rel", F.col("w1").alias("a"), F.col("w2").alias("b"))
-    e = e.union(e.select("rel", "b", "a")).where("a <> b").distinct()
+    e = stage_table(e.union(e.select("rel", "b", "a")).where("a <> b").distinct(), "edges")
+    order = stage_table(peeling_order(e).select("rel", F.col("a").alias("n"), F.struct("round", "a").alias("o")), "order")
+    turned = e.join(order.toDF("rel", "a", "oa"), ["rel", "a"]).join(order.toDF("rel", "b", "ob"), ["rel", "b"]).where("oa < ob")
+    turned = stage_table(turned.select("rel", "a", "b"), "turned")
     seeds = pairs.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")).distinct().join(e.toDF("rel", "w1", "w2"), ["w1", "w2"])
     n1, n2 = e.toDF("rel", "w1", "c"), e.toDF("rel", "w2", "c")
-    common = seeds.join(n1, ["rel", "w1"]).join(n2, ["rel", "w2", "c"]).select("rel", "w1", "w2", "c")
-    x, y = common, common.withColumnRenamed("c", "d")
-    inner = x.join(y, ["rel", "w1", "w2"]).where("c < d").join(e.toDF("rel", "c", "d"), ["rel", "c", "d"], "left_semi")
-    rows = common.select("rel", "w1", "w2", "c", F.lit(None).cast("string").alias("d")).unionByName(inner.select("rel", "w1", "w2", "c", "d"))
+    common = stage_table(seeds.join(n1, ["rel", "w1"]).join(n2, ["rel", "w2", "c"]).select("rel", "w1", "w2", "c"), "common")
+    pair = ["rel", "w1", "w2"]
+    later = common.join(turned.toDF("rel", "c", "d"), ["rel", "c"]).join(common.withColumnRenamed("c", "d"), [*pair, "d"], "left_semi").select(*pair, "c", "d")
+    inner = later.join(turned.toDF("rel", "d", "f"), ["rel", "d"]).join(later.withColumnRenamed("d", "f"), [*pair, "c", "f"], "left_semi")
+    none = F.lit(None).cast("string")
+    rows = common.select(*pair, "c", none.alias("d"), none.alias("f")).unionByName(later.select(*pair, "c", "d", none.alias("f"))).unionByName(inner.select(*pair, "c", "d", "f"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf.c))
-        near = {n: set() for n in nodes}
-        for c, d in zip(pdf.c, pdf.d):
-            if isinstance(d, str):
-                near[c].add(d)
-                near[d].add(c)
+        near: dict[str, set] = {d: set() for d in pdf.d if isinstance(d, str)}
+        for d, f in zip(pdf.d, pdf.f):
+            if isinstance(f, str):
+                near[d].add(f)
+                near[f].add(d)
+        r = pdf.iloc[0]
         top: list[str] = []
-        stack = [([], set(nodes), set())]
+        stack = [([], set(near), set())]
         while stack:
             have, cand, done = stack.pop()
             if not cand and not done:
-                if len(have) > len(top) or len(have) == len(top) and sorted(have) < top:
-                    top = sorted(have)
+                if len(have) > len(top) or len(have) == len(top) and sorted([r.c, *have]) < sorted([r.c, *top]):
+                    top = have
                 continue
             if len(have) + len(cand) < len(top):
                 continue
@@ -131,12 +164,14 @@ def cliques(triples: DataFrame, pairs: DataFrame, min_size: int = 3) -> DataFram
             for n in sorted(cand - near[pivot]):
                 stack.append(([*have, n], cand & near[n], done & near[n]))
                 cand, done = cand - {n}, done | {n}
-        r = pdf.iloc[0]
-        members = sorted({r.w1, r.w2, *top})
-        return pd.DataFrame([[r.rel, r.w1, r.w2, len(members), ",".join(members)]], columns=["rel", "w1", "w2", "size", "members"])
-
-    got = rows.groupBy("rel", "w1", "w2").applyInPandas(best, "rel string, w1 string, w2 string, size long, members string")
-    return got.where(F.col("size") >= min_size)
+        inside = sorted([r.c, *top])
+        return pd.DataFrame([[r.rel, r.w1, r.w2, len(inside), inside]], columns=[*pair, "size", "inside"])
+
+    got = rows.groupBy(*pair, "c").applyInPandas(best, "rel string, w1 string, w2 string, size long, inside array<string>")
+    first = got.groupBy(*pair).agg(F.min(F.struct((-F.col("size")).alias("n"), "inside")).alias("t"))
+    members = F.array_sort(F.concat(F.array("w1", "w2"), "t.inside"))
+    out = first.select(*pair, (2 - F.col("t.n")).alias("size"), F.array_join(members, ",").alias("members"))
+    return out.where(F.col("size") >= min_size)
 
 
 def triangles(triples: DataFrame) -> DataFrame:
