@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tagweave import functions as fn
@@ -31,6 +33,21 @@ def _(t):
     return cooc.merge_counts(*shards, keys=["event_type", "k"])
 
 
+@query("a03_merge_once", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS freq FROM events GROUP BY ALL")
+def _(t):
+    """Four shards, two of them twice and one under two names: counts are those of all rows once."""
+    from tagweave.operators.ledger import CountStore
+    from tagweave.session import shared_folder
+
+    e = t.events.select((F.col("event_id") % 4).cast("string").alias("shard"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    shards = e.groupBy("shard", "event_type", "k").agg(F.count(F.lit(1)).alias("freq"))
+    store = CountStore(t.spark, f"{shared_folder(t.spark)}/tagweave-store-{uuid.uuid4().hex}", ["event_type", "k"], kinds=["string", "long"])
+    store.merge(shards.where("shard < 2"))
+    store.merge(shards.union(shards.where("shard = 3").withColumn("shard", F.lit("again"))))
+    store.merge(shards)
+    return store.counts()
+
+
 @query("a04_users_of_tags", "SELECT wnid, tag, cnt FROM fx_counts")
 def _(t):
     return t.counts
