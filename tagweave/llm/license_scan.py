@@ -1,15 +1,23 @@
 """Licence notices by exact phrases and by fuzzy search for short notices.
 
 A notice with up to k edits, cut into k + 1 parts, still has one part unchanged
-(pigeonhole), so places of exact parts are the only candidates. Around each,
-the ``regex`` library's bounded-error matching finds the best match of at most
-k edits and its span. Texts are compared as words joined by blanks, so line
-breaks, punctuation and case don't matter.
+(pigeonhole), so places of exact parts are the only candidates. A match is made
+of whole words: around each candidate, windows that begin and end with a word
+within k characters of where the notice would are tested by the ``regex``
+library's bounded-error matching, which gives the least edits and the span.
+
+Edits may not swallow the words that tell notices apart: every word of a notice
+but function words has to be there within a third of its letters. Of matches of
+different labels one inside another, only the better one counts. Texts are
+compared as words joined by blanks, so line breaks, punctuation and case don't
+matter.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -76,12 +84,16 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved", 2),
 )
 
+# Words that a notice may lack or change within its edits.
+FUNCTION_WORDS = frozenset("a an and any as be by can for from hereby in into is it no of or that the this to will with without you 0 2".split())
+
 
 @dataclass(frozen=True)
 class Notice:
     text: str
     label: str
     edits: int
+    telling: tuple[bytes, ...]  # words that have to be there
     seeds: tuple[tuple[bytes, int], ...]  # parts and their offsets
     pattern: object
 
@@ -116,7 +128,8 @@ def notices(rows=NOTICES) -> Notices:
     for text, label, edits in rows:
         at = np.linspace(0, len(text), edits + 2).astype(int)
         seeds = tuple((text[a:z].encode(), int(a)) for a, z in zip(at, at[1:]))
-        out.append(Notice(text, label, edits, seeds, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")))
+        telling = tuple(w.encode() for w in text.split() if w not in FUNCTION_WORDS)
+        out.append(Notice(text, label, edits, telling, seeds, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")))
     return Notices(out)
 
 
@@ -127,35 +140,101 @@ def _places(text: bytes, part: bytes):
         at = text.find(part, at + 1)
 
 
-def fuzzy_spans(text: bytes, wanted: list[Notice]) -> list[tuple[str, int, int, int, float]]:
-    """(label, first byte, end byte, edits, likeness) of matches in words joined by blanks; none overlap for one notice."""
-    out, seen = [], {}
+def distance(a: bytes, b: bytes, most: int) -> int:
+    """Edits between two words, or ``most`` + 1 if there are more."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row[-1], most + 1)
+
+
+@lru_cache(1 << 16)
+def resembles(word: bytes, wanted: bytes) -> bool:
+    """Whether ``word`` is ``wanted`` with at most a third of its letters edited, one at least."""
+    most = max(1, len(wanted) // 3)
+    return distance(word, wanted, most) <= most
+
+
+def tells(n: Notice, window: bytes) -> bool:
+    """Whether a window has all words that tell the notice, each as a word or as two that a blank parts."""
+    words = window.split(b" ")
+    words += [a + b for a, b in zip(words, words[1:])]
+    return all(t in words or any(resembles(w, t) for w in words) for t in n.telling)
+
+
+def _windows(n: Notice, spots: list[int], starts: np.ndarray, ends: np.ndarray):
+    """(begin, end) of whole words that begin and end within the edits of where the notice would at each spot."""
+    done = set()
+    k, length = n.edits, len(n.text)
+    for spot in spots:
+        first = starts[np.searchsorted(starts, spot - k) : np.searchsorted(starts, spot + k, "right")].tolist()
+        if not first:
+            continue
+        last = ends[np.searchsorted(ends, spot + length - k) : np.searchsorted(ends, spot + length + k, "right")].tolist()
+        for a in first:
+            for z in last:
+                if abs(z - a - length) <= k and (a, z) not in done:
+                    done.add((a, z))
+                    yield a, z
+
+
+def fuzzy_spans(text: bytes, wanted: list[Notice], starts: np.ndarray | None = None) -> list[tuple[str, int, int, int, float]]:
+    """(label, first byte, end byte, edits, likeness) of matches in words joined by blanks.
+
+    Those of one notice don't overlap: the one of fewest edits stays, the first
+    of several. One that lies inside a match of another label that is at least
+    as like its notice goes.
+    """
     wanted = wanted if isinstance(wanted, Notices) else Notices(wanted)
+    if starts is None:
+        starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1])
+    ends = np.append(starts[1:] - 1, len(text))
+    out, seen = [], {}
     for i, spots in sorted(wanted.spots(text).items()):
-        n, spots = wanted[i], sorted(spots)
-        last_end = -1
-        done_upto = -1
-        for spot in spots:
-            a, z = max(0, spot - n.edits, last_end), spot + len(n.text) + n.edits
-            if z <= done_upto or z <= a or a >= len(text):
-                continue
-            while a > 0 and text[a] & 0xC0 == 0x80:  # not within a character
-                a -= 1
-            piece = text[a:z].decode("utf-8", "ignore")
-            # texts that repeat themselves ask for the same piece again
-            known = seen.get((n.text, piece))
-            if known is None:
-                m = n.pattern.search(piece)
-                known = (len(piece[: m.start()].encode()), len(m.group().encode()), sum(m.fuzzy_counts)) if m else ()
+        n, found = wanted[i], []
+        for a, z in _windows(n, sorted(spots), starts, ends):
+            window = text[a:z]
+            # texts that repeat themselves ask for the same window again
+            edits = seen.get((i, window))
+            if edits is None:
+                m = n.pattern.fullmatch(window.decode("utf-8", "replace")) if tells(n, window) else None
+                edits = sum(m.fuzzy_counts) if m else -1
                 if len(seen) >= 10_000:
                     seen.clear()
-                seen[n.text, piece] = known
-            if not known:
+                seen[i, window] = edits
+            if edits >= 0:
+                found.append((edits, a, z))
+        taken: list[tuple[int, int]] = []
+        for edits, a, z in sorted(found):
+            at = bisect(taken, (a, z))
+            if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < z):
                 continue
-            begin, end, edits = a + known[0], a + known[0] + known[1], known[2]
-            out.append((n.label, begin, end, edits, 1 - edits / len(n.text)))
-            last_end = done_upto = end
-    return out
+            taken.insert(at, (a, z))
+            out.append((n.label, a, z, edits, 1 - edits / len(n.text)))
+    return _outermost(out)
+
+
+def _outermost(spans: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, int, int, float]]:
+    """Spans without those inside one of another label that is as like its notice or more; of equal spans the one more like its notice."""
+    spans = sorted(spans, key=lambda s: (s[1], -s[2]))
+    kept, open_ = [], []
+    for s in spans:
+        open_ = [o for o in open_ if o[2] > s[1]]
+        if not any(o[0] != s[0] and o[2] >= s[2] and (o[4] > s[4] or o[4] == s[4] and o[1:3] != s[1:3]) for o in open_):
+            kept.append(s)
+        open_.append(s)
+    # a span of the same words that came earlier may be the worse one
+    best = {}
+    for s in kept:
+        best[s[1:3]] = max(best.get(s[1:3], 0.0), s[4])
+    return sorted((s for s in kept if s[4] == best[s[1:3]]), key=lambda s: (s[1], s[2], s[0]))
 
 
 def scan(text: str | None, wanted: list[Notice], base=BASE) -> tuple:
@@ -174,11 +253,10 @@ def scan(text: str | None, wanted: list[Notice], base=BASE) -> tuple:
             places += np.searchsorted(starts, hits).tolist()
             found.add(label)
     spans, score = [], 1.0 if found else 0.0
-    for label, a, z, edits, likeness in fuzzy_spans(joined, wanted):
+    for label, a, z, edits, likeness in fuzzy_spans(joined, wanted, starts):
         labels.add(label)
         score = max(score, likeness)
-        first = int(np.searchsorted(starts, a + (joined[a : a + 1] == b" "), "right")) - 1
-        spans.append((label, first, int(np.searchsorted(starts, z)), edits, joined[a:z].decode("utf-8", "ignore")))
+        spans.append((label, int(np.searchsorted(starts, a)), int(np.searchsorted(starts, z)), edits, joined[a:z].decode("utf-8", "replace")))
     lists = [",".join(sorted(x)) for x in (found, found | labels)]
     return len(words), len(places), min(places, default=None), max(places, default=None), *lists, score, spans
 

@@ -32,34 +32,71 @@ def test_base_matches_brute_force():
 
 
 def edits(a, b):
-    """Least edits between a and any part of b."""
-    row = [0] * (len(b) + 1)
+    """Least edits between a and b."""
+    row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
         row = new
-    return min(row)
+    return row[-1]
+
+
+def matches(n, words):
+    """(edits, first, end) of all windows of whole words that are the notice within its edits and have its telling words."""
+    out = []
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            window = " ".join(words[i:j])
+            if len(window) > len(n.text) + n.edits:
+                break
+            if len(window) < len(n.text) - n.edits:
+                continue
+            own = words[i:j] + [a + b for a, b in zip(words[i:j], words[i + 1 : j])]
+            if all(any(edits(w, t) <= max(1, len(t) // 3) for w in own) for t in n.text.split() if t not in ls.FUNCTION_WORDS):
+                if (e := edits(n.text, window)) <= n.edits:
+                    out.append((e, i, j))
+    return out
 
 
 def test_fuzzy_matches_edit_distance():
-    """A notice is found exactly where the edit distance allows it, whatever the seeds."""
+    """A notice is found exactly where the edit distance of whole words allows it, whatever the seeds."""
     wanted = ls.notices()
     import random
 
     r = random.Random(4)
     for n in wanted:
-        for _ in range(6):
+        for _ in range(5):
             s = list(n.text)
-            for _ in range(r.randint(0, n.edits + 3)):
+            for _ in range(r.randint(0, n.edits + 2)):
                 k = r.randrange(len(s))
-                s[k : k + 1] = r.choice([[], [s[k], "x"], ["y"]])
-            text = "some words " + "".join(s) + " and more"
-            joined = " ".join(WORD.findall(text))
-            found = [x for x in ls.fuzzy_spans(joined.encode(), [n])]
-            assert bool(found) == (edits(n.text, joined) <= n.edits), text
-            for label, a, z, e, likeness in found:
-                assert e <= n.edits and edits(n.text, joined[a:z]) <= e and 0 < likeness <= 1
+                s[k : k + 1] = r.choice([[], [s[k], "x"], ["y"], [" "], [s[k], " "]])
+            words = WORD.findall("some words " + "".join(s) + " and more")
+            want = matches(n, words)
+            found = ls.fuzzy_spans(" ".join(words).encode(), [n])
+            assert bool(found) == bool(want), words
+            assert min((x[3] for x in found), default=None) == min((x[0] for x in want), default=None)
+
+
+def test_words_that_tell_notices_apart_are_not_edited_away():
+    wanted = ls.notices()
+    for text, labels in [
+        ("GNU Lesser General Public License v3", "lgpl"), ("GNU Affero General Public License", "agpl"), ("The general public license of the city", ""),
+        ("Library General Public License", ""), ("gnu library general public license", "lgpl"), ("the gnu general public licence", "gpl"), ("gnus general public license", "gpl"),
+        ("the common public license and the mozila public license", "cpl,mpl"), ("Eclipse Distribution License", "edl"), ("wit license", ""), ("european union public license", "eupl"),
+        ("the boast software license", "bsl-1.0"), ("our open hardware license", ""), ("ungnu generally public licenses", ""),
+    ]:
+        assert ls.scan(text, wanted)[5] == labels, text
+
+
+def test_many_seeds_take_little():
+    import time
+
+    wanted = ls.notices()
+    text = " ".join(f"public licen{i % 7} general{i}" for i in range(20_000))
+    began = time.process_time()
+    ls.scan(text, wanted)
+    assert time.process_time() - began < 6
 
 
 def test_labels():
@@ -71,6 +108,7 @@ def test_labels():
     assert got["nothing to see"][3:7] == (None, "", "", 0.0)
     assert got["all rigths reserved"][5] == "all-rights-reserved"
     assert got["Licensed under CC BY-NC 4.0."][4:7] == ("cc-by", "cc-by", 1.0)
+    assert got["Licensed under CC BY-NC 4.0."][7][0][:4] == ("cc-by", 0, 4, 0)
     spans = got["gnu general publik license here"][7]
     assert spans == [("gpl", 0, 4, 1, "gnu general publik license")]
 
@@ -96,29 +134,28 @@ def test_places_are_found_in_proportion():
 
 
 def test_every_notice_within_its_edits_is_labelled():
-    """Labels against a search of the whole text that uses no seeds; spans name the words they cover."""
+    """Labels against all windows of whole words; spans name the words they cover."""
     import random
 
-    import regex
-
     r, wanted = random.Random(7), ls.notices()
-    for t in fixtures.texts(9, 25):
-        for n in r.sample(wanted, 4):
+    for t in fixtures.texts(9, 10):
+        for n in r.sample(wanted, 3):
             s = list(n.text)
             for _ in range(r.randint(0, n.edits + 1)):
                 s[r.randrange(len(s))] = r.choice(["", "q", " "])
             t = (t or "") + " " + "".join(s) + " " + r.choice(["", n.text])
-        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        if len(words) > 2000:
-            continue
-        joined = " ".join(words)
-        want = {n.label for n in wanted if regex.search(f"(?:{n.text}){{e<={n.edits}}}", joined)}
-        got = ls.scan(t, wanted)
-        assert set(filter(None, got[5].split(","))) == want | set(filter(None, got[4].split(",")))
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))[-60:]
+        every = [(n.label, i, j, 1 - e / len(n.text)) for n in wanted for e, i, j in matches(n, words)]
+        got = ls.scan(" ".join(words), wanted)
+        labels = set(filter(None, got[5].split(",")))
+        assert labels - set(filter(None, got[4].split(","))) <= {x[0] for x in every}
+        # a label that is missing only matched inside a better match of another one
+        for label, i, j, like in every:
+            assert label in labels or any(o != label and a <= i and z >= j and l >= like for o, a, z, l in every), (label, words[i:j])
         for label, first, end, e, text in got[7]:
-            assert text.strip() in " ".join(words[first:end]) and end - first <= len(text.split()) + 1
+            assert text == " ".join(words[first:end])
 
 
 def test_a_match_after_another_is_kept():
-    twice = "all rights reserved" + "all rights reserved"
-    assert len([s for s in ls.scan(twice, ls.notices())[7] if s[0] == "all-rights-reserved"]) == 2
+    twice = "all rights reserved all rights reserved. all rights reserve"
+    assert [s[1:4] for s in ls.scan(twice, ls.notices())[7] if s[0] == "all-rights-reserved"] == [(0, 3, 0), (3, 6, 0), (6, 9, 1)]
