@@ -15,6 +15,7 @@ Each piece then finds its place from its rank among those of its length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -40,23 +41,42 @@ _UNSAFE = re.compile(f"[^{_LETTERS}0-9{_MARKS} \\t\\n\\r\\f\\v]")
 _SPLIT = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 
 
+# The steps of a tokenizer file that the splitting above repeats. Texts for any other file are encoded as they are.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_alike(spec: dict) -> bool:
+    """Whether the splitting above is that of a tokenizer file; tokens that are looked for before it have to hold ``<`` or ``'``."""
+    added = all(_UNSAFE.search(t["content"]) for t in spec.get("added_tokens") or [])
+    return spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _PRE_TOKENIZER and added and spec["model"]["type"] == "BPE"
+
+
 class Ids:
-    """Token ids of texts as little-endian 32-bit numbers, by ``tokenizers``, remembering distinct words."""
+    """Token ids of texts as little-endian 32-bit numbers, by ``tokenizers``, remembering distinct words where the file allows it."""
 
     def __init__(self, path: str, end_id: int = 0, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = splits_alike(json.load(f))
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memory = memory
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for word, i in vocabulary.items():
             self.closes[i] = word.endswith("</w>")
         # words are told apart by the ids that close one; without such ids each word is encoded by itself
-        self.marked = bool(self.closes.any()) and self.tok.model.end_of_word_suffix == "</w>"
+        self.marked = self.by_words and bool(self.closes.any()) and self.tok.model.end_of_word_suffix == "</w>"
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > self.memory:
@@ -83,6 +103,9 @@ class Ids:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, then the end id."""
+        if not self.by_words:
+            got = self.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() + self.end for e in got]
         split = [None if t and _UNSAFE.search(t) else _SPLIT.findall((t or "").lower()) for t in texts]
         missing = set().union(*(s for s in split if s)) - self.known.keys()
         if missing:
@@ -279,7 +302,7 @@ def pack_documents(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file on every machine. Null
+    ``tokenizer`` is the path of a ``tokenizers`` file of any kind on every machine. Null
     texts are empty: one piece that holds the end id alone. Repeated rows are
     packed each; rows without an id keep a null one. Long texts are tokenised
     whole and cut into pieces of ``size``; pieces of one length tie, by task and

@@ -111,3 +111,25 @@ def test_whole_table(spark, sf):
 
 def test_empty(spark):
     assert packing.pack_documents(fixtures.empty(spark), PATH).collect() == []
+
+
+def test_any_tokenizer_file_is_honoured(tmp_path):
+    """Cased words, another pre-tokenizer, and bytes: the ids are those of the file itself."""
+    import public_tokenizers
+    from tokenizers import AddedToken, models, pre_tokenizers
+
+    words = Tokenizer(models.WordLevel({"?": 0, "The": 1, "the": 2, "cat": 3, ".": 4, "Cat.": 5}, unk_token="?"))
+    words.pre_tokenizer = pre_tokenizers.Whitespace()
+    words.save(str(tmp_path / "words.json"))
+    blanks = Tokenizer(models.WordLevel({"?": 0, "The": 1, "Cat.": 2}, unk_token="?"))
+    blanks.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    blanks.save(str(tmp_path / "blanks.json"))
+    more = Tokenizer.from_file(PATH)
+    more.add_tokens([AddedToken("cat food", normalized=False)])
+    more.save(str(tmp_path / "more.json"))
+    texts = ["The cat. The Cat.", None, "", "the cat food", "It's 12 <|endoftext|>", *fixtures.texts()[:40]]
+    for path in (tmp_path / "words.json", tmp_path / "blanks.json", tmp_path / "more.json", public_tokenizers.path("byte_bpe_50k.json")):
+        tok, ids = Tokenizer.from_file(str(path)), packing.Ids(str(path), 7)
+        assert not ids.by_words
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == [[*tok.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert packing.Ids(PATH).by_words
