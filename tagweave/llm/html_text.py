@@ -3,8 +3,10 @@
 A tokenizer and a builder of open elements (with the usual implied end tags)
 drive a renderer: hidden elements say nothing, blocks are kept apart by line
 breaks or blank lines, list items get bullets or numbers with indentation, and
-table cells are aligned in columns, as their spans over columns and rows say. All visible text is kept, navigation and
-footers included.
+table cells are aligned in columns, as their spans over columns and rows say. All
+visible text is kept, navigation and footers included. What a closed ``details``
+holds beside its summary isn't visible; ``visibility`` is inherited, and an
+element within a hidden one can be visible again.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import html as _html
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +56,10 @@ _BARRIER = {
 _HEAD_ONLY = frozenset("html head title meta link base style script noscript template".split())
 
 
+#: Blanks that are shown before a line at most, however deep its list.
+INDENT = 60
+
+
 class _Lines:
     """Text with pending line breaks; blanks are collapsed unless text is preformatted."""
 
@@ -88,7 +95,7 @@ class _Lines:
         if self.empty or self.breaks:
             if not self.empty:
                 self.parts.append("\n" * self.breaks)
-            lead = " " * self.indent
+            lead = " " * min(self.indent, INDENT)
             if self.mark:
                 lead = lead[: max(0, len(lead) - len(self.mark))] + self.mark
                 self.mark = ""
@@ -108,77 +115,78 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-#: Aligned tables may be this many times as long as their text; others have two blanks between cells.
-PADDING = 4
-#: Columns that one cell may span.
-SPAN = 1000
+#: Characters of the widest cell that a column makes room for, place in a line up to which columns are aligned,
+#: columns that one cell may span and that cells may hold in the rows below, and how deep tables are laid out as such.
+COLUMN, LINE, SPAN, TABLE_DEPTH = 80, 400, 1000, 20
 
 
 def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, str]]]:
     """(column, text) of the cells of each row; cells that span rows keep their columns in the rows below."""
-    out, held = [], []  # held: (first column, end column, rows still to come)
-    for row in rows:
-        column, i, line, new = 0, 0, [], []
+    out, upto, last = [], np.zeros(SPAN + 1, np.int64), 0  # upto: the row at which each column is free again
+    for r, row in enumerate(rows):
+        column, line, held = 0, [], []
         for text, across, down in row:
-            while i < len(held) and held[i][0] <= column:
-                column = max(column, held[i][1])
-                i += 1
+            if r < last and column < SPAN:
+                column += int(np.argmax(upto[column:] <= r))  # beyond the last column all are free
             line.append((column, text))
             if down > 1:
-                new.append((column, column + across, down))
+                held.append((column, column + across, r + down))
             column += across
         out.append(line)
-        if held or new:
-            held = sorted((a, z, n - 1) for a, z, n in [*((a, z, n) for a, z, n in held), *new] if n > 1)
+        for a, z, end in held:
+            upto[a : min(z, SPAN)] = end
+            last = max(last, end)
     return out
 
 
 def _table(rows: list[list[tuple[str, int, int]]]) -> str:
     """Rows of (text, columns, rows it spans): columns aligned, two blanks apart.
 
-    A row with a cell of several lines is shown cell below cell, so that words
-    stay in order. Columns are as wide as their widest one-line cell, unless
-    padding would make the table much longer than its text.
+    Each cell begins at its column, on the line where the cell before it ended,
+    so words stay in the page's order when cells have several lines. A column
+    is as wide as the widest line in it of at most ``COLUMN`` characters; a
+    longer one pushes what follows in its row. Columns that would begin beyond
+    ``LINE`` are two blanks apart, so padding is bounded for each row.
     """
-    grid = _placed(rows)
-    flat = [not any("\n" in text for _, text in line) for line in grid]
+    grid = [[(k, text.split("\n")) for k, text in line] for line in _placed(rows)]
     wide: dict[int, int] = {}
-    text_size = padded = 0
-    for line, one in zip(grid, flat):
-        for k, text in line if one else ():
-            n = _width(text)
-            wide[k] = max(wide.get(k, 0), n)
-            text_size += n + 2
+    for line in grid:
+        for k, lines in line:
+            wide[k] = max([wide.get(k, 0), *(n for n in map(_width, lines) if n <= COLUMN)])
     at, begin = 0, {}
     for k in sorted(wide):
         begin[k] = at
-        at += wide[k] + 2
-    for line, one in zip(grid, flat):
-        full = [k for k, text in line if text] if one else []
-        padded += begin[full[-1]] + wide[full[-1]] if full else 0
-    aligned = padded <= PADDING * text_size
+        at = min(at + wide[k] + 2, LINE)
     out = []
-    for line, one in zip(grid, flat):
-        if not one:
-            out += [text for _, text in line if text]
-        elif not aligned:
-            out.append("  ".join(text for _, text in line if text))
-        else:
-            parts, at = [], 0
-            for k, text in line:
-                if text:
-                    parts += [" " * (begin[k] - at), text]
-                    at = begin[k] + _width(text)
-            out.append("".join(parts))
-    return "\n".join(x for x in out if x.strip())
+    for line in grid:
+        parts, end = [], 0
+        for k, lines in line:
+            if lines == [""]:
+                continue
+            if parts and lines[0]:
+                gap = max(2, begin[k] - end) if end else begin[k]
+            else:
+                gap = begin[k]
+            for i, one in enumerate(lines):
+                if i:
+                    parts.append("\n")
+                    end, gap = 0, begin[k]
+                if one:
+                    parts += [" " * gap, one]
+                    end += gap + _width(one)
+        text = "".join(parts)
+        if text.strip():
+            out.append(text)
+    return "\n".join(out)
 
 
 class Renderer:
     def __init__(self):
-        self.open: list[tuple[str, bool]] = []  # element, and whether it hides its contents
+        # element, what it adds to the hidden ones while it is open, whether that is a closed details, and whether text was invisible before
+        self.open: list[tuple[str, int, bool, bool]] = []
         self.at: dict[str, list[int]] = {}  # where each element is open
         self.blocks: list[int] = []  # where blocks other than paragraphs are open
-        self.hidden, self.pre = 0, 0
+        self.hidden, self.pre, self.invisible, self.flat = 0, 0, False, 0
         self.page = _Lines()
         self.lines = [self.page]
         self.lists: list[list] = []  # [kind, number, indent]
@@ -191,7 +199,7 @@ class Renderer:
             self._end_implied(tag, ends)
         if self.open and self.open[-1][0] == "head" and tag not in _HEAD_ONLY:
             self.close_to(len(self.open) - 1)
-        hides = tag in HIDDEN or (bool(attrs) and _hides(tag, attrs))
+        hides = int(tag in HIDDEN or (bool(attrs) and _hides(tag, attrs)))
         if tag in VOID:
             if not self.hidden and not hides:
                 self._void(tag)
@@ -199,10 +207,16 @@ class Renderer:
         self.at.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK and tag != "p":
             self.blocks.append(len(self.open))
-        self.open.append((tag, hides))
+        if tag == "summary" and self.open and self.open[-1][2]:
+            hides -= 1  # what its details hides is not the summary
+        closed = tag == "details" and not hides and not re.search(r"(?i)(?<![\w-])open(?![\w-])", attrs or "")
+        self.open.append((tag, hides + closed, closed, self.invisible))
+        if attrs and "visibility" in attrs.lower():
+            self.invisible = _invisible(attrs, self.invisible)
         self.hidden += hides
         if not self.hidden:
             self._enter(tag, attrs)
+        self.hidden += closed
 
     def _last(self, tags) -> int:
         """Where the innermost open one of ``tags`` is; -1 if none is open."""
@@ -229,17 +243,19 @@ class Renderer:
 
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            tag, hides = self.open.pop()
+            tag, hides, closed, invisible = self.open.pop()
             self.at[tag].pop()
             if self.blocks and self.blocks[-1] == len(self.open):
                 self.blocks.pop()
+            self.hidden -= closed
             if not self.hidden:
                 self._leave(tag)
-            self.hidden -= hides
+            self.hidden -= hides - closed
+            self.invisible = invisible
 
     # ---- layout ----
     def text(self, data: str) -> None:
-        if self.hidden:
+        if self.hidden or self.invisible:
             return
         data = _html.unescape(data) if "&" in data else data
         if self.tables and not self.tables[-1]["in_cell"]:
@@ -256,6 +272,12 @@ class Renderer:
 
     def _enter(self, tag: str, attrs: str) -> None:
         out = self.lines[-1]
+        if self.flat or tag == "table" and len(self.tables) >= TABLE_DEPTH:
+            # tables within that many others: rows and cells are blocks
+            self.flat += tag == "table"
+            if tag in TABLE_PARTS:
+                out.line_break(2 if tag == "table" else 1)
+                return
         if tag == "table":
             out.line_break(2)
             self.tables.append({"rows": [], "in_cell": False, "outside": [], "lists": self.lists})
@@ -291,6 +313,10 @@ class Renderer:
 
     def _leave(self, tag: str) -> None:
         out = self.lines[-1]
+        if self.flat and tag in TABLE_PARTS:
+            self.flat -= tag == "table"
+            out.line_break(2 if tag == "table" else 1)
+            return
         if tag == "table" and self.tables:
             t = self.tables.pop()
             self.lists = t["lists"]
@@ -338,11 +364,17 @@ def _hides(tag: str, attrs: str) -> bool:
     return (
         ("hidden" in found and found["hidden"] != "until-found")
         or "display:none" in style
-        or "visibility:hidden" in style
         or (tag == "input" and found.get("type") == "hidden")
     )
 
 
+def _invisible(attrs: str, inherited: bool) -> bool:
+    """Whether an element's own text is invisible: the last visibility that its style names, else what it inherits."""
+    found = {n.lower(): (v or "").strip("\"'").lower() for n, v in _ATTR.findall(attrs)}
+    named = re.findall(r"(?:^|;)visibility:(hidden|collapse|visible|initial)", re.sub(r"\s", "", found.get("style", "")))
+    return named[-1] in ("hidden", "collapse") if named else inherited
+
+
 def render(page: str | None) -> str:
     """Visible text of one page; null and empty pages have none."""
     if not page:

@@ -33,10 +33,18 @@ CASES = {
     "<noscript>n</noscript>t": "t",
     "<blockquote>q<p>r</blockquote>": "  q\n\n  r",
     "<table><tr><td>漢字<td>x<tr><td>ab<td>y</table>": "漢字  x\nab    y",
-    "<table><tr><td>a<table><tr><td>i<td>j</table><td>b</table>": "a\n\ni  j\nb",
+    "<table><tr><td>a<table><tr><td>i<td>j</table><td>b</table>": "a\n\ni  j  b",
     "<table><tr><td rowspan=2>A<td>1<tr><td>2</table>": "A  1\n   2",
     "<table><tr><td>x<td rowspan=3>R<td>y<tr><td>p<td>q<tr><td colspan=1>s<td>t<tr><td>u<td>v<td>w</table>": "x  R  y\np     q\ns     t\nu  v  w",
-    "<table><tr><td>one<br>two<td>b<tr><td>c<td>d</table>": "one\ntwo\nb\nc  d",
+    "<table><tr><td>one<br>two<td>b<tr><td>c<td>d</table>": "one\ntwo  b\nc    d",
+    "<table><tr><td>a<td>x<br>y<td>z<tr><td>long<td>m<td>n</table>": "a     x\n      y  z\nlong  m  n",
+    "<details><summary>s</summary>no<p>no</p></details>t": "s\nt",
+    "<details open><summary>s</summary>yes</details>t": "s\nyes\nt",
+    "<details><b>no</b><summary>s<i>u</i></summary></details><div hidden><details><summary>no</summary></details></div>t": "su\nt",
+    "<details data-open=1>no<details open><summary>no</summary></details></details>t": "t",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>t": "yes\nt",
+    "<p style='visibility:collapse'>no<p>yes": "yes",
+    "<div style='display:none'><b style='visibility:visible'>no</b></div>t": "t",
     "<table><tr><td rowspan=0>a<td colspan=0>b<tr><td>c<td>d</table>": "a  b\nc  d",
     "<!DOCTYPE html><?xml x?><p>z": "z",
 }
@@ -106,6 +114,44 @@ def test_tables_stay_in_proportion():
         assert text.split() == [*first.split(), "z", *(w for c in cells for w in (c, c + "b"))]
 
 
+def columns_of(rows):
+    """Where each column begins by plain sums, for one-line cells without spans."""
+    n = max(map(len, rows))
+    wide = [max((len(r[k]) for r in rows if k < len(r) and len(r[k]) <= 80), default=0) for k in range(n)]
+    return [sum(w + 2 for w in wide[:k]) for k in range(n)]
+
+
+def test_cells_are_aligned():
+    """Every cell begins at its column; one that is too long moves only the rest of its row, and no size switches this off."""
+    import random
+
+    r = random.Random(3)
+    for n_rows, long in ((1, False), (5, False), (40, True), (3000, True)):
+        rows = [["".join(r.choice("abc") for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 5))] for _ in range(n_rows)]
+        if long:
+            rows[n_rows // 2] = ["q" * 5000, "z"]
+        begin = columns_of(rows)
+        lines = render("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in rows) + "</table>").rstrip("\n").split("\n")
+        assert len(lines) == n_rows
+        for row, line in zip(rows, lines):
+            if len(row[0]) < 81:
+                assert all(line[b : b + len(c)] == c and line[b - 2 : b].strip() == "" for b, c in zip(begin, row))
+            else:
+                assert line == row[0] + "  z"
+
+
+def test_space_grows_with_the_page():
+    for make in (
+        lambda n: "<ul><li>x" * n,
+        lambda n: "<blockquote>x" * n,
+        lambda n: "<table><tr><td>x" * n,
+        lambda n: "<table>" + "<tr><td rowspan=99999>x" * n,
+        lambda n: "<table>" + "<tr><td colspan=900><td>x" * n,
+    ):
+        small, large = len(render(make(1000))), len(render(make(4000)))
+        assert large < 5 * small + 1000
+
+
 def test_time_grows_with_the_page():
     def took(page):
         began = time.process_time()
@@ -117,6 +163,9 @@ def test_time_grows_with_the_page():
         lambda n: "<b><table><td>" + "<i>" * n + "</b>" * n,
         lambda n: "<i>" * n + "<h1></h1>" * n,
         lambda n: "<table>" + "<tr><td rowspan=99>a<td>b" * n,
+        lambda n: "<table>" + "<tr><td rowspan=99999>x" * (n // 2),
+        lambda n: "<table><tr><td>x" * (n // 8),
+        lambda n: "<ul><li>x" * (n // 4),
     ):
         small, large = took(make(4000)), took(make(16000))
         assert large < 12 * small + 0.5
