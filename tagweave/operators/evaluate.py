@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.stats import numbered
+from tagweave.session import stage_table
 
 
 def clean_labels(df: DataFrame, label: str, positive: list, negative: list) -> DataFrame:
@@ -19,13 +20,25 @@ def clean_labels(df: DataFrame, label: str, positive: list, negative: list) -> D
 def ranked(df: DataFrame, score: str, label: str, ident: str, by: list[str] | None = None) -> DataFrame:
     """Rows with rank ``k`` from 1, hits so far ``tp``, and the list's ``n`` and ``npos``; ties fall by ``ident``."""
     if by:
-        w = Window.partitionBy(*by).orderBy(F.desc(score), ident)
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        every = Window.partitionBy(*by)
-        return df.select(
-            *by, ident, score, label, F.row_number().over(w).cast("long").alias("k"), F.sum(label).over(upto).cast("long").alias("tp"),
-            F.count(F.lit(1)).over(every).alias("n"), F.sum(label).over(every).cast("long").alias("npos"),
+        # lists are dealt by range, so one that holds most rows is split; a range knows how many rows and hits of a list come before
+        parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = df.select(*by, ident, score, label).repartitionByRange(parts, *by, F.desc(score), ident).withColumn("_p", F.spark_partition_id())
+        rows = stage_table(rows, "ranges")
+        every = Window.partitionBy(*by)  # a row for each list and range
+        before = every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_h"))
+        sizes = sizes.select(
+            F.col("_p").alias("_q"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"),
+            F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_hits"), F.sum("_n").over(every).alias("n"), F.sum("_h").over(every).cast("long").alias("npos"),
         )
+        same = F.col("_p") == F.col("_q")
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        own = Window.partitionBy("_p", *by).orderBy(F.desc(score), ident)
+        rows = rows.withColumn("_i", F.row_number().over(own)).withColumn("_s", F.sum(label).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.join(sizes, same).select(
+            *by, ident, score, label, (F.col("_rows") + F.col("_i")).cast("long").alias("k"), (F.col("_hits") + F.col("_s")).cast("long").alias("tp"), "n", "npos"
+        )
     # one list: places by ranges, and hits so far from the hits before each block of places
     r = numbered(df.select(ident, score, label), F.desc(score), ident, name="k").withColumn("k", F.col("k") + 1)
     block = F.floor(F.col("k") / 4096)
@@ -83,17 +96,13 @@ def rank_metrics(
     if ap_range is not None:
         within = within & (k >= ap_range[0] * n) & (k <= ap_range[1] * n)
     divide = F.count_if(within) if ap_range is not None else F.max(npos)
-    point = hit | (k == 1) | (k == n)
-    fp = (k - tp) / F.nullif(n - npos, F.lit(0))
-    chosen = r.where(point).withColumn("fp", fp).withColumn("re", re)
-    if by:
-        w = Window.partitionBy(*by).orderBy("k")
-        lag = chosen.select(*by, "fp", "re", F.lag("fp").over(w).alias("fp0"), F.lag("re").over(w).alias("re0"))
-    else:
-        # neighbours by place among the chosen points, as ranges hold them
-        order = numbered(chosen.select("k", "fp", "re"), "k", name="_i").drop("n")
-        lag = order.join(order.select((F.col("_i") + 1).alias("_i"), F.col("fp").alias("fp0"), F.col("re").alias("re0")), "_i", "left")
-    area = lag.groupBy(*by).agg(F.sum((F.col("fp") - F.col("fp0")) * (F.col("re") + F.col("re0")) / 2).alias("auc"))
+    # trapezoids through the hits add up to sums over the hits alone: with fp of the first, the last and all of them
+    fp = F.when(hit, (k - tp) / F.nullif(n - npos, F.lit(0)))
+    m, miss = F.max(npos), F.max(n) - F.max(npos)
+    low, high, first = F.min(fp), F.max(fp), F.min(F.when(hit, k))
+    between = ((2 * m + 1) * high - low - 2 * F.sum(fp)) / (2 * m)
+    start = F.when(first > 1, (low - 1 / F.nullif(miss, F.lit(0))) / (2 * m)).otherwise(0.0)
+    auc = F.when(m > 0, between + start + 1 - high)
     main = r.groupBy(*by).agg(
         (F.sum(F.when(within, pr).otherwise(0.0)) / F.nullif(divide, F.lit(0))).alias("ap"),
         F.max(F.when(k == F.least(F.lit(depth), n), pr)).alias("p_at_d"),
@@ -103,8 +112,9 @@ def rank_metrics(
         F.max(npos).alias("npos"),
         F.max(n).alias("n"),
         F.max(F.when(re >= recall, F.col(score))).alias("score_thresh"),
+        auc.alias("auc"),
     )
-    return main.join(area, by) if by else main.crossJoin(F.broadcast(area))
+    return main
 
 
 def precision_at_k(df: DataFrame, score: str, label: str, ident: str, k: int, by: list[str]) -> DataFrame:

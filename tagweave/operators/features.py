@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,12 +180,22 @@ def pair_distances(a: DataFrame, b: DataFrame, vec: str = "vec") -> DataFrame:
     return j.select("a_id", "b_id", (dot(F.col("x"), F.col("x")) + dot(F.col("y"), F.col("y")) - 2 * dot(F.col("x"), F.col("y"))).alias("dist"))
 
 
-def predict(features: DataFrame, matrix: np.ndarray, tags: list[str], key: str = "img_id", vec: str = "vec") -> DataFrame:
-    """(key, tag, score): scores of each row against the columns of a small matrix, as expressions."""
-    cols = [F.array(*[F.lit(float(x)) for x in matrix[:, j]]) for j in range(matrix.shape[1])]
-    dot = lambda c: F.aggregate(F.zip_with(F.col(vec), c, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    scored = F.array(*[F.struct(F.lit(t).alias("tag"), dot(c).alias("score")) for t, c in zip(tags, cols)])
-    return features.select(key, F.explode(scored).alias("s")).select(key, "s.tag", "s.score")
+def predict(features: DataFrame, matrix: np.ndarray, tags: list[str], key: str = "img_id", vec: str = "vec", cells: int = 1 << 19) -> DataFrame:
+    """(key, tag, score): scores of each row against the columns of a matrix, which is broadcast; products of about ``cells`` scores at a time."""
+    shared, kind = features.sparkSession.sparkContext.broadcast((np.ascontiguousarray(matrix, float), pa.array(tags, pa.string()))), dict(features.dtypes)[key]
+
+    def run(batches):
+        w, names = shared.value
+        step = max(1, cells // max(1, len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                n = pa.array(np.repeat(np.arange(part.num_rows), len(names)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(n), pa.concat_arrays([names] * part.num_rows), pa.array((x @ w).ravel())], ["key", "tag", "score"])
+
+    rows = features.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec")).where("vec is not null")
+    return rows.mapInArrow(run, f"key {kind}, tag string, score double").withColumnRenamed("key", key)
 
 
 def svd_similarity(matrix: DataFrame, rank: int, row: str = "concept", col: str = "feat", value: str = "value", max_rows: int = 2_000) -> DataFrame:

@@ -237,11 +237,12 @@ def ppr(edges: DataFrame, restarts: DataFrame, alpha: float = 0.5, max_iter: int
     return p
 
 
-def ppr_exact(edges: DataFrame, restarts: DataFrame, alpha: float = 0.5, max_nodes: int = 8000) -> DataFrame:
+def ppr_exact(edges: DataFrame, restarts: DataFrame, alpha: float = 0.5, max_nodes: int = 2000) -> DataFrame:
     """(restart, node, p): the fixed point, by one linear system shared by restarts, solved where the restarts are.
 
-    For graphs of at most ``max_nodes`` nodes (checked); rows without weight go
-    everywhere alike.
+    For graphs of at most ``max_nodes`` nodes (checked before anything is
+    gathered); rows without weight go everywhere alike. ``pagerank.push`` has no
+    such bound.
     """
     ids = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().limit(max_nodes + 1).toPandas().node.tolist()
     if len(ids) > max_nodes:
@@ -279,12 +280,13 @@ def renormalized_ppr(edges: DataFrame, alpha: float = 0.5, renorm: str = "logist
     return _eigen_ppr(e, restarts, alpha)
 
 
-def _eigen_ppr(edges: DataFrame, restarts: DataFrame, alpha: float, max_nodes: int = 3000) -> DataFrame:
+def _eigen_ppr(edges: DataFrame, restarts: DataFrame, alpha: float, max_nodes: int = 2000) -> DataFrame:
     """Dominant left eigenvector of alpha W + (1 - alpha) 1 v' for weights that needn't sum to 1, normalised to sum 1."""
-    pdf = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).limit(max_nodes * max_nodes).toPandas()
-    ids = sorted(set(pdf.src) | set(pdf.dst))
-    if len(ids) > max_nodes:
+    nodes = edges.select("src").union(edges.select("dst")).distinct()
+    if nodes.limit(max_nodes + 1).count() > max_nodes:
         raise ValueError(f"more than {max_nodes} nodes")
+    pdf = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).toPandas()  # at most the square of max_nodes
+    ids = sorted(set(pdf.src) | set(pdf.dst))
     at = {x: i for i, x in enumerate(ids)}
     m = np.zeros((len(ids), len(ids)))
     m[[at[x] for x in pdf.src], [at[x] for x in pdf.dst]] = pdf.w

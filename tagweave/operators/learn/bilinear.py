@@ -1,8 +1,9 @@
 """Bilinear tag models: r ~ x' U' V y on observed entries, with squared or smooth hinge loss.
 
 U and V are small and live on the driver. Observed entries, joined with both
-features, stay distributed: each evaluation is one pass that adds up the loss
-and the gradient of U'V, a p x q matrix, by partitions.
+features, stay distributed: each evaluation is one pass in which partitions add
+up the loss and the gradient of U'V, a p x q matrix, and a grouped sum by place
+adds up the partitions, so the driver gets each place once.
 """
 
 from __future__ import annotations
@@ -48,12 +49,25 @@ def _pass(entries: DataFrame, w: np.ndarray, loss: str) -> tuple[float, np.ndarr
                 value, slope = 0.5 * (z - r) ** 2, z - r
             total, n = total + value.sum(), n + len(r)
             grad += (x * slope[:, None]).T @ y
-        yield pd.DataFrame({"loss": [total], "grad": [grad.tobytes()], "n": [n]})
+        yield pd.DataFrame({"at": np.arange(-2, grad.size), "v": np.concatenate([[n, total], grad.ravel()])})
 
-    rows = entries.select("x", "y", "r").mapInPandas(run, "loss double, grad binary, n long").collect()  # one row a partition
+    sums = entries.select("x", "y", "r").mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # p * q + 2 rows
     shared.unpersist()
-    grads = [np.frombuffer(r["grad"], float).reshape(w.shape) for r in rows]
-    return sum(r["loss"] for r in rows), np.sum(grads, 0), sum(r["n"] for r in rows)
+    got = np.zeros(w.size + 2)
+    for r in sums:
+        got[r["at"] + 2] = r["v"]
+    return got[1], got[2:].reshape(w.shape), int(got[0])
+
+
+def _mean_size(entries: DataFrame, w: np.ndarray) -> float:
+    """The mean absolute prediction."""
+    shared = entries.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"z": np.abs(((np.stack(pdf.x) @ shared.value) * np.stack(pdf.y)).sum(1))})
+
+    return entries.select("x", "y").mapInPandas(run, "z double").agg(F.avg("z")).first()[0] or 0.0
 
 
 def objective_at(r: DataFrame, x: DataFrame, y: DataFrame, w: np.ndarray, loss: str = "l2") -> tuple[float, np.ndarray, int]:
@@ -76,12 +90,7 @@ def fit_bilinear(r: DataFrame, x: DataFrame, y: DataFrame, k: int = 5, alpha: fl
     u, v = g.standard_normal((k, first.p)) * 0.1, g.standard_normal((k, first.q)) * 0.1
     # scale the start to the size of the targets
     mean_r = entries.agg(F.avg(F.abs("r"))).first()[0]
-    dot = F.lit(0.0)
-    w = u.T @ v
-    cols = [F.array(*[F.lit(float(c)) for c in row]) for row in w]
-    for i, c in enumerate(cols):
-        dot = dot + F.col("x")[i] * F.aggregate(F.zip_with("y", c, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    mean_p = entries.agg(F.avg(F.abs(dot))).first()[0]
+    mean_p = _mean_size(entries, u.T @ v)
     scale = np.sqrt(mean_r / mean_p) if mean_p else 1.0
     u, v = u * scale, v * scale
     history = []
