@@ -362,10 +362,9 @@ class _Inventory:
         self.strings_of = self.size[self.hot] - length + 1
         which = np.repeat(np.arange(len(self.hot)), self.strings_of)
         places = self.at[self.hot][which] + np.arange(len(which)) - np.repeat(np.cumsum(self.strings_of) - self.strings_of, self.strings_of)
-        digest = np.empty((len(places), 2), np.uint64)
-        for k in range(0, len(places), 1 << 17):
-            words = _gathered(self.flat, places[k : k + (1 << 17)], length)
-            digest[k : k + (1 << 17)] = np.stack([_digest(words, 3), _digest(words, 5)], 1)
+        raw, digest = self.flat.tobytes(), hashlib.blake2b
+        digest = b"".join([digest(raw[a : a + length], digest_size=16).digest() for a in places.tolist()])
+        digest = np.frombuffer(digest, "<u8").reshape(-1, 2)
         self.strings, self.string_low, self.string = _least_of(digest, self.low[self.hot][which])
         self.string_high = np.full(len(self.strings), -LAST, np.int64)
         np.maximum.at(self.string_high, self.string, self.high[self.hot][which])
