@@ -278,10 +278,11 @@ def _gradient_sql(n: int) -> str:
     steps = ["l0 AS (SELECT restart, node, m AS l FROM mi)"]
     for i in range(1, n + 1):
         steps.append(
-            f"l{i} AS MATERIALIZED (SELECT mi.restart, mi.node, m + coalesce(q, 0) AS l FROM mi LEFT JOIN (SELECT restart, src AS node, sum(l * t * 5e-1) AS q FROM l{i - 1} JOIN tr ON node = dst GROUP BY ALL) f ON f.restart = mi.restart AND f.node = mi.node)"
+            f"l{i} AS MATERIALIZED (SELECT mi.restart, mi.node, m + coalesce(q, 0) AS l FROM mi LEFT JOIN (SELECT restart, src AS node, sum(l * t * 5e-1) AS q FROM l{i - 1} JOIN ar ON node = dst GROUP BY ALL) f ON f.restart = mi.restart AND f.node = mi.node)"
         )
     return f"""WITH p AS ({_ALL_RESTARTS.replace('round(p, 6)', 'p')}), {_OBSERVED}, mi AS (SELECT p.restart, p.node, CASE WHEN p.restart = p.node THEN 0 ELSE p.p - coalesce(o.o, 0) END AS m FROM p LEFT JOIN o ON p.restart = o.restart AND p.node = o.node),
- sm AS (SELECT src, sum(w) AS s FROM fx_graph GROUP BY src), tr AS (SELECT src, dst, w, s, w / s AS t FROM fx_graph JOIN sm USING (src)), {', '.join(steps)},
+ sm AS (SELECT src, sum(w) AS s FROM fx_graph GROUP BY src), tr AS (SELECT src, dst, w, s, w / s AS t FROM fx_graph JOIN sm USING (src)),
+ nn AS (SELECT src AS node FROM fx_graph UNION SELECT dst FROM fx_graph), ar AS (SELECT src, dst, t FROM tr UNION ALL SELECT a.node, b.node, 1 / (SELECT count(*) FROM nn) FROM nn a, nn b WHERE a.node NOT IN (SELECT src FROM tr)), {', '.join(steps)},
  d AS (SELECT src, dst, any_value(w) AS w, any_value(s) AS s, 5e-1 * sum(p.p * l.l) AS d FROM tr JOIN p ON p.node = src JOIN l{n} l ON l.restart = p.restart AND l.node = dst GROUP BY src, dst)
  SELECT src, dst, round((d - sum(d * w) OVER (PARTITION BY src) / s) / s * 1e6 + 1e-3 * w, 2) AS slope FROM d"""
 
