@@ -137,6 +137,17 @@ class Ids:
         return b"".join(np.array(next(odd).ids, "<u4").tobytes() if u is None else b"".join(map(get, u)) for u in usual)
 
 
+_IDS: dict[tuple[str, int], Ids] = {}
+
+
+def ids_of(path: str, end_id: int) -> Ids:
+    """One for each worker process, so that tasks use the tokenizer and the words that the ones before them loaded."""
+    if (path, end_id) not in _IDS:
+        _IDS.clear()
+        _IDS[path, end_id] = Ids(path, end_id)
+    return _IDS[path, end_id]
+
+
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part long, rank long"
 
 
@@ -147,7 +158,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 0) -> Dat
     def run(batches):
         from pyspark import TaskContext
 
-        part, ids = TaskContext.get().partitionId(), Ids(path, end_id)
+        part, ids = TaskContext.get().partitionId(), ids_of(path, end_id)
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             rows = []
