@@ -233,6 +233,7 @@ def ppr(edges: DataFrame, restarts: DataFrame, alpha: float = 0.5, max_iter: int
             d = new.join(p.withColumnRenamed("p", "_old"), ["restart", "node"]).groupBy("restart").agg((F.sqrt(F.sum((F.col("p") - F.col("_old")) ** 2)) / n).alias("d"))
             if not d.where(F.col("d") > tol).take(1):
                 return new
+        drop_stage(p)
         p = new
     return p
 

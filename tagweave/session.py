@@ -45,12 +45,34 @@ def stage_table(df, name: str):
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tagweave_path = path
+    _STAGES.append(path)
     return out
 
 
+#: Paths that ``stage_table`` wrote and nobody has deleted yet.
+_STAGES: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_stage(df) -> None:
     """Delete a table that ``stage_table`` wrote and nothing reads any more."""
     path = getattr(df, "_tagweave_path", None)
-    if path:
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _STAGES:
+        _STAGES.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def stages_written() -> int:
+    """A mark for ``release_stages``: how many tables there are."""
+    return len(_STAGES)
+
+
+def release_stages(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written since a mark: once a result is stored, what it was made from can go."""
+    gone, _STAGES[since:] = _STAGES[since:], []
+    for path in gone:
+        _delete(spark, path)
