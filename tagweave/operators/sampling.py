@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +66,32 @@ def legacy_split(df: DataFrame, img: str, label: str, min_tags: int = 5) -> Data
 def recode(df: DataFrame, label: str = "label") -> DataFrame:
     """0 and 1 become -0.5 and 0.5; unknown entries have no row."""
     return df.withColumn("r", F.col(label) - F.lit(0.5))
+
+
+def standard_normals(ident: str, n: int, seed: int = 0) -> list[Column]:
+    """``n`` columns of independent standard normal numbers that depend on a row's identifier and the seed alone.
+
+    Pairs of uniform numbers, 32 bits each of a digest of the identifier, turned
+    into normal ones by their angle and radius; rows come out alike in any
+    partitioning and when they are computed again.
+    """
+    out = []
+    for k in range(0, n, 2):
+        digest = F.md5(F.concat_ws(":", F.col(ident).cast("string"), F.lit(str(seed)), F.lit(str(k))))
+        u, v = ((F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 2.0**32 for at in (1, 9))
+        radius, angle = F.sqrt(-2 * F.log(u)), 2 * np.pi * v
+        out += [radius * F.cos(angle), radius * F.sin(angle)]
+    return out[:n]
+
+
+def gaussian_rows(df: DataFrame, ident: str, mean, cov, seed: int = 0) -> DataFrame:
+    """(ident, x0, x1, ...): a draw from a normal distribution for each row, by the singular values of its covariance.
+
+    Columns of the factor point so that their first part isn't negative.
+    """
+    u, s, _ = np.linalg.svd(np.asarray(cov, float))
+    u = u * np.where(u[0] < 0, -1.0, 1.0)
+    factor = u * np.sqrt(s)
+    z = standard_normals(ident, len(s), seed)
+    x = [sum((F.lit(float(w)) * c for w, c in zip(row, z)), F.lit(float(m))).alias(f"x{i}") for i, (m, row) in enumerate(zip(mean, factor))]
+    return df.select(ident, *x)

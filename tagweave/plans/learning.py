@@ -68,6 +68,25 @@ def _(t):
     return sampling.legacy_split(_img_labels(t), "img", "label", 3)
 
 
+_UNIT = "(CAST('0x' || substr(md5(c_custkey || ':7:0'), {}, 8) AS BIGINT) + 5e-1) / 4294967296"
+
+
+@query(
+    "n22_gaussian_rows",
+    f"""WITH m AS (SELECT avg(c_acctbal / 1000) AS mx, avg(c_nationkey) AS my, var_pop(c_acctbal / 1000) AS a, covar_pop(c_acctbal / 1000, c_nationkey) AS b, var_pop(c_nationkey) AS c FROM customer),
+ l AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM m),
+ f AS (SELECT *, sqrt(l1) / sqrt(b * b + pow(l1 - a, 2)) * CASE WHEN b < 0 THEN -1 ELSE 1 END AS n1, sqrt(l2) / sqrt(b * b + pow(l2 - a, 2)) * CASE WHEN b < 0 THEN -1 ELSE 1 END AS n2 FROM l),
+ z AS (SELECT c_custkey, sqrt(-2 * ln({_UNIT.format(1)})) AS r, 2 * pi() * {_UNIT.format(9)} AS t FROM customer)
+ SELECT c_custkey, round(mx + n1 * b * r * cos(t) + n2 * b * r * sin(t), 6) AS x0, round(my + n1 * (l1 - a) * r * cos(t) + n2 * (l2 - a) * r * sin(t), 6) AS x1 FROM z, f""",
+)
+def _(t):
+    """A draw for each customer from the normal distribution of balances and nations."""
+    x, y = F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")
+    m = t.customer.agg(F.avg(x), F.avg(y), F.var_pop(x), F.covar_pop(x, y), F.var_pop(y)).first()
+    got = sampling.gaussian_rows(t.customer, "c_custkey", m[:2], [[m[2], m[3]], [m[3], m[4]]], seed=7)
+    return got.select("c_custkey", *(F.round(c, 6).alias(c) for c in ("x0", "x1")))
+
+
 @query("m07_recode_labels", "SELECT id, label - 5e-1 AS r FROM fx_scored")
 def _(t):
     return sampling.recode(t.scored).select("id", "r")

@@ -49,3 +49,18 @@ def test_predictions_of_odd_rows(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None), ("c", [0.0, 1.0])], "img_id string, vec array<double>")
     got = features.predict(df, np.array([[1.0, 0.0, 2.0], [0.0, 1.0, 1.0]]), ["x", "y", "z"], cells=3).collect()
     assert sorted(map(tuple, got)) == [("a", "x", 1.0), ("a", "y", 2.0), ("a", "z", 4.0), ("c", "x", 0.0), ("c", "y", 1.0), ("c", "z", 1.0)]
+
+
+def test_normal_draws(spark):
+    import numpy as np
+
+    from tagweave.operators import sampling
+
+    mean, cov = [1.0, -2.0, 0.5], np.array([[2.0, 0.5, 0.1], [0.5, 1.0, -0.3], [0.1, -0.3, 0.7]])
+    df = spark.range(20_000)
+    x = np.array([list(r)[1:] for r in sampling.gaussian_rows(df, "id", mean, cov, 3).collect()])
+    assert np.cov(x.T) == pytest.approx(cov, abs=0.06) and x.mean(0) == pytest.approx(mean, abs=0.04)
+    again = sampling.gaussian_rows(df.repartition(7), "id", mean, cov, 3).orderBy("id").limit(3).collect()
+    assert [list(r)[1:] for r in again] == [pytest.approx(v) for v in x[:3].tolist()]
+    other = sampling.gaussian_rows(df, "id", mean, cov, 4).first()
+    assert list(other)[1:] != pytest.approx(x[0].tolist())
