@@ -291,12 +291,53 @@ def _settle(edges: pa.Table) -> pa.Table:
     )
 
 
+#: What a node of one need gets from the node ``up`` that its chain leads to: at = max(base, at of up + add), and
+#: depth = ``deep`` more than that of up, or ``deep`` where the chain ``resets`` it.
+CHAIN = ("row_id", "k", "up_row", "up_k", "add", "base", "deep", "resets")
+
+
+def _contracted(state: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(CHAIN of nodes whose chain ends, those that wait for a cycle) of the nodes with exactly one need, by pointer doubling.
+
+    Each round joins every pointer with the pointer that it leads to, so a chain
+    takes as many rounds as its length has binary digits. Pointers that still
+    lead to such nodes then go round a cycle, or lead into one.
+    """
+    single = state.where("missing = 1").select("row_id", "k", "at").join(deps, ["row_id", "k"])
+    same = F.col("row_id") == F.col("need_row")
+    inner = same & (F.col("need_k") >= 0)
+    chain = single.select(
+        "row_id", "k", F.col("need_row").alias("up_row"), F.col("need_k").alias("up_k"), F.when(same, 0).otherwise(1).cast("long").alias("add"),
+        F.col("at").alias("base"), F.when(inner, 1).otherwise(0).cast("long").alias("deep"), (~inner).alias("resets"),
+    )
+    chain = cut(chain, "chains")
+    nodes = cut(chain.select("row_id", "k"), "singles")
+    over = nodes.select(F.col("row_id").alias("up_row"), F.col("k").alias("up_k"))
+    for _ in range(max(1, nodes.count()).bit_length() + 1):
+        if not chain.join(over, ["up_row", "up_k"], "left_semi").take(1):
+            break
+        up = chain.toDF("up_row", "up_k", "up2_row", "up2_k", "add2", "base2", "deep2", "resets2")
+        j = chain.join(up, ["up_row", "up_k"], "left")
+        further = F.col("up2_row").isNotNull()
+        new = j.select(
+            "row_id", "k", F.coalesce("up2_row", "up_row").alias("up_row"), F.coalesce("up2_k", "up_k").alias("up_k"),
+            (F.col("add") + F.coalesce("add2", F.lit(0))).alias("add"), F.greatest("base", F.col("base2") + F.col("add")).alias("base"),
+            (F.col("deep") + F.when(further & ~F.col("resets"), F.col("deep2")).otherwise(0)).alias("deep"), (F.col("resets") | F.coalesce("resets2", F.lit(False))).alias("resets"),
+        )
+        new = cut(new, "chains")
+        drop(chain)
+        chain = new
+    round_ = chain.join(over, ["up_row", "up_k"], "left_semi").select("row_id", "k")
+    return cut(chain.join(over, ["up_row", "up_k"], "left_anti").select(*CHAIN), "chains"), round_
+
+
 def _settle_rounds(edges: DataFrame) -> DataFrame:
     """What ``_settle`` gives, by rounds of joins: for connected sets too large for one task.
 
-    Each round places all nodes that wait for nothing any more, until none is
-    left that can be placed; there is no bound on the rounds. A message is the
-    node ``k`` = -1 of its row.
+    Nodes with one need are first led to the node at the end of their chain.
+    Each round then places all other nodes that wait for nothing any more, until
+    none is left that can be placed; there is no bound on the rounds. A message
+    is the node ``k`` = -1 of its row.
     """
     none = F.lit(-1)
     inner = F.col("row_id") == F.col("need_row")
@@ -306,19 +347,31 @@ def _settle_rounds(edges: DataFrame) -> DataFrame:
     missing = deps.groupBy("row_id", "k").agg(F.count(F.lit(1)).alias("missing"))
     nodes = calls.union(calls.select("turn", "row_id", none)).distinct().join(missing, ["row_id", "k"], "left")
     # ``at`` of a call is its message's, once that is placed; ``depth`` counts calls before it in its message
-    state = nodes.select("row_id", "k", F.coalesce("missing", F.lit(0)).alias("missing"), F.col("turn").alias("at"), F.lit(0).alias("depth"))
-    state, done = cut(state, "state"), []
+    every = nodes.select("row_id", "k", F.coalesce("missing", F.lit(0)).alias("missing"), F.col("turn").cast("long").alias("at"), F.lit(0).cast("long").alias("depth"))
+    every = cut(every, "state")
+    chain, stuck = _contracted(every, deps)
+    state = cut(every.where("missing <> 1"), "state")
+    # what each need of the nodes left gives: through the end of its chain, or itself
+    asks = deps.join(state.select("row_id", "k"), ["row_id", "k"], "left_semi")
+    via = asks.join(chain.toDF("need_row", "need_k", "up_row", "up_k", "c_add", "c_base", "c_deep", "c_resets"), ["need_row", "need_k"], "left")
+    same = F.col("row_id") == F.col("need_row")
+    step = F.when(same, 0).otherwise(1)
+    deeper = same & (F.col("need_k") >= 0)
+    via = via.select(
+        "row_id", "k", F.coalesce("up_row", "need_row").alias("up_row"), F.coalesce("up_k", "need_k").alias("up_k"), (F.coalesce("c_add", F.lit(0)) + step).alias("add"),
+        (F.col("c_base") + step).alias("base"), F.when(deeper, F.coalesce("c_deep", F.lit(0)) + 1).otherwise(0).alias("deep"), (~deeper | F.coalesce("c_resets", F.lit(False))).alias("resets"),
+    )
+    via, done = cut(via, "needs"), []
     while True:
         ready = state.where("missing = 0")
         if not ready.take(1):
             break
         done.append(cut(ready, "placed"))
-        told = deps.join(done[-1].select(F.col("row_id").alias("need_row"), F.col("k").alias("need_k"), "at", "depth"), ["need_row", "need_k"])
-        same = F.col("row_id") == F.col("need_row")
+        told = via.join(done[-1].select(F.col("row_id").alias("up_row"), F.col("k").alias("up_k"), "at", "depth"), ["up_row", "up_k"])
         news = told.groupBy("row_id", "k").agg(
             F.count(F.lit(1)).alias("fewer"),
-            F.max(F.col("at") + F.when(same, 0).otherwise(1)).alias("new_at"),
-            F.max(F.when(same & (F.col("need_k") >= 0), F.col("depth") + 1).otherwise(0)).alias("new_depth"),
+            F.max(F.greatest(F.col("at") + F.col("add"), "base")).alias("new_at"),
+            F.max(F.col("deep") + F.when(F.col("resets"), 0).otherwise(F.col("depth"))).alias("new_depth"),
         )
         left = state.where("missing > 0").join(news, ["row_id", "k"], "left").select(
             "row_id",
@@ -330,10 +383,24 @@ def _settle_rounds(edges: DataFrame) -> DataFrame:
         left = cut(left, "state")
         drop(state)
         state = left
-    out = state.withColumn("waits", F.lit(True))
+    columns = ["row_id", "k", "at", "depth"]
+    out = state.select(*columns, F.lit(True).alias("waits"))
     if done:  # one scan over the tables of all rounds
         placed = edges.sparkSession.read.schema(state.schema).parquet(*(d._tagweave_path for d in done))
-        out = out.union(placed.withColumn("waits", F.lit(False)))
+        out = out.union(placed.select(*columns, F.lit(False).alias("waits")))
+    out = cut(out, "placed")
+    ends = out.select(F.col("row_id").alias("up_row"), F.col("k").alias("up_k"), F.col("at").alias("up_at"), F.col("depth").alias("up_depth"), "waits")
+    led = chain.join(ends, ["up_row", "up_k"]).select(
+        "row_id",
+        "k",
+        F.when(F.col("waits"), None).otherwise(F.greatest("base", F.col("up_at") + F.col("add"))).alias("at"),
+        (F.col("deep") + F.when(F.col("resets"), 0).otherwise(F.col("up_depth"))).alias("depth"),
+        "waits",
+    )
+    led = led.union(stuck.select("row_id", "k", F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(True)))
+    # nodes that wait stay at their own turn
+    led = led.join(every.select("row_id", "k", F.col("at").alias("turn")), ["row_id", "k"]).select("row_id", "k", F.coalesce("at", "turn").alias("at"), F.when(F.col("waits"), 0).otherwise(F.col("depth")).cast("long").alias("depth"), "waits")
+    out = out.union(led)
     # a call is shown at its message's place, even if the message has one and the call has none
     message = out.where("k = -1").select("row_id", F.col("at").alias("own"))
     return out.where("k >= 0").join(message, "row_id").select("row_id", "k", F.col("own").alias("at"), F.col("depth").cast("int").alias("depth"), "waits")

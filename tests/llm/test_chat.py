@@ -299,3 +299,17 @@ def test_no_text_fails_the_whole(spark):
     assert unreadable == {1, 2, 3, 5, 7, 8}
     assert {i for i, r in got.items() if any("not readable" in e for e in r.errors)} == {9, 11, 15, 16}
     assert got[12].errors == [] and got[10].n_calls == 1 and got[13].errors == ["whole $.x: not of type integer", "whole $.y\\ud800: unknown"]
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 3,000 calls, each using the next: pointers double, so rounds are as many as its length has digits."""
+    from collections import Counter
+
+    n = 3000
+    edges = spark.createDataFrame([(i, i, 0, i + 1, i + 1, 0) for i in range(n)], "turn long, row_id long, k int, need_turn long, need_row long, need_k int")
+    written, real = Counter(), chat.cut
+    monkeypatch.setattr(chat, "cut", lambda df, name: (written.update([name]), real(df, name))[1])
+    got = {r.row_id: r for r in chat._settle_rounds(edges).collect()}
+    assert len(got) == n + 1 and not any(r.waits for r in got.values())
+    assert all(got[i].at == n + (n - i) and got[i].depth == 0 for i in range(n + 1))
+    assert written["chains"] <= 16 and written["placed"] <= 4, written
