@@ -113,7 +113,8 @@ def _range_of(key: Column, bounds: Column, n: int) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, text, *carry, next_text, next_*): each document beside the one that follows it in descending order of ids.
 
-    After the last comes the first. Rows without an id come last; rows of one id
+    After the last comes the first. Rows without an id come last (beside the least
+    64-bit id, should that occur); rows of one id
     follow each other by a hash of their text and then by it. Texts are shuffled
     once, to ranges of neighbouring ids whose bounds come from a sample of keys
     (at most 16 for each of at most 16,384 ranges). A bound is a row's key, so
