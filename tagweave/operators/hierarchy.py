@@ -50,7 +50,8 @@ def concept_records(nodes: DataFrame, edges: DataFrame, below: DataFrame, words:
     """(wnid, depth, n_ancestors, n_descendants, children, n_tags, n_other): one row for each known concept.
 
     Depth is the longest way from above. ``n_other`` counts tags that are no
-    word of the concept, its ancestors or its descendants.
+    word of the concept, its ancestors or its descendants. Repeated words count
+    once, and only concepts that have tags meet the words of those near them.
     """
     n = nodes.select("wnid").distinct()
     up = below.groupBy(F.col("node").alias("wnid")).agg(F.max("depth").alias("depth"), F.count_distinct("top").alias("n_ancestors"))
@@ -59,7 +60,8 @@ def concept_records(nodes: DataFrame, edges: DataFrame, below: DataFrame, words:
         F.array_join(F.array_sort(F.collect_set("child")), ",").alias("children")
     )
     near = below.select(F.col("top").alias("wnid"), "node").union(below.select("node", "top")).union(n.select("wnid", "wnid")).distinct()
-    own = near.join(words.select(F.col("wnid").alias("node"), F.col("word").alias("tag")), "node").select("wnid", "tag").distinct()
+    near = near.join(counts.select("wnid").distinct(), "wnid", "left_semi")
+    own = near.join(words.select(F.col("wnid").alias("node"), F.col("word").alias("tag")).distinct(), "node").select("wnid", "tag").distinct()
     tags = counts.groupBy("wnid").agg(F.count(F.lit(1)).alias("n_tags"))
     other = counts.join(own, ["wnid", "tag"], "left_anti").groupBy("wnid").agg(F.count(F.lit(1)).alias("n_other"))
     out = n

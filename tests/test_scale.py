@@ -1,9 +1,29 @@
 """Results and work that only larger tables show: nothing outside a hierarchy, repeated words, many rows a task."""
 
-from tagweave.operators import stats
+import threading
+
+from pyspark.sql import functions as F
+
+from tagweave.operators import hierarchy, stats
 
 
 def test_share_of_a_group_whose_tags_are_all_inside_is_null(spark):
     counts = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), ("b", "x", 2)], "wnid string, tag string, cnt long")
     got = stats.outside_share(counts, spark.createDataFrame([("x",)], "word string"))
     assert {tuple(r) for r in got.collect()} == {("a", 0.25, "y"), ("b", None, "")}
+
+
+def test_records_join_each_word_once(spark):
+    """4000 leaves near a concept of 200,000 repeated words: 800 million rows unless words are made distinct first."""
+    leaf = F.concat(F.lit("s"), "id")
+    nodes = spark.createDataFrame([("r",), ("a",)], "wnid string")
+    edges = spark.createDataFrame([("r", "a")], "parent string, child string").union(spark.range(4000).select(F.lit("a"), leaf))
+    words = spark.range(200_000).select(F.lit("a").alias("wnid"), F.concat(F.lit("w"), F.col("id") % 5).alias("word"))
+    counts = spark.createDataFrame([("a", "w1", 2), ("a", "x", 1), ("s7", "w2", 1), ("s7", "y", 1), ("r", "w3", 1)], "wnid string, tag string, cnt long")
+    late = threading.Timer(40, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = hierarchy.concept_records(nodes, edges, hierarchy.closure(edges), words, counts).collect()
+    finally:
+        late.cancel()
+    assert sorted(map(tuple, got)) == [("a", 1, 1, 4000, "", 2, 1), ("r", 0, 0, 4001, "a", 1, 0)]
