@@ -56,7 +56,7 @@ def _(t):
 @query("a04_users_with_unknown", "SELECT wnid, tag, count(DISTINCT CASE WHEN user_id % 5 = 0 THEN 'unk' ELSE CAST(user_id AS VARCHAR) END) AS cnt FROM fx_img_tags GROUP BY ALL")
 def _(t):
     d = t.img_tags.withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
-    return cooc.distinct_user_counts(d, unknown="unk")
+    return cooc.distinct_user_counts(d, unknown="unk", parts=t.parts)
 
 
 @query("a05_user_tag_usage", "SELECT user_id, raw_tag AS tag, count(*) AS uses FROM fx_doc_tags GROUP BY ALL")

@@ -5,6 +5,10 @@ import threading
 from pyspark.sql import functions as F
 
 from tagweave.operators import hierarchy, stats
+from tagweave.plans import SQL
+from tagweave.plans.registry import Tables
+from tagweave.session import parts_for
+from tests.harness import both
 
 
 def test_share_of_a_group_whose_tags_are_all_inside_is_null(spark):
@@ -27,3 +31,18 @@ def test_records_join_each_word_once(spark):
     finally:
         late.cancel()
     assert sorted(map(tuple, got)) == [("a", 1, 1, 4000, "", 2, 1), ("r", 0, 0, 4001, "a", 1, 0)]
+
+
+def test_parts_follow_the_rows(spark):
+    assert parts_for(spark, 1000) is None
+    assert parts_for(spark, 36_000_000) == 240 and parts_for(spark, 216_000_000) == 1440
+
+
+def test_tags_and_counts_are_dealt_to_parts(spark, sf, monkeypatch):
+    """As for large tables, with neither parts nor customers small enough to be broadcast."""
+    monkeypatch.setattr("tagweave.plans.registry.small", lambda df: df)
+    monkeypatch.setattr(Tables, "parts", 30)
+    t = Tables(spark, sf)
+    assert t.doc_tags.rdd.getNumPartitions() == t.img_tags.rdd.getNumPartitions() == t.raw.select("doc_id", "raw_tag").distinct().rdd.getNumPartitions() == 30
+    got, want = both(spark, sf, lambda s, d: Tables(s, d).counts, SQL["a04_users_of_tags"])
+    assert got == want
