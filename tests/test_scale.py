@@ -2,9 +2,12 @@
 
 import threading
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import hierarchy, stats
+from tagweave.operators.learn import svm
 from tagweave.plans import SQL
 from tagweave.plans.registry import Tables
 from tagweave.session import parts_for
@@ -46,3 +49,20 @@ def test_tags_and_counts_are_dealt_to_parts(spark, sf, monkeypatch):
     assert t.doc_tags.rdd.getNumPartitions() == t.img_tags.rdd.getNumPartitions() == t.raw.select("doc_id", "raw_tag").distinct().rdd.getNumPartitions() == 30
     got, want = both(spark, sf, lambda s, d: Tables(s, d).counts, SQL["a04_users_of_tags"])
     assert got == want
+
+
+@pytest.mark.parametrize("task", svm.TASKS)
+def test_more_support_rows_than_one_place_holds(spark, task):
+    """Blocks of weights reach the optimum that the whole problem in memory has."""
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (240, 3))
+    y = (r.random(240) < 0.4).astype(float) if "classify" in task else np.sin(x.sum(1))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(y[i])) for i in range(240)], "id long, vec array<double>, label double")
+    settings = dict(nu=0.35, gamma=0.4, target=None if task == "one_class" else "label")
+    got = svm.optimum(df, task, max_support=20, **settings)
+    assert got["rows"] == 240 and got["residual"] <= 1e-4 and got["balance"] < 1e-6
+    state, _ = svm.decompose(df, task, block=120, **settings)
+    whole = svm.KernelMachine(1.0, "rbf", 0.4, task, nu=0.35).fit(x, y)
+    f = np.array([v.f for v in state.orderBy("id").collect()])
+    want = whole.machine.decide(x) * whole.machine.scale
+    assert f - f.mean() == pytest.approx(want - want.mean(), abs=2e-2)
