@@ -4,11 +4,12 @@ import threading
 
 import numpy as np
 import pytest
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import hierarchy, stats
 from tagweave.operators.learn import svm
-from tagweave.plans import SQL
+from tagweave.plans import QUERIES, SQL
 from tagweave.plans.registry import Tables
 from tagweave.session import parts_for
 from tests.harness import both
@@ -66,3 +67,38 @@ def test_more_support_rows_than_one_place_holds(spark, task):
     f = np.array([v.f for v in state.orderBy("id").collect()])
     want = whole.machine.decide(x) * whole.machine.scale
     assert f - f.mean() == pytest.approx(want - want.mean(), abs=2e-2)
+
+
+ON_COUNTS = [
+    "a09_percentages", "a18_tag_vectors", "l06_features_added", "l06_features_side_by_side", "n06_entropy", "j04_concepts_with_counts",
+    "j06_index_pairs", "e08_overlap_of_top_tags", "w09_top_k_in_group", "o02_top_tags_of_concepts", "n03_informativeness", "l10_weights_of_a_concept",
+]
+
+
+@pytest.fixture
+def many_shuffle_partitions(spark):
+    """More than the parts; adaptive execution joins them to one a core."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_parts_whatever_the_shuffle_partitions(spark, many_shuffle_partitions):
+    assert parts_for(spark, 1000) is None
+    assert parts_for(spark, 3_600_000) == 24
+
+
+@pytest.mark.parametrize("name", ON_COUNTS)
+def test_queries_on_counts_are_dealt_to_parts(spark, sf, monkeypatch, many_shuffle_partitions, name):
+    monkeypatch.setattr("tagweave.plans.registry.parts_for", lambda s, rows: parts_for(s, rows, 200))
+    dealt = f", {-(-Tables(spark, sf).lineitem.count() // 200)}), REPARTITION_BY_NUM"
+    plans = []
+
+    def query(s, d):
+        plans.append(QUERIES[name](s, d))
+        return plans[0]
+
+    got, want = both(spark, sf, query, SQL[name])
+    assert got == want
+    assert dealt in plans[0]._jdf.queryExecution().executedPlan().toString()
