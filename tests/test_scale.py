@@ -69,6 +69,27 @@ def test_more_support_rows_than_one_place_holds(spark, task):
     assert f - f.mean() == pytest.approx(want - want.mean(), abs=2e-2)
 
 
+@pytest.mark.parametrize("task", svm.TASKS)
+def test_most_rows_support_and_some_are_near_copies(task):
+    """Far more weights than a block holds, between their bounds and tied by near copies: the optimum is that of the whole problem in memory."""
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (300, 16))
+    x[200:] = x[:100] + r.normal(0, 0.02, (100, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = (np.arange(300) * 7 % 10 < 5).astype(float) if "classify" in task else np.arange(300) * 7 % 10 / 10
+    p, k = svm.problem(task, y, nu=0.3), svm.kernel(x, x, "rbf", 1.0)
+    steps = svm.descend(p, x, "rbf", 1.0, [np.array([i, 200 + i]) for i in range(100)], np.ones(300), block=20)
+    w = next(steps)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            w = steps.send(k @ w)
+    a, slope, products = end.value.value
+    assert svm._gap(p, a, slope) <= 1e-4 and svm._balance(p, a, task, 300, int((y > 0).sum()), 0.3, 1.0) < 1e-6 and products < 5000
+    f = np.bincount(p.row, p.sign * a, 300) @ k
+    b, _ = svm.solve(p, k, 1e-5)
+    assert np.abs(f - np.bincount(p.row, p.sign * b, 300) @ k).max() < 5e-3
+
+
 ON_COUNTS = [
     "a09_percentages", "a18_tag_vectors", "l06_features_added", "l06_features_side_by_side", "n06_entropy", "j04_concepts_with_counts",
     "j06_index_pairs", "e08_overlap_of_top_tags", "w09_top_k_in_group", "o02_top_tags_of_concepts", "n03_informativeness", "l10_weights_of_a_concept",
