@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.operators import features, neighbours
 
@@ -41,3 +42,20 @@ def test_ties_fall_by_id(spark):
     q = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [1.0, 9.0])], "q_id long, vec array<double>")
     got, _ = neighbours.nearest_pruned(q, base, 4)
     assert [x.b_id for x in sorted(got.collect(), key=lambda x: (x.q_id, x.place))] == [1, 2, 3, 4, 1, 2, 3, 4, 99, 1, 2, 3]
+
+
+def test_pair_distances_are_made_in_blocks(spark):
+    """In tasks of bounded pairs, not row by row behind a join; nulls and odd lengths as there, and all bits the same."""
+    r = np.random.default_rng(3)
+    v = [x.tolist() for x in r.normal(0, 1, (700, 5)).astype(np.float32)]
+    v[3], v[4], v[140], v[141], v[640] = None, [1.0, None, 2.0, 0.0, 0.0], [1.0, 2.0], [], [0.5, 2.0]
+    every = spark.createDataFrame(list(enumerate(v)), "a_id long, vec array<float>")
+    a, b = every.where("a_id < 150"), every.select(F.col("a_id").cast("string").alias("b_id"), "vec").where("a_id % 7 <> 0")
+    got = features.pair_distances(a, b, task_pairs=50_000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and got.rdd.getNumPartitions() == -(-150 * 600 // 50_000)
+    key = lambda t: (t[0], t[1])
+    want = sorted(map(tuple, features.pair_distances(a, b, most=10).collect()), key=key)
+    assert sorted(map(tuple, got.collect()), key=key) == want and len(want) == 90_000
+    assert {t[2] is None for t in want if t[0] == 3 or t[1] in ("4", "640")} == {True, False}
+    assert features.pair_distances(a, b.limit(0)).count() == features.pair_distances(a.limit(0), b).count() == 0
